@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import leakage, spans, tokenize
+from tallyframe.llm import leakage, neardup, spans, tokenize
 
 QUERIES = {
+    "p5_found": neardup.p5_found,
+    "p5_groups": neardup.p5_groups,
     "p7_ids": tokenize.p7_ids,
     "p8_found": leakage.p8_found,
     "p8_cleaned": leakage.p8_cleaned,
