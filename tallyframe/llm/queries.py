@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import leakage, neardup, spans, tokenize
+from tallyframe.llm import consensus, leakage, neardup, qdigest, spans, tokenize
 
 QUERIES = {
+    "p1_percentiles": qdigest.p1_percentiles,
+    "p4_found": consensus.p4_found,
+    "p4_consensus": consensus.p4_consensus,
+    "p4_reviewers": consensus.p4_reviewers,
+    "p4_agreement": consensus.p4_agreement,
     "p5_found": neardup.p5_found,
     "p5_groups": neardup.p5_groups,
     "p7_ids": tokenize.p7_ids,
@@ -14,4 +19,4 @@ QUERIES = {
     "p9_share": spans.p9_share,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {**qdigest.ORACLE, **consensus.ORACLE}
