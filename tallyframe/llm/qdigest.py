@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 BITS = 32
 #: Rank error of a percentile as a share of the number of values.
 ERROR = 0.005
-#: Values a task holds before it turns them into digests, and digests that one task merges.
+#: Values a task holds before it turns them into digests, and parts in which a group's digests are merged.
 HELD, FAN_IN = 1_000_000, 64
 NODE = "metric string, level int, node bigint, n bigint"
 
@@ -88,8 +88,8 @@ def digest(df: DataFrame, keys: list[str], columns: list[str], error: float = ER
     """Digests of numeric columns per group: (*keys, metric, level, node, n).
 
     Nulls and NaN are no values; a group without values has no rows; a null key is a group. Every
-    task digests its own rows first; the digests are then merged in a tree of FAN_IN, so that no task
-    reads more than FAN_IN digests of a group, however many tasks or rows there are.
+    task digests its own rows first; equal nodes are added before every shuffle, and the digests of a
+    group are merged in FAN_IN parts and then as one, so that no task reads all digests of a group.
     """
     source = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
     head = _key_columns(source, keys)
@@ -146,11 +146,8 @@ def digest(df: DataFrame, keys: list[str], columns: list[str], error: float = ER
                 yield out
 
     parts = source.mapInArrow(run, f"{head}{NODE}, part int")
-    tasks = max(source.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    while tasks > FAN_IN:
-        parts = _merge(parts.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")), [*keys, "part"], error).select(*keys, "metric", "level", "node", "n", "part")
-        tasks = -(-tasks // FAN_IN)
-    return _merge(parts.drop("part"), keys, error)
+    some = _merge(parts.withColumn("part", F.expr(f"part % {FAN_IN}").cast("int")), [*keys, "part"], error)
+    return _merge(some.drop("part"), keys, error)
 
 
 def _merge(nodes: DataFrame, keys: list[str], error: float) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import consensus, leakage, neardup, qdigest, spans, tokenize
+from tallyframe.llm import consensus, cutoff, leakage, neardup, pairs, qdigest, spans, tokenize
 
 QUERIES = {
     "p1_percentiles": qdigest.p1_percentiles,
+    "p2_found": pairs.p2_found,
+    "p2_counts": pairs.p2_counts,
+    "p3_found": cutoff.p3_found,
+    "p3_sources": cutoff.p3_sources,
     "p4_found": consensus.p4_found,
     "p4_consensus": consensus.p4_consensus,
     "p4_reviewers": consensus.p4_reviewers,
