@@ -33,12 +33,13 @@ _SCRIPTS = [
     ("th", re.compile(r"[฀-๿]")),
     ("hi", re.compile(r"[ऀ-ॿ]")),
 ]
+_ANY_SCRIPT = re.compile("[" + "".join(p.pattern[1:-1] for _, p in _SCRIPTS) + "]")
 
 
 def language_scores(text: str) -> dict[str, float]:
     """Marks per language; a word of several languages counts for each in part."""
     scores: dict[str, float] = {}
-    if not text.isascii():
+    if not text.isascii() and _ANY_SCRIPT.search(text):
         for lang, pattern in _SCRIPTS:
             n = len(pattern.findall(text))
             if n and (lang != "zh" or "ja" not in scores):
