@@ -25,7 +25,7 @@ from tallyframe.llm.vec import U64
 
 THRESHOLD = 0.7
 #: Elements that prefixes must share; a longer prefix with more shared elements opens fewer groups.
-DEPTH = 5
+DEPTH = 8
 #: Records of one group of the matrix, and records of a shard's block; larger shards go in pairs of blocks.
 GROUP, BLOCK = 8, 3000
 #: Counters over hashed elements: a fixed number, however many elements there are.
