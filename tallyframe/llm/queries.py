@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import consensus, cutoff, leakage, neardup, pairs, qdigest, spans, tokenize
+from tallyframe.llm import consensus, cutoff, leakage, neardup, pairs, personal, qdigest, spans, tokenize
 
 QUERIES = {
     "p1_percentiles": qdigest.p1_percentiles,
@@ -16,6 +16,8 @@ QUERIES = {
     "p4_agreement": consensus.p4_agreement,
     "p5_found": neardup.p5_found,
     "p5_groups": neardup.p5_groups,
+    "p6_found": personal.p6_found,
+    "p6_redacted": personal.p6_redacted,
     "p7_ids": tokenize.p7_ids,
     "p8_found": leakage.p8_found,
     "p8_cleaned": leakage.p8_cleaned,
