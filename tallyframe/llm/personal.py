@@ -59,7 +59,14 @@ ADDRESS = [
     re.compile(rf"(?<![\w-]){_CAP}[\w'’-]*(?:{'|'.join(re.escape(s) for s in STREETS_GERMAN.split())}) \d{{1,5}} ?[a-zA-Z]?(?![\w])(?:, \d{{4,6}} {_TOWN})?"),
     re.compile(rf"(?<![\w-]){_CAP}[\w'’-]*(?:[- ]{_CAP}[\w'’-]*)?[- ](?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ring) \d{{1,5}} ?[a-zA-Z]?(?![\w])(?:, \d{{4,6}} {_TOWN})?"),
 ]
-_ADDRESS_HINT = re.compile(r"|".join([*(rf"\b{s}\b" for s in STREETS_AFTER.split()), *(rf"\b{re.escape(s)} " for s in STREETS_BEFORE.split()), *(rf"\b{s}\b" for s in STREETS_FRENCH.split()), *(rf"{re.escape(s)} \d" for s in STREETS_GERMAN.split()), "Straße", "Str\\.", "Weg", "Gasse", "Platz", "Allee"]))
+#: What every address has in it: a word for a street, tested before the patterns are.
+_STREET_WORDS = [
+    (0, [f" {s}" for s in STREETS_AFTER.split()]),
+    (1, [f"{s} " for s in STREETS_BEFORE.split()]),
+    (2, [f"{s} " for s in STREETS_FRENCH.split()]),
+    (3, [f"{s} " for s in STREETS_GERMAN.split()]),
+    (4, ["Straße ", "Strasse ", "Str. ", "Weg ", "Gasse ", "Platz ", "Allee ", "Ring "]),
+]
 _TITLE = frozenset(TITLES.split())
 _TOKEN = re.compile(r"\S+")
 
@@ -107,9 +114,9 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple]]:
     sure: list[tuple[str, int, int]] = []
     if "@" in text or "＠" in text or "at]" in text.lower() or "at)" in text.lower():
         sure += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
-    if _ADDRESS_HINT.search(text):
-        for pattern in ADDRESS:
-            sure += [("address", m.start(), m.end()) for m in pattern.finditer(text)]
+    for k, words in _STREET_WORDS:
+        if any(w in text for w in words):
+            sure += [("address", m.start(), m.end()) for m in ADDRESS[k].finditer(text)]
     found = []
     for pattern in (CODE, NUMBER):
         for m in pattern.finditer(text):
