@@ -1,0 +1,686 @@
+"""One query per operator over whole tables, and its independent SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyframe.functions import hashing, stats, text
+from tallyframe.operators import accounting, agreement, compare, gates, integrity, ledger, scorers
+from tallyframe.plans.views import oracle, view
+from tallyframe.sources import store
+from tallyframe.streaming import ledger_stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = oracle(sql)
+        return f
+
+    return add
+
+
+def _r(*columns: str) -> list:
+    return [F.round(c, 9).alias(c) for c in columns]
+
+
+# scorers
+
+
+def _retrieval_cases(s: SparkSession, d: str) -> DataFrame:
+    ranked = view(s, d, "v_ranked")
+    lists = ranked.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("l_partkey").cast("string").alias("doc"), "grade"))).alias("v"))  # the lines of an order
+    return lists.select(F.col("l_orderkey").cast("string").alias("case_key"), F.transform("v", lambda x: x["doc"]).alias("retrieved"), F.map_from_arrays(F.transform("v", lambda x: x["doc"]), F.transform("v", lambda x: x["grade"])).alias("relevance"))
+
+
+_RETRIEVAL_SQL = """
+    with p as (select l_orderkey, rank, grade, row_number() over (partition by l_orderkey order by grade desc, rank) as ideal from {v_ranked}),
+    c as (select l_orderkey, sum(case when grade > 0 then 1 else 0 end) as rel, min(case when grade > 0 then rank end) as first_rank,
+        sum(case when grade > 0 and rank <= 3 then 1 else 0 end) as hits, sum(case when rank <= 3 then (pow(2, grade) - 1) / log2(rank + 1) else 0 end) as dcg, sum(case when ideal <= 3 then (pow(2, grade) - 1) / log2(ideal + 1) else 0 end) as idcg from p group by l_orderkey),
+    m as (select cast(l_orderkey as varchar) as case_key, rel, 1.0::double / first_rank as mrr, hits::double / rel as recall, hits / 3.0::double as prec, case when hits > 0 then 1.0::double else 0.0::double end as hit, dcg / idcg as ndcg from c)
+"""
+
+
+@query("E4_retrieval", _RETRIEVAL_SQL + "select case_key, 'ok' as status, round(mrr, 9) as mrr, round(recall, 9) as recall_3, round(prec, 9) as precision_3, hit as hit_3, round(ndcg, 9) as ndcg_3 from m where rel > 0 union all select case_key, 'not_applicable', null, null, null, null, null from m where rel = 0")
+def e4(s: SparkSession, d: str) -> DataFrame:
+    o = scorers.score(_retrieval_cases(s, d), scorers.EvaluatorSpec("retrieval", "rank", {"k": [3]}))
+    m = lambda n, a: F.round(F.try_element_at("outcome.metrics", F.lit(n)), 9).alias(a)
+    return o.select("case_key", "outcome.status", m("mrr", "mrr"), m("recall@3", "recall_3"), m("precision@3", "precision_3"), m("hit@3", "hit_3"), m("ndcg@3", "ndcg_3"))
+
+
+@query("E4_A5_retrieval_summary", _RETRIEVAL_SQL + """, l as (select 'mrr' as name, mrr as v from m where rel > 0 union all select 'ndcg@3', ndcg from m where rel > 0 union all select 'hit@3', hit from m where rel > 0 union all select 'recall@3', recall from m where rel > 0 union all select 'precision@3', prec from m where rel > 0)
+    select name, count(*) as n, round(avg(v), 9) as mean, round(quantile_cont(v, 0.5), 9) as median from l group by name""")
+def e4_a5(s: SparkSession, d: str) -> DataFrame:
+    o = scorers.score(_retrieval_cases(s, d), scorers.EvaluatorSpec("retrieval", "rank", {"k": [3]})).withColumn("run_id", F.lit("r1"))
+    return accounting.metric_summary(scorers.long_metrics(o, "run_id", "case_key")).select("name", "n", "mean", "median")
+
+
+@query("E1_exact_match", """select cast(doc_id as varchar) as case_key, case when text is null then 'failed' else 'ok' end as status, case when text is null then null when o = text then 1.0::double else 0.0::double end as match
+    from (select doc_id, text, case when doc_id % 3 = 0 then upper(text) else text end as o from documents) t""")
+def e1(s: SparkSession, d: str) -> DataFrame:
+    cases = view(s, d, "documents").select(F.col("doc_id").cast("string").alias("case_key"), F.when(F.col("doc_id") % 3 == 0, F.upper("text")).otherwise(F.col("text")).alias("output"), F.col("text").alias("reference"))
+    o = scorers.score(cases, scorers.EvaluatorSpec("exact_match", "em"))
+    return o.select("case_key", "outcome.status", F.try_element_at("outcome.metrics", F.lit("match")).alias("match"))
+
+
+@query("E1_exact_match_normalized")
+def e1_normalized(s: SparkSession, d: str) -> DataFrame:
+    cases = view(s, d, "documents").select(F.col("doc_id").cast("string").alias("case_key"), F.when(F.col("doc_id") % 3 == 0, F.upper("text")).otherwise(F.col("text")).alias("output"), F.col("text").alias("reference"))
+    o = scorers.score(cases, scorers.EvaluatorSpec("exact_match", "em", {"normalize": list(text.STEPS)}))
+    return o.select("case_key", "outcome.status", F.try_element_at("outcome.metrics", F.lit("match")).alias("match"), F.get_json_object("outcome.detail", "$.first_difference").cast("int").alias("first_difference"))
+
+
+@query("E2_regex", """select cast(doc_id as varchar) as case_key, case when text is null then 'failed' else 'ok' end as status, case when text is null then null when regexp_matches(text, '(?i)[0-9]+ percent of the [a-z]+') then 1.0::double else 0.0::double end as match from documents""")
+def e2(s: SparkSession, d: str) -> DataFrame:
+    cases = view(s, d, "documents").select(F.col("doc_id").cast("string").alias("case_key"), F.col("text").alias("output"))
+    o = scorers.score(cases, scorers.EvaluatorSpec("regex", "percent", {"pattern": "[0-9]+ percent of the [a-z]+", "flags": "i"}))
+    return o.select("case_key", "outcome.status", F.try_element_at("outcome.metrics", F.lit("match")).alias("match"))
+
+
+@query("E2_regex_fullmatch", """select case_key, case when regexp_full_match(output, '[1-5]-[A-Z ]+x*') then 'PASS' else 'FAIL' end as verdict from {v_case_results} t where output is not null""")
+def e2_full(s: SparkSession, d: str) -> DataFrame:
+    cases = view(s, d, "v_case_results").where("output is not null").select("case_key", "output")
+    return scorers.score(cases, scorers.EvaluatorSpec("regex", "form", {"pattern": "[1-5]-[A-Z ]+x*", "mode": "fullmatch"})).select("case_key", "outcome.verdict")
+
+
+@query("E3_json_schema")
+def e3(s: SparkSession, d: str) -> DataFrame:
+    schema = {"type": "object", "properties": {"stop_reason": {"enum": ["end_turn", "stop_sequence", "max_tokens"]}, "usage": {"type": "object", "properties": {"input_tokens": {"type": "integer", "minimum": 0}}, "required": ["input_tokens", "output_tokens"]}}, "required": ["request_id"]}
+    cases = view(s, d, "case_results").where("target_meta is not null").dropDuplicates(["id"]).select(F.col("id").alias("case_key"), F.col("target_meta").alias("output"))
+    return scorers.score(cases, scorers.EvaluatorSpec("json_schema", "meta", {"schema": schema})).select("case_key", "outcome.verdict", "outcome.detail")
+
+
+@query("E5_citation_check", """
+    with t as (select o_orderkey, o_orderkey % 7 as a, o_orderkey % 4 as b, case when o_orderkey % 9 = 0 then 0 else 1 end as cites from orders),
+    k as (select o_orderkey, cites, a, b, case when a = b then 1 else 2 end as tokens, (case when a between 1 and 3 then 1 else 0 end) + (case when b between 1 and 3 and b <> a then 1 else 0 end) as ok,
+        (case when a in (1, 3) then 1 else 0 end) + (case when b in (1, 3) and b <> a then 1 else 0 end) as rel from t)
+    select cast(o_orderkey as varchar) as case_key, case when cites = 0 then 'not_applicable' else 'ok' end as status, case when cites = 1 then round(ok::double / tokens, 9) end as validity,
+        case when cites = 1 and ok > 0 then round(rel::double / ok, 9) end as prec, case when cites = 1 then rel / 2.0::double end as recall, case when cites = 1 then case when ok = tokens then 'PASS' else 'FAIL' end end as verdict from k""")
+def e5(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    cited = F.concat(F.lit("See ["), (k % 7).cast("string"), F.lit("] and ["), (k % 4).cast("string"), F.lit("]."))
+    cases = view(s, d, "orders").select(k.cast("string").alias("case_key"), F.when(k % 9 == 0, F.lit("See nothing.")).otherwise(cited).alias("output"), F.array(F.lit("x"), F.lit("y"), F.lit("x"), F.lit("z")).alias("retrieved"), F.create_map(F.lit("x"), F.lit(2), F.lit("y"), F.lit(0), F.lit("z"), F.lit(1)).alias("relevance"))
+    o = scorers.score(cases, scorers.EvaluatorSpec("citation_check", "cites"))
+    m = lambda n, a: F.round(F.try_element_at("outcome.metrics", F.lit(n)), 9).alias(a)
+    return o.select("case_key", "outcome.status", m("citation_validity", "validity"), m("citation_precision", "prec"), m("citation_recall", "recall"), "outcome.verdict")
+
+
+@query("E6_llm_judge")
+def e6(s: SparkSession, d: str) -> DataFrame:
+    from tallyframe.sources.clients import ScriptedClient
+
+    rubric = scorers.Rubric("rb-1", (scorers.Criterion("accuracy", 2.0), scorers.Criterion("tone", 1.0, None, ("rude", "plain", "kind")), scorers.Criterion("safety", must_pass=True)))
+    cases = view(s, d, "v_real_cases").where("output is not null").select(F.col("id").alias("case_key"), "prompt", "context", "reference", "output")
+    o = scorers.score(cases, scorers.EvaluatorSpec("llm_judge", "quality", {"rubric": rubric, "client": ScriptedClient()}))
+    return o.select("case_key", "outcome.status", "outcome.verdict", F.round(F.try_element_at("outcome.metrics", F.lit("score")), 9).alias("score"))
+
+
+@query("E7_rubric_scores", """
+    with r as (select l_orderkey, l_quantity as weight, l_discount * 10 as normalized, l_tax >= 0.07 as must_pass from lineitem)
+    select cast(l_orderkey as varchar) as case_key, round(round(sum(weight * normalized) / sum(weight), 10), 9) as overall, case when round(sum(weight * normalized) / sum(weight), 10) >= 0.5 and sum(case when must_pass and normalized < 0.2::double then 1 else 0 end) = 0 then 'PASS' else 'FAIL' end as verdict, sum(case when must_pass and normalized < 0.2::double then 1 else 0 end)::bigint as failed_gates
+    from r group by l_orderkey""")
+def e7(s: SparkSession, d: str) -> DataFrame:
+    rows = view(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("case_key"), F.col("l_quantity").alias("weight"), (F.col("l_discount") * 10).alias("normalized"), (F.col("l_tax") >= 0.07).alias("must_pass"), F.lit(0.2).alias("floor"))
+    return scorers.rubric_scores(rows, ["case_key"], 0.5).select("case_key", F.round("overall", 9).alias("overall"), "verdict", "failed_gates")
+
+
+@query("E10_interpretation", "select stop, case when stop in ('max_tokens', 'length') then 'truncated' when stop in ('refusal', 'content_filter', 'guardrail') then 'refused' end as kind, count(*) as n from (select case o_orderkey % 4 when 0 then 'end_turn' when 1 then 'max_tokens' when 2 then 'refusal' else 'length' end as stop from orders) t group by stop")
+def e10(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    stop = F.when(k == 0, "end_turn").when(k == 1, "max_tokens").when(k == 2, "refusal").otherwise("length")
+    table = F.create_map(*[F.lit(x) for kv in scorers.STOP_KINDS.items() for x in kv])
+    return view(s, d, "orders").select(stop.alias("stop")).groupBy("stop").agg(F.count("*").alias("n")).select("stop", F.try_element_at(table, F.col("stop")).alias("kind"), "n")
+
+
+# accounting
+
+
+def _facts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return view(s, d, "v_case_results"), view(s, d, "v_evaluator_results"), view(s, d, "v_totals")
+
+
+@query("A1_case_accounting", "select run_id, status, coalesce(failure_class, '') as failure_class, count(*) as n from {v_case_results} t group by 1, 2, 3")
+def a1(s, d):
+    return accounting.case_accounting(_facts(s, d)[0])
+
+
+@query("A2_evaluator_accounting", "select run_id, evaluator_key, status, coalesce(failure_class, '') as failure_class, count(*) as n from {v_evaluator_results} t group by 1, 2, 3, 4")
+def a2(s, d):
+    return accounting.evaluator_accounting(_facts(s, d)[1])
+
+
+_STAGES = """(select run_id, total, complete, pending, failed_target, failed_input, failed_infrastructure, total - complete - pending - failed_target - failed_input - failed_infrastructure as missing from (
+    select run_id, count(*) filter (status = 'complete') as complete, count(*) filter (status = 'pending') as pending, count(*) filter (failure_class = 'target') as failed_target, count(*) filter (failure_class = 'input') as failed_input, count(*) filter (failure_class = 'infrastructure') as failed_infrastructure from {v_case_results} t group by run_id) c join {v_totals} using (run_id))"""
+_COVERAGE = """(select *, ok + not_applicable + failed_evaluator + failed_infrastructure + failed_input as attempted, terminal - (ok + not_applicable + skipped + failed_evaluator + failed_infrastructure + failed_input) as lacking, total - not_applicable as applicable from (
+    select e.run_id, evaluator_key, total, complete + failed_target + s.failed_input + s.failed_infrastructure as terminal, count(*) filter (status = 'ok') as ok, count(*) filter (status = 'not_applicable') as not_applicable, count(*) filter (status = 'skipped') as skipped,
+        count(*) filter (status = 'failed' and failure_class = 'evaluator') as failed_evaluator, count(*) filter (status = 'failed' and failure_class = 'infrastructure') as failed_infrastructure, count(*) filter (status = 'failed' and failure_class = 'input') as failed_input
+    from {v_evaluator_results} e join """ + _STAGES + """ s on e.run_id = s.run_id group by 1, 2, 3, 4) t)"""
+
+
+@query("A3_case_stages", "select * from " + _STAGES + " x")
+def a3(s, d):
+    c, _, t = _facts(s, d)
+    return accounting.case_stages(c, t)
+
+
+def _coverage(s, d):
+    c, e, t = _facts(s, d)
+    return accounting.evaluator_coverage(e, accounting.case_stages(c, t))
+
+
+@query("A4_evaluator_coverage", """select run_id, evaluator_key, ok, not_applicable, skipped, failed_evaluator, failed_infrastructure, failed_input, greatest(0, lacking) as missing, applicable, round(ok::double / applicable, 9) as coverage, ok::double / applicable >= 0.95 as sufficient,
+    round(not_applicable::double / total, 9) as na_share, round(failed_evaluator::double / attempted, 9) as evaluator_failure_rate from """ + _COVERAGE + " x")
+def a4(s, d):
+    return _coverage(s, d)
+
+
+_Z = "1.959963984540054::double"
+_WILSON = lambda k, n: (
+    f"greatest(0, least({k} / {n}, ({k} / {n} + {_Z} * {_Z} / (2 * {n})) / (1 + {_Z} * {_Z} / {n}) - {_Z} * sqrt({k} / {n} * (1 - {k} / {n}) / {n} + {_Z} * {_Z} / (4 * {n} * {n})) / (1 + {_Z} * {_Z} / {n})))",
+    f"least(1, greatest({k} / {n}, ({k} / {n} + {_Z} * {_Z} / (2 * {n})) / (1 + {_Z} * {_Z} / {n}) + {_Z} * sqrt({k} / {n} * (1 - {k} / {n}) / {n} + {_Z} * {_Z} / (4 * {n} * {n})) / (1 + {_Z} * {_Z} / {n})))",
+)
+_SUMMARY = f"""select run_id, evaluator_key, name, n::bigint as n, round(m, 9) as mean, round(sd, 9) as stdev, round(p10, 9) as p10, round(p50, 9) as median, round(p90, 9) as p90, round(lo, 9) as min, round(hi, 9) as max, bin as binary,
+    round(case when bin then {_WILSON('k', 'n')[0]} else m - {_Z} * sd / sqrt(n) end, 9) as ci_low, round(case when bin then {_WILSON('k', 'n')[1]} else m + {_Z} * sd / sqrt(n) end, 9) as ci_high, case when bin then 'wilson' when n < 2 then 'none' else 'normal' end as ci_method, n < 30 as small_sample
+    from (select run_id, evaluator_key, name, count(*)::double as n, avg(value) as m, case when count(*) = 1 then 0 else stddev_samp(value) end as sd, quantile_cont(value, 0.1) as p10, quantile_cont(value, 0.5) as p50, quantile_cont(value, 0.9) as p90, min(value) as lo, max(value) as hi, bool_and(value = 0 or value = 1) as bin, round(sum(value)) as k from {{v_metrics}} t group by 1, 2, 3) q"""
+
+
+@query("A5_metric_summary", _SUMMARY)
+def a5(s, d):
+    return accounting.metric_summary(view(s, d, "v_metrics"))
+
+
+@query("A5_metric_summary_bootstrap")
+def a5_bootstrap(s, d):
+    return accounting.metric_summary_bootstrap(view(s, d, "v_metrics"))
+
+
+_VERDICTS = "(select run_id, evaluator_key, count(*) filter (verdict = 'PASS') as n_pass, count(*) filter (verdict = 'FAIL') as n_fail, count(*) filter (verdict = 'UNCERTAIN') as n_uncertain, count(*) filter (verdict is null) as n_none from {v_evaluator_results} t where status = 'ok' group by 1, 2)"
+
+
+@query("A6_verdict_counts", "select * from " + _VERDICTS + " x")
+def a6(s, d):
+    return accounting.verdict_counts(_facts(s, d)[1])
+
+
+@query("A7_pass_rate", f"select run_id, evaluator_key, round(k / n, 9) as pass_rate, round({_WILSON('k', 'n')[0]}, 9) as ci_low, round({_WILSON('k', 'n')[1]}, 9) as ci_high, round(k / (n + u), 9) as if_failed, round((k + u) / (n + u), 9) as if_passed, round(k / total, 9) as strict from (select x.run_id, evaluator_key, n_pass::double as k, (n_pass + n_fail)::double as n, n_uncertain::double as u, total from " + _VERDICTS + " x join {v_totals} t using (run_id)) y")
+def a7(s, d):
+    _, e, t = _facts(s, d)
+    return accounting.pass_rates(accounting.verdict_counts(e), t)
+
+
+@query("A8_latency", "select run_id, stage, count(*) as n, round(avg(ms), 9) as mean, round(quantile_cont(ms, 0.5), 9) as p50, round(quantile_cont(ms, 0.95), 9) as p95 from (select run_id, 'target' as stage, duration_ms as ms from {v_case_results} a where status = 'complete' union all select run_id, evaluator_key, duration_ms from {v_evaluator_results} b where status = 'ok') t group by 1, 2")
+def a8(s, d):
+    return accounting.latency_summary(*_facts(s, d)[:2])
+
+
+@query("A9_tag_slices", "select run_id, tag, evaluator_key, name, count(*) as n, round(avg(value), 9) as mean from {v_metrics} m join (select case_key, tag_a as tag from {v_cases} a union select case_key, tag_b from {v_cases} b) t using (case_key) group by 1, 2, 3, 4 having count(*) >= 10")
+def a9(s, d):
+    return accounting.tag_slices(view(s, d, "v_metrics"), view(s, d, "v_cases").withColumn("tags", F.array("tag_a", "tag_b")))
+
+
+_RANKS = lambda src, keys, x, y: f"""(select {keys}, count(*) as n, case when stddev_pop(rx) > 0 and stddev_pop(ry) > 0 then (avg(rx * ry) - avg(rx) * avg(ry)) / (stddev_pop(rx) * stddev_pop(ry)) end as rho from (
+    select {keys}, rank() over (partition by {keys} order by {x}) + (count(*) over (partition by {keys}, {x}) - 1) / 2.0::double as rx, rank() over (partition by {keys} order by {y}) + (count(*) over (partition by {keys}, {y}) - 1) / 2.0::double as ry from {src}) r group by {keys})"""
+
+
+@query("A10_length_bias", "select run_id, evaluator_key, n, round(greatest(-1, least(1, rho)), 9) as rho, abs(rho) >= 0.5 as warn from " + _RANKS("(select run_id, evaluator_key, value, length(output) as chars from {v_metrics} m join (select run_id, case_key, output from {v_case_results} c) o using (run_id, case_key) where name = 'score') s", "run_id, evaluator_key", "value", "chars") + " x")
+def a10(s, d):
+    return accounting.length_bias(view(s, d, "v_metrics"), view(s, d, "v_case_results"))
+
+
+@query("T8_spearman", "select event_type, n, round(rho, 9) as rho from " + _RANKS("events", "event_type", "value", "user_id") + " x")
+def t8(s, d):
+    return stats.spearman(view(s, d, "events").select("event_type", "value", "user_id"), ["event_type"], "value", "user_id").select("event_type", "n", F.round("rho", 9).alias("rho"))
+
+
+_FAILURES = "(select run_id, case_key, cast(null as varchar) as evaluator_key, failure_class, failure_kind from {v_case_results} a where status = 'failed' union all select run_id, case_key, evaluator_key, failure_class, failure_kind from {v_evaluator_results} b where status = 'failed')"
+
+
+@query("A11_failure_counts", "select run_id, case when evaluator_key is null then 'target' else 'evaluator' end as scope, failure_class, failure_kind, count(*) as n from " + _FAILURES + " x group by 1, 2, 3, 4")
+def a11(s, d):
+    return accounting.failure_counts(*_facts(s, d)[:2])
+
+
+@query("A12_list_failures", "select * from " + _FAILURES + " x where failure_class = 'infrastructure' order by run_id, case_key, evaluator_key nulls first limit 1000")
+def a12(s, d):
+    return accounting.list_failures(*_facts(s, d)[:2], failure_class="infrastructure")
+
+
+@query("A13_run_counts", """select c.run_id, total, pending, complete, failed, total - n as missing, e_ok, e_not_applicable, e_failed, e_skipped from (select run_id, count(*) filter (status = 'pending') as pending, count(*) filter (status = 'complete') as complete, count(*) filter (status = 'failed') as failed, count(*) as n from {v_case_results} a group by 1) c
+    join (select run_id, count(*) filter (status = 'ok') as e_ok, count(*) filter (status = 'not_applicable') as e_not_applicable, count(*) filter (status = 'failed') as e_failed, count(*) filter (status = 'skipped') as e_skipped from {v_evaluator_results} b group by 1) e using (run_id) join {v_totals} t using (run_id)""")
+def a13(s, d):
+    return accounting.run_counts(*_facts(s, d))
+
+
+_PRICED = """(select *, case when cache_hit then 'cached' when input_per_mtok is null then 'unpriced' when input_tokens is null or output_tokens is null then 'no_usage' else 'priced' end as cost_status,
+    case when cache_hit then 0 when input_per_mtok is not null then (input_tokens * input_per_mtok + output_tokens * output_per_mtok) / 1e6::double end as cost from {v_attempts} a left join {v_prices} p using (provider, model))"""
+_STATS = """(select run_id, scope, provider, model, count(*) as attempts, count(*) filter (outcome = 'failed') as failed, count(*) filter (n > 1) as retries, sum(input_tokens)::bigint as input_tokens, sum(output_tokens)::bigint as output_tokens, round(sum(duration_ms), 6) as duration_ms, count(*) filter (cache_hit) as cache_hits, count(cache_hit) as lookups,
+    round(sum(cost), 9) as cost, count(*) filter (cost_status = 'priced') as priced, count(*) filter (cost_status = 'unpriced') as unpriced, count(*) filter (cost_status = 'no_usage') as unknown_usage, count(*) filter (retry_round > 0) as retry_round_attempts from """ + _PRICED + " x group by 1, 2, 3, 4)"
+
+
+def _priced(s, d):
+    return ledger.price(view(s, d, "v_attempts"), view(s, d, "v_prices"))
+
+
+@query("X10_pricing", "select seq, cost_status, round(cost, 12) as cost from " + _PRICED + " x")
+def x10(s, d):
+    return _priced(s, d).select("seq", "cost_status", F.round("cost", 12).alias("cost"))
+
+
+@query("A14_attempt_stats", "select * from " + _STATS + " x")
+def a14(s, d):
+    return ledger.attempt_stats(_priced(s, d))
+
+
+@query("A15_usage", """select run_id, attempts - cache_hits as provider_calls, round(cache_hits / lookups, 9) as hit_rate, input_tokens, output_tokens, round((input_tokens + output_tokens) / 1000.0::double, 9) as tokens_per_case, round(case when priced + cache_hits > 0 then cost end, 9) as cost, unpriced = 0 and unknown_usage = 0 as cost_complete, round(case when unpriced = 0 and unknown_usage = 0 then cost end, 9) as cost_per_1k_cases
+    from (select run_id, sum(attempts)::bigint as attempts, sum(input_tokens)::bigint as input_tokens, sum(output_tokens)::bigint as output_tokens, sum(cache_hits)::bigint as cache_hits, sum(lookups)::double as lookups, sum(cost) as cost, sum(priced) as priced, sum(unpriced) as unpriced, sum(unknown_usage) as unknown_usage from """ + _STATS + " x group by 1) y")
+def a15(s, d):
+    totals = s.sql("select 'r1' as run_id, 1000L as total union all select 'r2', 1000L")
+    return ledger.usage(ledger.attempt_stats(_priced(s, d)), totals)
+
+
+@query("A16_price_versions", "select distinct run_id, price_version from {v_attempts} x where price_version is not null")
+def a16(s, d):
+    return ledger.price_versions(view(s, d, "v_attempts"))
+
+
+@query("A17_spend_totals", "select run_id, count(*) as attempts, count(*) filter (not cache_hit) as calls, sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0))::bigint as tokens, round(sum(cost), 9) as cost from " + _PRICED + " x group by 1")
+def a17(s, d):
+    return ledger.spend_totals(_priced(s, d))
+
+
+_HISTORY = "(select run_id, case_key, case when scope = 'evaluator' then model end as evaluator_key, retry_round as round from {v_attempts} a where outcome = 'failed')"
+
+
+@query("A18_retry_stats", "select run_id, count(*) filter (evaluator_key is null) as case_failures, count(*) filter (evaluator_key is not null) as evaluator_failures, count(distinct concat(case_key, '/', coalesce(evaluator_key, ''))) as units from " + _HISTORY + " x group by 1")
+def a18(s, d):
+    h = view(s, d, "v_attempts").where("outcome = 'failed'").select("run_id", "case_key", F.when(F.col("scope") == "evaluator", F.col("model")).alias("evaluator_key"), F.col("retry_round").alias("round"))
+    return ledger.retry_stats(h)
+
+
+@query("A19_cache_stats", "select 'm' || (user_id % 5) as model, count(*) as entries, sum(strlen(props))::bigint as bytes, min(ts) as oldest, max(ts) as newest from events where event_type = 'signup' group by 1")
+def a19(s, d):
+    c = view(s, d, "events").where("event_type = 'signup'").select(F.col("event_id").cast("string").alias("key"), F.concat(F.lit("m"), F.col("user_id") % 5).alias("model"), F.col("props").alias("response"), F.col("ts").alias("created_at"))
+    return ledger.cache_stats(c)
+
+
+@query("A20_run_status")
+def a20(s, d):
+    p = _priced(s, d)
+    h = view(s, d, "v_attempts").where("outcome = 'failed'").select("run_id", "case_key", F.when(F.col("scope") == "evaluator", F.col("model")).alias("evaluator_key"), F.col("retry_round").alias("round"))
+    return ledger.run_status(accounting.run_counts(*_facts(s, d)), ledger.spend_totals(p), ledger.retry_stats(h), ledger.usage(ledger.attempt_stats(p), _facts(s, d)[2]))
+
+
+@query("A21_warnings", "select run_id, evaluator_key, 'low_coverage' as warning from " + _COVERAGE + " x where ok::double / applicable < 0.95 union all select 'r1', null, 'truncated_outputs' where exists (select 1 from {v_case_results} c where status = 'complete' and target_meta like '%: true%')")
+def a21(s, d):
+    c, e, t = _facts(s, d)
+    stages = accounting.case_stages(c, t)
+    runs = s.sql("select 'r1' as run_id, 'succeeded' as status, true as pinned")
+    cut = c.groupBy("run_id").agg(F.count_if(accounting.truncated(c)).alias("n_truncated"))
+    return accounting.warnings(stages, accounting.evaluator_coverage(e, stages), runs, accounting.length_bias(view(s, d, "v_metrics"), c), cut)
+
+
+@query("P6_truncated", "select case_key from {v_case_results} x where status = 'complete' and target_meta like '%: true%'")
+def p6(s, d):
+    c = view(s, d, "v_case_results")
+    return c.where(accounting.truncated(c)).select("case_key")
+
+
+@query("P7_must_pass", "select run_id, evaluator_key, count(*) as n, count(*) filter (detail like '%tone%') as failed, round(count(*) filter (detail like '%tone%') / count(*)::double, 9) as share from {v_evaluator_results} x where status = 'ok' group by 1, 2")
+def p7(s, d):
+    return gates.must_pass_failures(view(s, d, "v_evaluator_results"))
+
+
+# comparison
+
+
+def _pairs(s, d):
+    return compare.pair(view(s, d, "v_side_b"), view(s, d, "v_side_c"))
+
+
+_PAIRS = "(select b.case_key, b.status as status_b, c.status as status_c, b.failure_class as failure_class_b, c.failure_class as failure_class_c, b.duration_ms as duration_ms_b, c.duration_ms as duration_ms_c from {v_side_b} b join {v_side_c} c on b.case_key = c.case_key and b.input_hash = c.input_hash)"
+_VALUES = "(select b.evaluator_key, b.name, b.case_key, b.value as base, c.value as cand, c.value - b.value as diff from {v_two_metrics} b join {v_two_metrics} c on b.case_key = c.case_key and b.evaluator_key = c.evaluator_key and b.name = c.name join " + _PAIRS + " p on p.case_key = b.case_key where b.run_id = 'b' and c.run_id = 'c' and status_b = 'complete' and status_c = 'complete')"
+
+
+@query("C1_evaluator_matching", "select 'k' || (p_size % 3) as kind, p_brand as name, 'a' || min(p_size % 4) as baseline_key, 'a' || min(p_size % 5) as candidate_key, case when min(p_size % 4) = min(p_size % 5) then 'comparable' else 'confounded' end as match from part group by 1, 2")
+def c1(s, d):
+    side = lambda m: view(s, d, "part").groupBy(F.concat(F.lit("k"), F.col("p_size") % 3).alias("kind"), F.col("p_brand").alias("name")).agg(F.concat(F.lit("a"), F.min(F.col("p_size") % m)).alias("evaluator_key"))
+    return compare.match_evaluators(side(4), side(5))
+
+
+@query("C4_unpaired", """select count(*) filter (b.case_key is not null and c.case_key is not null and b.input_hash = c.input_hash) as common, count(*) filter (b.case_key is not null and c.case_key is not null and b.input_hash <> c.input_hash) as input_changed, count(*) filter (c.case_key is null) as only_baseline, count(*) filter (b.case_key is null) as only_candidate
+    from {v_side_b} b full outer join {v_side_c} c on b.case_key = c.case_key""")
+def c4(s, d):
+    return compare.unpaired(view(s, d, "v_side_b"), view(s, d, "v_side_c"))
+
+
+@query("C5_exclusions", """
+    with g as (select p.*, e.evaluator_key from """ + _PAIRS + """ p cross join (select 'exact_match:em' as evaluator_key union all select 'llm_judge:quality') e), r as (select case_key, evaluator_key, status from {v_evaluator_results} x),
+    j as (select 'baseline' as side, g.evaluator_key, status_b as st, failure_class_b as fc, r.status as es from g left join r on r.case_key = g.case_key and r.evaluator_key = g.evaluator_key union all select 'candidate', g.evaluator_key, status_c, failure_class_c, r.status from g left join r on r.case_key = g.case_key and r.evaluator_key = g.evaluator_key)
+    select side, evaluator_key, reason, count(*) as n from (select side, evaluator_key, case when st is null then 'no_result' when st = 'pending' then 'pending' when st = 'failed' then fc || '_failure' when es is null then 'missing' when es in ('not_applicable', 'skipped') then es when es = 'failed' then 'evaluator_failure' end as reason from j) k where reason is not null group by 1, 2, 3""")
+def c5(s, d):
+    e = view(s, d, "v_evaluator_results")
+    return compare.exclusions(_pairs(s, d), e, e, "r1", "r1")
+
+
+def _values(s, d):
+    return compare.paired_values(_pairs(s, d), view(s, d, "v_two_metrics"), "b", "c")
+
+
+_PAIRED = f"""(select evaluator_key, name, n::bigint as n, round(mb, 9) as mean_base, round(mc, 9) as mean_cand, round(md, 9) as mean_diff, round(sd, 9) as sd_diff, round(md - {_Z} * sd / sqrt(n), 9) as ci_low, round(md + {_Z} * sd / sqrt(n), 9) as ci_high, round(2.8::double * sd / sqrt(n), 9) as mde, higher, lower, tied, bin as binary,
+    case when bin then round(case when higher + lower = 0 then 1 else least(1, 2 * list_sum(list_transform(range(0, least(higher, lower) + 1), lambda i: exp(lgamma(higher + lower + 1) - lgamma(i + 1) - lgamma(higher + lower - i + 1) - (higher + lower) * ln(2))))) end, 9) end as mcnemar_p
+    from (select evaluator_key, name, count(*)::double as n, avg(base) as mb, avg(cand) as mc, avg(diff) as md, stddev_samp(diff) as sd, count(*) filter (diff > 0) as higher, count(*) filter (diff < 0) as lower, count(*) filter (diff = 0) as tied, bool_and(base in (0, 1) and cand in (0, 1)) as bin from {_VALUES} v group by 1, 2) q)"""
+
+
+@query("C6_paired_stats", "select * from " + _PAIRED + " x")
+def c6(s, d):
+    return compare.paired_stats(_values(s, d))
+
+
+@query("C6_paired_stats_bootstrap")
+def c6_bootstrap(s, d):
+    return compare.paired_stats_bootstrap(_values(s, d))
+
+
+@query("W2_extremes", "with v as (select * from " + _VALUES + " v) select evaluator_key, name, 'worst' as side, rank, case_key, round(diff, 9) as diff from (select *, row_number() over (partition by evaluator_key, name order by diff, case_key) as rank from v where diff < 0) w where rank <= 10 union all select evaluator_key, name, 'best', rank, case_key, round(diff, 9) from (select *, row_number() over (partition by evaluator_key, name order by diff desc, case_key desc) as rank from v where diff > 0) w where rank <= 10")
+def w2(s, d):
+    return compare.extremes(_values(s, d))
+
+
+@query("C7_target_failure_rate", "select count(*) as n, round(avg(case when status_b = 'failed' and failure_class_b = 'target' then 1.0::double else 0.0::double end), 9) as mean_base, round(avg(case when status_c = 'failed' and failure_class_c = 'target' then 1.0::double else 0.0::double end), 9) as mean_cand from " + _PAIRS + " p")
+def c7(s, d):
+    return compare.paired_stats(compare.target_failure_values(_pairs(s, d))).select("n", "mean_base", "mean_cand")
+
+
+@query("C8_latency_compare", """select n, p50_base, p95_base, p50_cand, p95_cand, round(case when p50_base > 0 then p50_cand / p50_base - 1 end, 9) as p50_change, round(case when p95_base > 0 then p95_cand / p95_base - 1 end, 9) as p95_change from (select count(*) as n, round(quantile_cont(duration_ms_b, 0.5), 9) as p50_base, round(quantile_cont(duration_ms_b, 0.95), 9) as p95_base, round(quantile_cont(duration_ms_c, 0.5), 9) as p50_cand, round(quantile_cont(duration_ms_c, 0.95), 9) as p95_cand from """ + _PAIRS + " p where status_b = 'complete' and status_c = 'complete') q")
+def c8(s, d):
+    return compare.latency_compare(_pairs(s, d))
+
+
+@query("C9_gaps", "with c as (select evaluator_key, ok::double / applicable as cov, not_applicable::double / total as na from " + _COVERAGE + " x) select a.evaluator_key, round(round(b.cov, 9) - round(a.cov, 9), 9) as coverage_gap, round(round(b.na, 9) - round(a.na, 9), 9) as na_gap, abs(b.cov - a.cov) > 0.05 as coverage_warning, abs(b.na - a.na) > 0.05 as na_warning from c a join (select case evaluator_key when 'exact_match:em' then 'llm_judge:quality' else 'exact_match:em' end as evaluator_key, cov, na from c) b using (evaluator_key)")
+def c9(s, d):
+    c = _coverage(s, d)
+    other = c.withColumn("evaluator_key", F.when(F.col("evaluator_key") == "exact_match:em", "llm_judge:quality").otherwise("exact_match:em"))
+    return compare.gaps(c, other)
+
+
+@query("C10_noise_floor", "select evaluator_key, name, round(greatest(abs(mean_diff), (ci_high - ci_low) / 2), 9) as noise_floor from " + _PAIRED + " x")
+def c10(s, d):
+    return compare.noise_floor(compare.paired_stats(_values(s, d)))
+
+
+_GATES = "(select 'llm_judge:quality' as evaluator_key, 'score' as name, 'higher' as direction, cast(0.01 as double) as delta, cast(null as double) as rel_delta, 30 as min_n union all select 'exact_match:em', 'match', 'higher', null, cast(0.5 as double), 30 union all select 'none:x', 'y', 'lower', cast(0 as double), null, 30)"
+
+
+@query("C11_decide", "select evaluator_key, name, n, round(coalesce(delta, rel_delta * abs(mean_base)), 9) as margin, case when n is null or n < min_n then 'inconclusive' when hi < -coalesce(delta, rel_delta * abs(mean_base)) then 'regression' when lo > coalesce(delta, rel_delta * abs(mean_base)) then 'improvement' when coalesce(delta, rel_delta * abs(mean_base)) > 0 and lo >= -coalesce(delta, rel_delta * abs(mean_base)) and hi <= coalesce(delta, rel_delta * abs(mean_base)) then 'equivalent' else 'inconclusive' end as decision from (select g.*, p.n, mean_base, case when direction = 'higher' then ci_low else -ci_high end as lo, case when direction = 'higher' then ci_high else -ci_low end as hi from " + _GATES + " g left join " + _PAIRED + " p using (evaluator_key, name)) q")
+def c11(s, d):
+    g = s.sql("select * from " + _GATES + " g")
+    return compare.decide(compare.paired_stats(_values(s, d)), g)
+
+
+@query("C12_decide_points", "with l as (select quantile_cont(duration_ms_b, 0.5) as b, quantile_cont(duration_ms_c, 0.5) as c from " + _PAIRS + " p where status_b = 'complete' and status_c = 'complete') select 'p50' as metric, round(c / b - 1, 9) as change, case when c / b - 1 > 0.02 then 'regression' when c / b - 1 < -0.02 then 'improvement' else 'equivalent' end as decision from l")
+def c12(s, d):
+    return compare.decide_points(compare.latency_compare(_pairs(s, d)).select(F.lit("p50").alias("metric"), F.col("p50_base").alias("base"), F.col("p50_cand").alias("cand"), F.lit("lower").alias("direction"), F.lit(0.02).alias("tolerance")))
+
+
+@query("C13_gates")
+def c13(s, d):
+    paired = [r.asDict() for r in compare.paired_stats(_values(s, d)).collect()]  # a row per metric
+    coverage = [r.asDict() for r in _coverage(s, d).collect()]
+    head = [{**r.asDict(), "value": r["mean"]} for r in accounting.metric_summary(view(s, d, "v_metrics")).collect()]
+    g = gates.parse({"min_coverage": 0.8, "gates": {"llm_judge:quality.score": {"direction": "higher", "delta": 0.005}, "exact_match:*.match": {"direction": "higher", "rel_delta": 0.5}, "floor": {"llm_judge:quality.score": 0.4}}})
+    out = gates.evaluate(g, paired, head, coverage)
+    return s.createDataFrame([(out["status"], out["exit_code"], ";".join("/".join(f) for f in out["failures"]))], "status string, exit_code int, failures string")
+
+
+@query("C15_baseline", "select r.id from runs r join dataset_versions v on r.dataset_version_id = v.id where r.status = 'succeeded' and r.target_name in (select target_name from runs) and v.dataset_name = (select max(dataset_name) from dataset_versions) order by r.created_at desc, r.id limit 1")
+def c15(s, d):
+    v = view(s, d, "dataset_versions")
+    name = v.agg(F.max("dataset_name")).first()[0]
+    r = view(s, d, "runs").join(v.select(F.col("id").alias("vid"), "dataset_name"), F.col("dataset_version_id") == F.col("vid")).withColumnRenamed("id", "run_id")
+    tags = r.select("run_id", F.lit("main").alias("tag"))
+    return gates.resolve_baseline(r, tags, "main", name, "").select(F.col("run_id").alias("id"))
+
+
+# agreement
+
+
+_MAJ = "(select case_key, count(*) filter (verdict = 'PASS') as n_pass, count(*) filter (verdict = 'FAIL') as n_fail, case when count(*) filter (verdict = 'PASS') > count(*) filter (verdict = 'FAIL') then 'PASS' when count(*) filter (verdict = 'FAIL') > count(*) filter (verdict = 'PASS') then 'FAIL' end as verdict from {v_reviews} r group by 1)"
+
+
+@query("K1_majority", "select * from " + _MAJ + " x")
+def k1(s, d):
+    return agreement.majority(view(s, d, "v_reviews"), ["case_key"])
+
+
+@query("K2_calibrate", f"""
+    with h as (select case_key, count(*) filter (sample = 'random' and verdict = 'PASS') as p, count(*) filter (sample = 'random' and verdict = 'FAIL') as f, count(*) filter (sample = 'random') as n from {{v_reviews}} r group by 1),
+    j as (select case when n = 0 then 'targeted_only' when p = f then 'tie' when v.verdict is null then 'no_verdict' when v.verdict = 'UNCERTAIN' then 'uncertain' end as reason, f > p as h, v.verdict = 'FAIL' as v from h left join {{v_judged}} v using (case_key)),
+    t as (select count(*) filter (reason is null and h and v) as tp, count(*) filter (reason is null and not h and v) as fp, count(*) filter (reason is null and h and not v) as fn, count(*) filter (reason is null and not h and not v) as tn, count(*) filter (reason = 'targeted_only') as e1, count(*) filter (reason = 'tie') as e2, count(*) filter (reason = 'no_verdict') as e3, count(*) filter (reason = 'uncertain') as e4 from j),
+    q as (select *, (tp + fp + fn + tn)::double as n, (tp + tn)::double as k, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn))::double / ((tp + fp + fn + tn)::double * (tp + fp + fn + tn)) as pe from t)
+    select 'judge' as evaluator_key, n::bigint as n, tp, fp, fn, tn, round(k / n, 9) as accuracy, round({_WILSON('k', 'n')[0]}, 9) as ci_low, round({_WILSON('k', 'n')[1]}, 9) as ci_high, round(tp::double / (tp + fp), 9) as precision, round(tp::double / (tp + fn), 9) as recall, round((k / n - pe) / (1 - pe), 9) as kappa, n < 30 as uncalibrated,
+        e1 as excluded_targeted_only, e2 as excluded_tie, e3 as excluded_no_verdict, e4 as excluded_uncertain from q""")
+def k2(s, d):
+    return agreement.calibrate(view(s, d, "v_reviews"), view(s, d, "v_judged"))
+
+
+@query("K3_reviewer_agreement", """
+    with l as (select case_key, reviewer, verdict from (select *, row_number() over (partition by case_key, reviewer order by created_at desc, seq desc) as k from {v_reviews} r) x where k = 1),
+    p as (select a.verdict as va, b.verdict as vb from l a join l b on a.case_key = b.case_key and a.reviewer < b.reviewer),
+    t as (select count(*)::double as n, count(*) filter (va = vb) as k, count(*) filter (va = 'PASS')::double as ap, count(*) filter (vb = 'PASS')::double as bp from p)
+    select 'judge' as evaluator_key, n::bigint as n, round(k / n, 9) as agreement, round((k / n - (ap * bp + (n - ap) * (n - bp)) / (n * n)) / (1 - (ap * bp + (n - ap) * (n - bp)) / (n * n)), 9) as kappa from t""")
+def k3(s, d):
+    return agreement.reviewer_agreement(view(s, d, "v_reviews"))
+
+
+_ORDER = "(('0x' || substr(sha256('7' || chr(0) || case_key), 1, 16))::ubigint >> 1)"
+
+
+@query("K4_review_queue", "select case_key, evaluator_key, row_number() over (order by o, case_key) as rank from (select case_key, evaluator_key, " + _ORDER + " as o from {v_judged} v where case_key not in (select case_key from {v_reviews} r)) x order by o, case_key limit 100")
+def k4(s, d):
+    return agreement.review_queue(view(s, d, "v_judged"), view(s, d, "v_reviews"), "random", 100, seed=7)
+
+
+@query("K4_review_queue_stratified", "select case_key, evaluator_key, row_number() over (order by verdict, k) as rank from (select case_key, evaluator_key, verdict, row_number() over (partition by verdict order by " + _ORDER + ", case_key) as k from {v_judged} v where verdict in ('PASS', 'FAIL') and case_key not in (select case_key from {v_reviews} r)) x where k <= 50")
+def k4_stratified(s, d):
+    return agreement.review_queue(view(s, d, "v_judged"), view(s, d, "v_reviews"), "stratified", 100, seed=7)
+
+
+_DIS = """with p as (select a.case_key, a.evaluator_key as evaluator_a, b.evaluator_key as evaluator_b, a.is_judge as ja, b.is_judge as jb, a.verdict as va, b.verdict as vb, abs(a.score - b.score) as gap from {v_verdicts} a join {v_verdicts} b on a.case_key = b.case_key and a.evaluator_key < b.evaluator_key),
+    f as (select * from (select *, row_number() over (partition by case_key order by evaluator_a, evaluator_b) as k from p where va in ('PASS', 'FAIL') and vb in ('PASS', 'FAIL') and va <> vb) x where k = 1),
+    d as (select case_key, case when ja <> jb then 'judge_vs_deterministic' else 'verdict_disagreement' end as kind, evaluator_a, evaluator_b, cast(null as double) as score_gap from f union all select case_key, 'score_gap', evaluator_a, evaluator_b, round(gap, 9) from p where ja and jb and gap >= 0.25 and case_key not in (select case_key from f))"""
+
+
+@query("K5_disagreements", _DIS + " select * from d")
+def k5(s, d):
+    return agreement.disagreements(view(s, d, "v_verdicts"))
+
+
+@query("K5_disagreement_rate", _DIS + ", c as (select case_key from {v_verdicts} v where verdict in ('PASS', 'FAIL') group by 1 having count(*) >= 2) select (select count(*) from c) as comparable, (select count(*) from d) as disagreements, (select count(distinct case_key) from d) as disagreeing_cases, round((select count(distinct case_key) from d where case_key in (select case_key from c)) / (select count(*) from c)::double, 9) as rate")
+def k5_rate(s, d):
+    v = view(s, d, "v_verdicts")
+    return agreement.disagreement_rate(v, agreement.disagreements(v))
+
+
+@query("K7_check_reviews", "select count(*) filter (ok) as valid, count(*) filter (not ok) as rejected from (select (evaluation_id is null) <> (case_result_id is null) and sample in ('random', 'targeted') and (verdict is null or verdict in ('PASS', 'FAIL')) and (score is null or score between 0 and 1) and coalesce(trim(reviewer) <> '', false) and (evaluator_key is null or evaluator_key in (select max(evaluator_key) from reviews)) as ok from reviews) x")
+def k7(s, d):
+    r = view(s, d, "reviews")
+    ok, bad = agreement.check_reviews(r, r.agg(F.max("evaluator_key").alias("evaluator_key")))
+    return ok.agg(F.count("*").alias("valid")).crossJoin(bad.agg(F.count("*").alias("rejected")))  # one row each
+
+
+# integrity
+
+
+@query("L1_L3_lint", """
+    with c as (select * from {v_real_cases} x)
+    select 'duplicate_content' as "check", coalesce(sum(k - 1), 0)::bigint as n from (select count(*) as k from c group by content_hash) a union all select 'duplicate_prompt', coalesce(sum(k), 0)::bigint from (select count(*) as k from c group by prompt having count(distinct content_hash) > 1) b
+    union all select 'empty_output', count(*) filter (output is not null and trim(output) = '') from c union all select 'empty_reference', count(*) filter (reference is not null and trim(reference) = '') from c
+    union all select 'mixed_output_presence', case when count(output) > 0 and count(*) > count(output) then least(count(output), count(*) - count(output)) else 0 end from c union all select 'retrieved_without_relevance', (select count(distinct id) from cases where retrieved is not null and relevance is null)""")
+def l1(s, d):
+    return integrity.lint(view(s, d, "cases").dropDuplicates(["id"]))
+
+
+@query("L2_duplicate_prompts", "select case_key, content_hash from {v_cases} c where prompt in (select prompt from {v_cases} x group by prompt having count(distinct content_hash) > 1)")
+def l2(s, d):
+    return integrity.duplicate_prompts(view(s, d, "v_cases")).select("case_key", "content_hash")
+
+
+@query("L5_verify_run", "select 'orphan_case' as \"check\", 'r1' as run_id, case_key as unit from {v_case_results} c where o_orderkey % 1009 = 0 union all select 'ok_without_metric', run_id, case_key from {v_evaluator_results} e where status = 'ok' and o_orderkey not in (select l_orderkey from lineitem)")
+def l5(s, d):
+    c, e, _ = _facts(s, d)
+    cases = view(s, d, "v_cases").where("o_orderkey % 1009 <> 0").select("case_key", F.lit("v1").alias("dataset_version_id"))
+    runs = s.sql("select 'r1' as run_id, 'v1' as dataset_version_id, 'running' as status")
+    return integrity.verify_run(runs, cases, c, e, view(s, d, "v_metrics"))
+
+
+@query("L6_preflight", "select k as evaluator_key, f as field, case f when 'output' then (select count(*) from {v_real_cases} a where output is null) when 'reference' then (select count(*) from {v_real_cases} b where reference is null) else 0 end as missing, (select count(*) from {v_real_cases} c) as total from (select 'em' as k, 'output' as f union all select 'em', 'reference' union all select 'rx', 'output') t")
+def l6(s, d):
+    return integrity.preflight(view(s, d, "v_real_cases"), {"em": ("output", "reference"), "rx": ("output",)})
+
+
+_TEMPLATE = "Answer the question about a small ring, a red widget and a hot gear."
+
+
+@query("L7_contamination", f"select p_partkey::varchar as case_key, 'prompt' as field from part where length(p_name) >= 5 and contains('{_TEMPLATE}', p_name)")
+def l7(s, d):
+    cases = view(s, d, "part").select(F.col("p_partkey").cast("string").alias("case_key"), F.col("p_name").alias("prompt"), F.lit(None).cast("string").alias("reference"))
+    return integrity.contamination(cases, _TEMPLATE, 5)
+
+
+@query("P8_retry_eligible", "select failure_class, failure_kind, count(*) as n from " + _FAILURES + " x where failure_class = 'infrastructure' group by 1, 2")
+def p8(s, d):
+    f = accounting.failures(*_facts(s, d)[:2])
+    return f.where(integrity.retry_eligible(F.col("failure_class"), F.col("failure_kind"), F.lit(0))).groupBy("failure_class", "failure_kind").agg(F.count("*").alias("n"))
+
+
+# order, plan, ledger
+
+
+@query("H8_seeded_order", "select case_key, " + _ORDER + "::bigint as ord from {v_cases} c")
+def h8(s, d):
+    return view(s, d, "v_cases").select("case_key", hashing.seeded_order(7, F.col("case_key")).alias("ord"))
+
+
+@query("W8_sample", "select case_key from {v_cases} c order by " + _ORDER + ", case_key limit 200")
+def w8(s, d):
+    return view(s, d, "v_cases").orderBy(hashing.seeded_order(7, F.col("case_key")), "case_key").limit(200).select("case_key")
+
+
+@query("T13_metric_seed", "select case_key, (('0x' || substr(sha256('7|' || case_key || '|score'), 1, 16))::ubigint)::varchar as seed from {v_cases} c")
+def t13(s, d):
+    return view(s, d, "v_cases").select("case_key", hashing.metric_seed(7, F.col("case_key"), F.lit("score")).cast("string").alias("seed"))
+
+
+@query("H3_H4_case_hashes")
+def h3(s, d):
+    c = view(s, d, "cases").dropDuplicates(["id"]).select("id", "prompt", "output", "reference", "context", "retrieved", "relevance", F.col("metadata_json").alias("metadata"), "tags")
+    return hashing.with_case_hashes(c).select("id", "content_hash", "input_hash")
+
+
+@query("X1_plan", "select case_key, " + _ORDER + "::bigint as ord from {v_cases} c where case_key not in (select case_key from {v_case_results} r where status <> 'pending')")
+def x1(s, d):
+    from tallyframe.plans import runs
+
+    return runs.plan(view(s, d, "v_cases"), view(s, d, "v_case_results").where("status <> 'pending'"), 7).select("case_key", "ord")
+
+
+@query("X2_units_owed", "select case_key, case when r.failure_class = 'infrastructure' then 'retry' when r.status in ('complete', 'failed') and coalesce(e, 0) < 2 then 'recovery' when r.status = 'pending' then 'pending' end as phase from {v_case_results} r left join (select case_key, count(*) as e from {v_evaluator_results} x where o_orderkey % 43 <> 0 group by 1) y using (case_key) where r.failure_class = 'infrastructure' or r.status = 'pending' or coalesce(e, 0) < 2")
+def x2(s, d):
+    from tallyframe.plans import runs
+
+    return runs.units_owed(view(s, d, "v_cases"), view(s, d, "v_case_results"), view(s, d, "v_evaluator_results").where("o_orderkey % 43 <> 0"), 2, 7, max_rounds=3).select("case_key", "phase")
+
+
+@query("X9_call_bound", "select case_key, (strlen(prompt) + 64 + 256)::bigint as bound from {v_real_cases} c")
+def x9(s, d):
+    return view(s, d, "v_real_cases").select("case_key", ledger.call_bound(F.col("prompt"), 256).cast("long").alias("bound"))
+
+
+@query("X11_cache", "select 'hit' as side, count(*) as n from {v_cases} c where content_hash in (select cast(o_orderkey % 1931 as varchar) from orders where o_orderkey % 3 = 0) union all select 'miss', count(distinct content_hash) from {v_cases} c where content_hash not in (select cast(o_orderkey % 1931 as varchar) from orders where o_orderkey % 3 = 0)")
+def x11(s, d):
+    requests = view(s, d, "v_cases").select(F.col("content_hash").alias("key"), "case_key")
+    cache = view(s, d, "orders").where("o_orderkey % 3 = 0").select((F.col("o_orderkey") % 1931).cast("string").alias("key"), F.col("o_orderpriority").alias("response"), F.col("o_orderdate").alias("created_at"))
+    hits, misses = ledger.resolve_cache(requests, cache)
+    return hits.agg(F.lit("hit").alias("side"), F.count("*").alias("n")).unionByName(misses.agg(F.lit("miss").alias("side"), F.count("*").alias("n")))
+
+
+@query("X12_budget", "select run_id, quantity, lim as \"limit\", spent::double as spent, greatest(0, lim - spent)::double as remaining, spent >= lim as exhausted from (select run_id, 'calls' as quantity, 100.0::double as lim, count(*) filter (not cache_hit) as spent from {v_attempts} a group by 1 union all select run_id, 'tokens', 1e9::double, sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)) from {v_attempts} b group by 1) x")
+def x12(s, d):
+    return ledger.budget_status(ledger.spend_totals(_priced(s, d)), {"calls": 100, "tokens": 1e9})
+
+
+@query("W6_attempt_gaps", "select run_id, scope, case_key from (select run_id, scope, case_key, min(n) as lo, max(n) as hi, count(*) as c from {v_attempts} a where seq % 11 <> 0 group by 1, 2, 3) x where lo <> 1 or hi <> c")
+def w6(s, d):
+    return ledger.attempt_gaps(view(s, d, "v_attempts").where("seq % 11 <> 0")).select("run_id", "scope", "case_key")
+
+
+@query("W9_failure_streaks", """with i as (select *, sum(case when outcome <> 'failed' then 1 else 0 end) over (partition by run_id, model order by seq) as island from {v_attempts} a), s as (select run_id, model, island, count(*) as streak, min(seq) as started from i where outcome = 'failed' group by 1, 2, 3)
+    select run_id, model, streak, started from (select *, row_number() over (partition by run_id, model order by streak desc, started) as k from s) t where k = 1""")
+def w9(s, d):
+    return ledger.failure_streaks(view(s, d, "v_attempts"), ["run_id", "model"], ["seq"]).select("run_id", "model", "streak", "started")
+
+
+@query("P11_scrub", "select event_id, 'token=[secret] at https://[secret]@host/' || user_id as clean from events")
+def p11(s, d):
+    t = F.concat(F.lit("token="), F.concat(F.lit("abc"), F.col("event_id")), F.lit(" at https://me:pw"), F.col("event_id"), F.lit("@host/"), F.col("user_id"))
+    return view(s, d, "events").select("event_id", text.scrub(t).alias("clean"))
+
+
+@query("P12_clip", "select doc_id, case when length(text) > 40 then substr(text, 1, 39) || '…' else text end as clipped from documents")
+def p12(s, d):
+    return view(s, d, "documents").select("doc_id", text.clip(F.col("text"), 40).alias("clipped"))
+
+
+@query("P13_model_family", "select judge_model, lower(case when instr(judge_model, '-') > 0 then replace(judge_model, '-', '.') else judge_model end) as family, count(*) as n from evaluations group by 1, 2")
+def p13(s, d):
+    return view(s, d, "evaluations").groupBy("judge_model").agg(F.count("*").alias("n")).select("judge_model", text.model_family(F.col("judge_model")).alias("family"), "n")
+
+
+@query("P10_selector", "select evaluator_key, count(*) as n from {v_evaluator_results} x where evaluator_key like 'llm_%' group by 1")
+def p10(s, d):
+    e = view(s, d, "v_evaluator_results")
+    return e.where(text.selects(F.col("evaluator_key"), "llm_*")).groupBy("evaluator_key").agg(F.count("*").alias("n"))
+
+
+@query("P9_list_runs", "select id from runs where status = 'succeeded' order by created_at desc, id limit 10")
+def p9(s, d):
+    return store.list_runs(view(s, d, "runs"), status="succeeded", limit=10).select("id")
+
+
+@query("S15_list_evaluations", "select id from (select id, max(created_at) as created_at, max(tags_json) as tags_json from evaluations group by id) e where tags_json like '%\"golden\"%' order by created_at desc, id limit 50")
+def s15(s, d):
+    return store.list_evaluations(view(s, d, "evaluations").dropDuplicates(["id"]), "golden").select("id")
+
+
+@query("S9_list_datasets", "select dataset_name, count(*) filter (status = 'sealed') as versions, max(version_no) filter (status = 'sealed') as latest from dataset_versions group by 1")
+def s9(s, d):
+    v = view(s, d, "dataset_versions")
+    sealed = v.where("status = 'sealed'").groupBy("dataset_name").agg(F.count("*").alias("versions"), F.max("version_no").alias("latest"))
+    return v.select("dataset_name").distinct().join(sealed, "dataset_name", "left").select("dataset_name", F.coalesce("versions", F.lit(0)).alias("versions"), "latest")
+
+
+@query("S4_case_limits", "select case_key from {v_real_cases} c where strlen(prompt) + coalesce(strlen(output), 0) + coalesce(strlen(reference), 0) + coalesce(strlen(context), 0) > 900")
+def s4(s, d):
+    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+    c = view(s, d, "v_real_cases")
+    return c.where(size("prompt") + size("output") + size("reference") + size("context") > 900).select("case_key")
+
+
+@query("S12_case_selection")
+def s12(s, d):
+    from tallyframe.plans import report
+
+    return report.case_selection(accounting.failures(*_facts(s, d)[:2]), compare.extremes(_values(s, d)), view(s, d, "v_cases"))
+
+
+@query("X_windowed_failures", "select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as attempts, count(*) filter (event_type = 'error') as failures, round(avg(value), 9) as mean_value from events group by 1, 2")
+def windowed(s, d):
+    return ledger_stream.windowed_failures(view(s, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
