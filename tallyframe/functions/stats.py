@@ -98,7 +98,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     ranked = average_ranks(average_ranks(rows, keys, x, "_rx"), keys, y, "_ry")
     t = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_rx").alias("mx"), F.avg("_ry").alias("my"), F.avg(F.col("_rx") * F.col("_ry")).alias("mxy"), F.stddev_pop("_rx").alias("sx"), F.stddev_pop("_ry").alias("sy"))
     rho = F.try_divide(F.col("mxy") - F.col("mx") * F.col("my"), F.nullif(F.col("sx") * F.col("sy"), F.lit(0.0)))
-    return t.select(*keys, "n", F.when(F.col("n") >= 3, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))).alias("rho"))
+    return t.select(*keys, "n", F.when((F.col("n") >= 3) & rho.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))).alias("rho"))
 
 
 @F.pandas_udf(T.DoubleType())

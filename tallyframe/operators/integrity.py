@@ -117,4 +117,6 @@ def preflight(cases: DataFrame, requires: dict[str, tuple[str, ...]]) -> DataFra
     fields = sorted({f for fs in requires.values() for f in fs if f in cases.columns})
     t = cases.agg(F.count("*").alias("total"), *[F.count_if(F.col(f).isNull()).alias(f) for f in fields])
     need = [F.struct(F.lit(k).alias("evaluator_key"), F.lit(f).alias("field"), (F.col(f) if f in fields else F.col("total")).alias("missing"), F.col("total")) for k, fs in sorted(requires.items()) for f in fs]
+    if not need:
+        return cases.sparkSession.createDataFrame([], "evaluator_key string, field string, missing bigint, total bigint")
     return t.select(F.explode(F.array(*need)).alias("r")).select("r.*")

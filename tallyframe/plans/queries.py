@@ -125,11 +125,11 @@ def e6(s: SparkSession, d: str) -> DataFrame:
 
 @query("E7_rubric_scores", """
     with r as (select l_orderkey, l_quantity as weight, l_discount * 10 as normalized, l_tax >= 0.07 as must_pass from lineitem)
-    select cast(l_orderkey as varchar) as case_key, round(round(sum(weight * normalized) / sum(weight), 10), 9) as overall, case when round(sum(weight * normalized) / sum(weight), 10) >= 0.5 and sum(case when must_pass and normalized < 0.2::double then 1 else 0 end) = 0 then 'PASS' else 'FAIL' end as verdict, sum(case when must_pass and normalized < 0.2::double then 1 else 0 end)::bigint as failed_gates
+    select cast(l_orderkey as varchar) as case_key, round(sum(weight * normalized) / sum(weight), 10) as overall, case when round(sum(weight * normalized) / sum(weight), 10) >= 0.5 and sum(case when must_pass and normalized < 0.2::double then 1 else 0 end) = 0 then 'PASS' else 'FAIL' end as verdict, sum(case when must_pass and normalized < 0.2::double then 1 else 0 end)::bigint as failed_gates
     from r group by l_orderkey""")
 def e7(s: SparkSession, d: str) -> DataFrame:
     rows = view(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("case_key"), F.col("l_quantity").alias("weight"), (F.col("l_discount") * 10).alias("normalized"), (F.col("l_tax") >= 0.07).alias("must_pass"), F.lit(0.2).alias("floor"))
-    return scorers.rubric_scores(rows, ["case_key"], 0.5).select("case_key", F.round("overall", 9).alias("overall"), "verdict", "failed_gates")
+    return scorers.rubric_scores(rows, ["case_key"], 0.5).select("case_key", "overall", "verdict", "failed_gates")
 
 
 @query("E10_interpretation", "select stop, case when stop in ('max_tokens', 'length') then 'truncated' when stop in ('refusal', 'content_filter', 'guardrail') then 'refused' end as kind, count(*) as n from (select case o_orderkey % 4 when 0 then 'end_turn' when 1 then 'max_tokens' when 2 then 'refusal' else 'length' end as stop from orders) t group by stop")
@@ -230,7 +230,7 @@ _RANKS = lambda src, keys, x, y: f"""(select {keys}, count(*) as n, case when st
     select {keys}, rank() over (partition by {keys} order by {x}) + (count(*) over (partition by {keys}, {x}) - 1) / 2.0::double as rx, rank() over (partition by {keys} order by {y}) + (count(*) over (partition by {keys}, {y}) - 1) / 2.0::double as ry from {src}) r group by {keys})"""
 
 
-@query("A10_length_bias", "select run_id, evaluator_key, n, round(greatest(-1, least(1, rho)), 9) as rho, abs(rho) >= 0.5 as warn from " + _RANKS("(select run_id, evaluator_key, value, length(output) as chars from {v_metrics} m join (select run_id, case_key, output from {v_case_results} c) o using (run_id, case_key) where name = 'score') s", "run_id, evaluator_key", "value", "chars") + " x")
+@query("A10_length_bias", "select run_id, evaluator_key, n, round(rho, 9) as rho, abs(rho) >= 0.5 as warn from " + _RANKS("(select run_id, evaluator_key, value, length(output) as chars from {v_metrics} m join (select run_id, case_key, output from {v_case_results} c) o using (run_id, case_key) where name = 'score') s", "run_id, evaluator_key", "value", "chars") + " x")
 def a10(s, d):
     return accounting.length_bias(view(s, d, "v_metrics"), view(s, d, "v_case_results"))
 

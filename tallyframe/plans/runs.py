@@ -122,15 +122,17 @@ def target_stage(cases: DataFrame, target: Target, source_results: DataFrame | N
 
 
 def evaluate_stage(cases: DataFrame, results: DataFrame, specs: list[scorers.EvaluatorSpec], missing: str = "fail") -> tuple[DataFrame, DataFrame]:
-    """(evaluator_results, metrics): every evaluator on every complete case; failed cases skip them all."""
+    """(evaluator_results, metrics): every evaluator on every complete case; failed cases skip them all.
+
+    Column scorers of one scan have no time of their own per row: their duration_ms is null."""
     merged = cases.drop("output", "target_meta").join(results.where("status = 'complete'").select("case_key", "output", "target_meta"), "case_key")
     scored = scorers.score_all(merged, specs, missing)
     o = F.col("outcome")
     failure = F.when(o["status"] == "failed", F.when(o["failure_kind"] == "missing_field", "input").when(o["failure_kind"].isin("rate_limited", "provider_unavailable", "timeout", "connection", "auth", "quota_exhausted"), "infrastructure").otherwise("evaluator"))
-    er = scored.select("case_key", "evaluator_key", o["status"].alias("status"), failure.alias("failure_class"), o["failure_kind"].alias("failure_kind"), o["verdict"].alias("verdict"), o["detail"].alias("detail"))
+    er = scored.select("case_key", "evaluator_key", o["status"].alias("status"), failure.alias("failure_class"), o["failure_kind"].alias("failure_kind"), o["verdict"].alias("verdict"), o["detail"].alias("detail"), F.lit(None).cast("double").alias("duration_ms"))
     keys = F.explode(F.array(*[F.lit(s.key) for s in specs]))
     none = lambda c: F.lit(None).cast("string").alias(c)
-    skipped = results.where("status = 'failed'").select("case_key", keys.alias("evaluator_key"), F.lit("skipped").alias("status"), none("failure_class"), none("failure_kind"), none("verdict"), none("detail"))
+    skipped = results.where("status = 'failed'").select("case_key", keys.alias("evaluator_key"), F.lit("skipped").alias("status"), none("failure_class"), none("failure_kind"), none("verdict"), none("detail"), F.lit(None).cast("double").alias("duration_ms"))
     return er.unionByName(skipped), scorers.long_metrics(scored, "case_key")
 
 
@@ -237,13 +239,14 @@ class Controller:
                     if room <= 0:
                         reason = "budget"
                         break
-                    batch = owed.orderBy("ord", "case_key").limit(room).drop("ord").cache()
-                    n = batch.count()
-                    if not n:
-                        batch.unpersist()
+                    # The keys of a wave, which has a fixed size, are taken to the driver: the plan of what is
+                    # owed reads the table that this wave adds to.
+                    keys = [(r["case_key"],) for r in owed.orderBy("ord", "case_key").limit(room).select("case_key").collect()]
+                    if not keys:
                         break
+                    n = len(keys)
+                    batch = cases.join(self.spark.createDataFrame(keys, "case_key string"), "case_key", "left_semi")
                     self._save(config, batch, target_stage(batch, config.target), retry_round)
-                    batch.unpersist()
                     calls, wave = calls + n, wave + 1
                     self.events.emit("wave", run_id=config.run_id, wave=wave, n=n)
                     done = self.store.read("case_results").where((F.col("run_id") == config.run_id) & (F.col("retry_round") == retry_round))

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from tallyframe.plans.session import prepare
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -13,5 +15,6 @@ def spark():
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
+    prepare(s)
     s.sparkContext.setLogLevel("ERROR")
     yield s
