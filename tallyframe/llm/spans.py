@@ -187,10 +187,14 @@ def sharing_pairs(members: DataFrame, spans: DataFrame, length: int = LENGTH) ->
 def shared_share(df: DataFrame, id_col: str, text_col: str, members: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per row of `df`: (id_col, n_chars, shared_chars, share), the share of its text that also
     stands in another row. A null text has null n_chars and share 0; an empty one has share 0."""
-    copies = members.where(F.col("size") >= length).groupBy("h", "rep").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("h", "rep")
-    whole = members.join(copies, ["h", "rep"], "left_semi").select("doc", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
-    sides = spans.select(F.col("h_a").alias("h"), F.col("rep_a").alias("rep"), F.col("at_a").alias("at"), "n").unionByName(spans.select(F.col("h_b").alias("h"), F.col("rep_b").alias("rep"), F.col("at_b").alias("at"), "n")).distinct()
-    parts = members.join(sides, ["h", "rep"]).select("doc", (F.col("start") + F.col("at")).alias("s"), (F.col("start") + F.col("at") + F.col("n")).alias("e"))
+    owners = members.groupBy("h", "rep").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    copies = members.where(F.col("size") >= length).join(owners.where("lo <> hi"), ["h", "rep"], "left_semi")
+    whole = copies.select("doc", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
+    # A span counts for a row if a piece on its other side belongs to another row.
+    side = lambda a, b: spans.select(F.col(f"h_{a}").alias("h"), F.col(f"rep_{a}").alias("rep"), F.col(f"at_{a}").alias("at"), "n", F.col(f"h_{b}").alias("oh"), F.col(f"rep_{b}").alias("orep"))
+    others = owners.select(F.col("h").alias("oh"), F.col("rep").alias("orep"), "lo", "hi")
+    sides = side("a", "b").unionByName(side("b", "a")).distinct().join(others, ["oh", "orep"]).select("h", "rep", "at", "n", "lo", "hi")
+    parts = members.join(sides, ["h", "rep"]).where("lo <> doc or hi <> doc").select("doc", (F.col("start") + F.col("at")).alias("s"), (F.col("start") + F.col("at") + F.col("n")).alias("e"))
     spans_of = whole.unionByName(parts).distinct().groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("v"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum"))
     total = F.aggregate("v", zero, lambda a, t: F.struct(F.greatest(a["end"], t["e"]).alias("end"), (a["sum"] + F.greatest(t["e"] - F.greatest(a["end"], t["s"]), F.lit(0))).alias("sum")))["sum"]
