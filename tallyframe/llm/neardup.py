@@ -227,7 +227,8 @@ def _open_groups(t: pa.RecordBatch, threshold: float) -> pa.RecordBatch:
     codes = np.sort(row * width + element)
     own = t.column("own").to_numpy()
     two_blocks = bool((own != own[0]).any())  # pairs within one block belong to the shard of that block alone
-    work = np.array([int((last - first)[element[off[i] : off[i] + limit[i]]].sum()) for i in range(len(n))]) if len(n) > 200 else np.zeros(len(n), np.int64)
+    reach = np.append(0, np.cumsum((last - first)[element]))
+    work = reach[off[:-1] + limit] - reach[off[:-1]]
     found_a, found_b = [], []
     q_all = np.flatnonzero(small)
     share = np.cumsum(work[q_all]) // 2_000_000 + np.arange(len(q_all)) // 500
