@@ -684,3 +684,86 @@ def s12(s, d):
 @query("X_windowed_failures", "select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as attempts, count(*) filter (event_type = 'error') as failures, round(avg(value), 9) as mean_value from events group by 1, 2")
 def windowed(s, d):
     return ledger_stream.windowed_failures(view(s, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# statistics and joins on their own
+
+
+@query("T1_T9_statistics", f"""select event_type, n::bigint as n, round(m, 9) as mean, round(sd, 9) as stdev, round(q, 9) as q25, round({_WILSON('k', 'n')[0]}, 9) as wilson_low, round({_WILSON('k', 'n')[1]}, 9) as wilson_high, round(m - {_Z} * sd / sqrt(n), 9) as normal_low, round(2.8::double * sd / sqrt(n), 9) as mde, bin as binary
+    from (select event_type, count(*)::double as n, avg(value) as m, stddev_samp(value) as sd, quantile_cont(value, 0.25) as q, count(*) filter (user_id % 3 = 0)::double as k, bool_and(value in (0, 1)) as bin from events group by 1) t""")
+def t1(s, d):
+    v, n = F.col("value"), F.col("n")
+    t = view(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), stats.mean(v).alias("m"), stats.stdev(v).alias("sd"), stats.quantile(v, 0.25).alias("q"), F.count_if(F.col("user_id") % 3 == 0).alias("k"), stats.is_binary(v).alias("binary"))
+    low, high = stats.wilson(F.col("k"), n)
+    r = lambda c, a: F.round(c, 9).alias(a)
+    return t.select("event_type", "n", r(F.col("m"), "mean"), r(F.col("sd"), "stdev"), r(F.col("q"), "q25"), r(low, "wilson_low"), r(high, "wilson_high"), r(stats.normal_interval(F.col("m"), F.col("sd"), n)[0], "normal_low"), r(stats.minimum_detectable_effect(F.col("sd"), n), "mde"), "binary")
+
+
+@query("T10_mcnemar", "select user_id, b, c, round(case when b + c = 0 then 1 else least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) end, 9) as p from (select user_id, count(*) filter (event_type = 'click') as b, count(*) filter (event_type = 'error') as c from events group by 1) t")
+def t10(s, d):
+    t = view(s, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("b"), F.count_if(F.col("event_type") == "error").alias("c"))
+    return t.select("user_id", "b", "c", F.round(stats.mcnemar_exact(F.col("b"), F.col("c")), 9).alias("p"))
+
+
+@query("T11_kappa", "select n::bigint as n, k as agreed, round((k / n - pe) / (1 - pe), 9) as kappa from (select count(*)::double as n, count(*) filter (a = b) as k, (count(*) filter (a = 'PASS')::double * count(*) filter (b = 'PASS') + count(*) filter (a = 'FAIL')::double * count(*) filter (b = 'FAIL')) / (count(*)::double * count(*)) as pe from (select v.verdict as a, m.verdict as b from {v_judged} v join " + _MAJ + " m using (case_key) where v.verdict in ('PASS', 'FAIL') and m.verdict is not null) t) q")
+def t11(s, d):
+    j = view(s, d, "v_judged").where("verdict in ('PASS', 'FAIL')").select("case_key", F.col("verdict").alias("a")).join(agreement.majority(view(s, d, "v_reviews"), ["case_key"]).select("case_key", F.col("verdict").alias("b")), "case_key")
+    return stats.kappa(j, [], "a", "b").select("n", "agreed", F.round("kappa", 9).alias("kappa"))
+
+
+@query("J7_pairing", "select case_key, status_b, status_c from " + _PAIRS + " p")
+def j7(s, d):
+    return _pairs(s, d).select("case_key", "status_b", "status_c")
+
+
+@query("J9_paired_values", "select evaluator_key, name, case_key, round(base, 9) as base, round(cand, 9) as cand from " + _VALUES + " v")
+def j9(s, d):
+    return _values(s, d).select("evaluator_key", "name", "case_key", F.round("base", 9).alias("base"), F.round("cand", 9).alias("cand"))
+
+
+@query("J4_J5_orphans", "select id from case_results r group by id having max(case_id) not in (select id from cases) or max(run_id) not in (select id from runs) union all select id from cases c where id not in (select case_id from case_results) group by id")
+def j4(s, d):
+    cases, results = view(s, d, "cases").select("id").distinct(), view(s, d, "case_results").select("id", "case_id", "run_id").dropDuplicates(["id"])
+    lost = results.join(cases.withColumnRenamed("id", "case_id"), "case_id", "left_anti").select("id").union(results.join(view(s, d, "runs").select(F.col("id").alias("run_id")), "run_id", "left_anti").select("id")).distinct()
+    return lost.union(cases.join(results.select(F.col("case_id").alias("id")), "id", "left_anti"))
+
+
+@query("P1_target_view", "select case_key, prompt, context from {v_real_cases} c")
+def p1(s, d):
+    return view(s, d, "v_real_cases").select("case_key", "prompt", "context")
+
+
+@query("P3_missing_requirement", "select id, case when output is null or reference is null then 'missing_field' end as failure_kind from {v_real_cases} c")
+def p3(s, d):
+    c = view(s, d, "v_real_cases").select(F.col("id").alias("case_key"), "output", "reference")
+    return scorers.score(c, scorers.EvaluatorSpec("exact_match", "em")).select(F.col("case_key").alias("id"), "outcome.failure_kind")
+
+
+@query("P14_oversize", "select failure_kind, count(*) as n, sum(case when failure_kind = 'oversize' then 1 else 0 end)::bigint as n_oversize from {v_case_results} c where status = 'failed' group by 1")
+def p14(s, d):
+    f = view(s, d, "v_case_results").where("status = 'failed'")
+    message = F.when(F.col("failure_kind") == "oversize", F.lit("The input is too long for this model")).otherwise(F.lit("request timed out"))
+    return f.withColumn("big", text.is_oversize(message, F.lit("400"))).groupBy("failure_kind").agg(F.count("*").alias("n"), F.count_if("big").alias("n_oversize"))
+
+
+@query("W4_latest_review", "select case_key, reviewer, verdict from (select *, row_number() over (partition by case_key, reviewer order by created_at desc, seq desc) as k from {v_reviews} r) x where k = 1")
+def w4(s, d):
+    return agreement.latest_reviews(view(s, d, "v_reviews")).select("case_key", "reviewer", "verdict")
+
+
+@query("W5_latest_version", "select dataset_name, version_no, status from (select *, row_number() over (partition by dataset_name order by version_no desc) as k from dataset_versions) x where k = 1")
+def w5(s, d):
+    return view(s, d, "dataset_versions").groupBy("dataset_name").agg(F.max("version_no").alias("version_no"), F.max_by("status", "version_no").alias("status"))
+
+
+@query("K6_judge_check", "select category, count(*) as n, count(*) filter (status = 'ok' and verdict = expected) as correct, count(*) filter (status <> 'ok') as unjudgeable, round(count(*) filter (status = 'ok' and verdict = expected) / count(*)::double, 9) as accuracy from (select judge_model as category, 'PASS' as expected, max(status) as status, max(verdict) as verdict from evaluations group by id, judge_model) t group by 1")
+def k6(s, d):
+    e = view(s, d, "evaluations").dropDuplicates(["id"]).select(F.col("judge_model").alias("category"), F.lit("PASS").alias("expected"), "status", "verdict")
+    return agreement.judge_check(e)
+
+
+@query("X13_success_rule", "select sum(case when e < 2 then 1 else 0 end)::bigint as owed, min(cov) >= 0.8 as covered from (select c.case_key, count(e.evaluator_key) as e from {v_case_results} c left join {v_evaluator_results} e on e.case_key = c.case_key where c.status <> 'pending' group by 1) x cross join (select min(ok::double / applicable) as cov from " + _COVERAGE + " y) z")
+def x13(s, d):
+    c, e, _ = _facts(s, d)
+    owed = c.where("status <> 'pending'").select("case_key").join(e.groupBy("case_key").agg(F.count("*").alias("e")), "case_key", "left").agg(F.count_if(F.coalesce("e", F.lit(0)) < 2).alias("owed"))
+    return owed.crossJoin(_coverage(s, d).agg((F.min("coverage") >= 0.8).alias("covered")))  # one row each
