@@ -144,18 +144,29 @@ def _search(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         yield flush([b for b in held if b.num_rows])
 
 
-def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc, first): every id with the least id that has the same text (by two 64-bit hashes and the length)."""
+    keys = docs.select(F.col("id").alias("doc"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), F.length("text").alias("n"))
+    first = keys.groupBy("k1", "k2", "n").agg(F.min("doc").alias("first"))
+    return keys.join(first, ["k1", "k2", "n"]).select("doc", "first")
+
+
+def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Spans of at least `length` characters, exactly as stored, that two different rows share.
 
-    Gives (members, spans). members: (h, rep, doc, start, size), the pieces of every text around the
-    samples that another text has too; all with the same (h, rep) have the same piece. spans: (h_a,
+    Gives (copies, members, spans). copies: (doc, first), rows of the same text under their least id;
+    only that one goes on, so that a text that many rows copy is searched once. members: (h, rep, doc,
+    start, size), the pieces of every text around the samples that another text has too; all with the
+    same (h, rep) have the same piece. spans: (h_a,
     rep_a, at_a, h_b, rep_b, at_b, n), a span of n characters in two pieces, counted from their
     starts. A pair of rows shares a span if both have one piece of at least `length` characters, or
     two pieces with a span. Null texts and texts under `length` characters share nothing; ids must
     be unique.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") >= length)
-    shared = written(_shared_samples(written(_samples(docs, length, gram))))
+    copies = written(_copies(docs))
+    again = copies.where("doc <> first").select("doc")
+    shared = written(_shared_samples(written(_samples(docs, length, gram).join(again, "doc", "left_anti"))))
     pieces = written(_pieces(docs, shared, length, gram).withColumn("rep", F.xxhash64("piece")))
     distinct = pieces.groupBy("h", "rep").agg(F.min("doc").alias("doc0"), F.max("doc").alias("doc1"), F.any_value("piece").alias("piece")).withColumn("size", F.length("piece"))
     members = pieces.select("h", "rep", "doc", "start", F.length("piece").alias("size"))
@@ -168,10 +179,10 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH
     rows = many.select("h", "rep", "piece", F.explode(pair).alias("block"))
     ordered = rows.repartition("h", "block").sortWithinPartitions("h", "block", "rep")
     spans = ordered.mapInArrow(lambda it: _search(it, length), "h_a bigint, rep_a bigint, at_a int, h_b bigint, rep_b bigint, at_b int, n int")
-    return members, written(spans)
+    return copies, members, written(spans)
 
 
-def sharing_pairs(members: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
+def sharing_pairs(copies: DataFrame, members: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
     """(a, b): every two ids that share a span, a < b, each pair once."""
     m = members.select("h", "rep", "doc", "size")
     whole = m.where(F.col("size") >= length)
@@ -181,15 +192,19 @@ def sharing_pairs(members: DataFrame, spans: DataFrame, length: int = LENGTH) ->
     left = m.select(F.col("h").alias("h_a"), F.col("rep").alias("rep_a"), F.col("doc").alias("p"))
     right = m.select(F.col("h").alias("h_b"), F.col("rep").alias("rep_b"), F.col("doc").alias("q"))
     across = links.join(left, ["h_a", "rep_a"]).join(right, ["h_b", "rep_b"]).where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-    return same.unionByName(across).distinct()
+    texts = same.unionByName(across).distinct()
+    u, v = copies.select(F.col("doc").alias("p"), F.col("first").alias("a")), copies.select(F.col("doc").alias("q"), F.col("first").alias("b"))
+    rows = texts.join(u, "a").join(v, "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    twice = u.join(v, F.col("a") == F.col("b")).where("p < q").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    return rows.unionByName(twice)
 
 
-def shared_share(df: DataFrame, id_col: str, text_col: str, members: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
+def shared_share(df: DataFrame, id_col: str, text_col: str, copies: DataFrame, members: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per row of `df`: (id_col, n_chars, shared_chars, share), the share of its text that also
     stands in another row. A null text has null n_chars and share 0; an empty one has share 0."""
     owners = members.groupBy("h", "rep").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    copies = members.where(F.col("size") >= length).join(owners.where("lo <> hi"), ["h", "rep"], "left_semi")
-    whole = copies.select("doc", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
+    common = members.where(F.col("size") >= length).join(owners.where("lo <> hi"), ["h", "rep"], "left_semi")
+    whole = common.select("doc", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
     # A span counts for a row if a piece on its other side belongs to another row.
     side = lambda a, b: spans.select(F.col(f"h_{a}").alias("h"), F.col(f"rep_{a}").alias("rep"), F.col(f"at_{a}").alias("at"), "n", F.col(f"h_{b}").alias("oh"), F.col(f"rep_{b}").alias("orep"))
     others = owners.select(F.col("h").alias("oh"), F.col("rep").alias("orep"), "lo", "hi")
@@ -198,17 +213,19 @@ def shared_share(df: DataFrame, id_col: str, text_col: str, members: DataFrame,
     spans_of = whole.unionByName(parts).distinct().groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("v"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum"))
     total = F.aggregate("v", zero, lambda a, t: F.struct(F.greatest(a["end"], t["e"]).alias("end"), (a["sum"] + F.greatest(t["e"] - F.greatest(a["end"], t["s"]), F.lit(0))).alias("sum")))["sum"]
-    got = spans_of.select(F.col("doc").alias("_doc"), total.alias("shared_chars"))
+    of_text = spans_of.select(F.col("doc").alias("first"), total.alias("shared_chars"))
+    several = copies.groupBy("first").agg((F.count("*") > 1).alias("copied"))
+    got = copies.join(several, "first").join(of_text, "first", "left").select(F.col("doc").alias("_doc"), "copied", "shared_chars")
     base = df.select(F.col(id_col), F.length(text_col).alias("n_chars"))
     out = base.join(got, base[id_col] == got["_doc"], "left")
-    n = F.coalesce("shared_chars", F.lit(0))
+    n = F.when(F.col("copied"), F.col("n_chars")).otherwise(F.coalesce("shared_chars", F.lit(0)))
     return out.select(id_col, "n_chars", n.alias("shared_chars"), F.coalesce(F.try_divide(n.cast("double"), F.col("n_chars").cast("double")), F.lit(0.0)).alias("share"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every two documents with at least 400 consecutive characters in common."""
-    members, spans = shared_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    return sharing_pairs(members, spans).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+    found = shared_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return sharing_pairs(*found).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,12 +122,12 @@ def test_span_pairs_are_those_of_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(spans, "GROUP_BLOCK", block)
     n, t = 40, span_texts(seed)
     df = spark.createDataFrame([(i, x, 7) for i, x in enumerate(t)], "id bigint, body string, h int")
-    members, found = spans.shared_spans(df, "id", "body", n, 20)
-    got = [tuple(r) for r in spans.sharing_pairs(members, found, n).collect()]
+    found = spans.shared_spans(df, "id", "body", n, 20)
+    got = [tuple(r) for r in spans.sharing_pairs(*found, n).collect()]
     grams = [{x[i : i + n] for i in range(len(x) - n + 1)} if x else set() for x in t]
     want = {(a, b) for a in range(len(t)) for b in range(a + 1, len(t)) if grams[a] & grams[b]}
     assert set(got) == want and len(got) == len(want) > 10
-    share = {r["id"]: r for r in spans.shared_share(df, "id", "body", members, found, n).collect()}
+    share = {r["id"]: r for r in spans.shared_share(df, "id", "body", *found, n).collect()}
     for a, x in enumerate(t):
         cover = set()
         for i in range(len(x or "") - n + 1):
@@ -139,8 +139,8 @@ def test_span_pairs_are_those_of_brute_force(spark, monkeypatch, seed, block):
 
 def test_no_texts_share_nothing(spark):
     df = spark.createDataFrame([], "id bigint, body string")
-    members, found = spans.shared_spans(df, "id", "body")
-    assert spans.sharing_pairs(members, found).count() == 0 and spans.shared_share(df, "id", "body", members, found).count() == 0
+    found = spans.shared_spans(df, "id", "body")
+    assert spans.sharing_pairs(*found).count() == 0 and spans.shared_share(df, "id", "body", *found).count() == 0
 
 
 # cut values
