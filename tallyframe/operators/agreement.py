@@ -102,11 +102,11 @@ def disagreements(outcomes: DataFrame, tau: float = TAU) -> DataFrame:
 
 def disagreement_rate(outcomes: DataFrame, found: DataFrame) -> DataFrame:
     """One row: cases with two confident verdicts or more, disagreements, distinct disagreeing cases, and their rate among them."""
-    comparable = outcomes.where("verdict in ('PASS', 'FAIL')").groupBy("case_key").count().where("count >= 2").select("case_key")
-    c = comparable.agg(F.count("*").alias("comparable"))
-    d = found.agg(F.count("*").alias("disagreements"), F.countDistinct("case_key").alias("disagreeing_cases"))
-    both = found.select("case_key").distinct().join(comparable, "case_key", "left_semi").agg(F.count("*").alias("k"))
-    return c.crossJoin(d).crossJoin(both).select("comparable", "disagreements", "disagreeing_cases", F.round(F.try_divide(F.col("k"), F.col("comparable")), 9).alias("rate"))  # one row each
+    confident = outcomes.where("verdict in ('PASS', 'FAIL')").groupBy("case_key").agg((F.count("*") >= 2).cast("int").alias("two"))
+    per = confident.join(found.groupBy("case_key").agg(F.count("*").alias("found")), "case_key", "full_outer").select(F.coalesce("two", F.lit(0)).alias("two"), F.coalesce("found", F.lit(0)).alias("found"))
+    hit = (F.col("found") > 0).cast("int")
+    t = per.agg(F.coalesce(F.sum("two"), F.lit(0)).alias("comparable"), F.coalesce(F.sum("found"), F.lit(0)).alias("disagreements"), F.coalesce(F.sum(hit), F.lit(0)).alias("disagreeing_cases"), F.sum(hit * F.col("two")).alias("k"))
+    return t.select("comparable", "disagreements", "disagreeing_cases", F.round(F.try_divide(F.col("k"), F.col("comparable")), 9).alias("rate"))
 
 
 def judge_check(fixtures: DataFrame) -> DataFrame:

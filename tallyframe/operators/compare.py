@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import stats
 
-PAIRED_MIN_N, GAP_WARNING, EXTREMES = 30, 0.05, 10
+PAIRED_MIN_N, GAP_WARNING, EXTREMES, MAX_EVALUATORS = 30, 0.05, 10, 32
 SIDES = ("baseline", "candidate")
 
 
@@ -63,7 +63,10 @@ def exclusion_reason(status: Column, failure_class: Column, evaluator_status: Co
 
 def exclusions(pairs: DataFrame, evaluator_results: DataFrame, evaluators: DataFrame, baseline: object, candidate: object) -> DataFrame:
     """(side, evaluator_key, reason, n) over the common cases, each case once per side and evaluator."""
-    grid = pairs.crossJoin(F.broadcast(evaluators.select("evaluator_key").distinct()))  # evaluators of a run: at most 32
+    keys = [r[0] for r in evaluators.select("evaluator_key").distinct().limit(MAX_EVALUATORS + 1).collect()]
+    if not 0 < len(keys) <= MAX_EVALUATORS:
+        raise ValueError(f"a run has 1 to {MAX_EVALUATORS} evaluators")
+    grid = pairs.withColumn("evaluator_key", F.explode(F.array(*map(F.lit, sorted(keys)))))
     out = None
     for side, run, s in ((SIDES[0], baseline, "b"), (SIDES[1], candidate, "c")):
         e = evaluator_results.where(F.col("run_id") == run).select("case_key", "evaluator_key", F.col("status").alias("e_status"))
