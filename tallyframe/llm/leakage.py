@@ -63,20 +63,21 @@ class Grams:
 
 
 def find_passages(docs: DataFrame, doc_id: str, text_col: str, items: DataFrame, item_id: str, text_cols: list[str], n: int = WORDS) -> DataFrame:
-    """Passages of test items in the texts: (doc_id, item_id, start_pos, end_pos).
+    """Passages of test items in the texts: (doc_id, item_id, start_pos, end_pos); if both ids have one
+    name, the item's is item_<name>.
 
     A passage is a longest stretch of the document in which every window of `n` words also stands in
     a row in one of the item's text columns; words are runs of letters and digits, case ignored.
     Positions are 0-based characters of the document, the end excluded. Null and empty texts, and
     items of fewer than `n` words, give no row; repeated rows of the corpus are reported each.
     """
-    spark = docs.sparkSession
+    spark, item_name = docs.sparkSession, item_id if item_id != doc_id else f"item_{item_id}"
     kind_d, kind_i = (df.select(c).schema[0].dataType.simpleString() for df, c in ((docs, doc_id), (items, item_id)))
     source = docs.select(F.col(doc_id).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = _item_rows(items, item_id, text_cols)
     blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
     tables = spark.sparkContext.broadcast(vec.packed_tables("class", "lower"))
-    schema = f"`{doc_id}` {kind_d}, `{item_id}` {kind_i}, start_pos int, end_pos int"
+    schema = f"`{doc_id}` {kind_d}, `{item_name}` {kind_i}, start_pos int, end_pos int"
     out = None
     for k in range(blocks):
         block = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
@@ -86,7 +87,7 @@ def find_passages(docs: DataFrame, doc_id: str, text_col: str, items: DataFrame,
             vec.unpack_tables(tables.value, "class", "lower")
             for batch in batches:
                 for part in vec.slices(batch, "text"):
-                    yield _scan(part, grams.value, doc_id, item_id, kind_i)
+                    yield _scan(part, grams.value, doc_id, item_name, kind_i)
 
         found = source.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)

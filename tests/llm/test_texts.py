@@ -60,6 +60,8 @@ def test_leaks_whole_partial_and_across_punctuation(spark):
     clean = {r["doc_id"]: (r["clean_text"], r["dropped"]) for r in leakage.clean_documents(df, p, "doc_id", "text").collect()}
     assert clean[1] == (None, True) and clean[4] == (None, False) and clean[5] == ("", False) and clean[3][0] == docs[2][1] and clean[7][1]
     assert leakage.find_passages(df, "doc_id", "text", items.limit(0), "item_id", ["prompt"]).count() == 0
+    same = leakage.find_passages(df, "doc_id", "text", items.withColumnRenamed("item_id", "doc_id"), "doc_id", ["prompt"])
+    assert same.columns == ["doc_id", "item_doc_id", "start_pos", "end_pos"] and same.count() == p.count()
     assert leakage.find_passages(df.limit(0), "doc_id", "text", items, "item_id", ["prompt"]).count() == 0
 
 
