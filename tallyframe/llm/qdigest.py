@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 BITS = 32
 #: Rank error of a percentile as a share of the number of values.
 ERROR = 0.005
-#: Values a task holds before it turns them into digests, and parts in which a group's digests are merged.
+#: Values a task holds before it turns them into digests, and digests that one task merges.
 HELD, FAN_IN = 1_000_000, 64
 NODE = "metric string, level int, node bigint, n bigint"
+RESERVED = {"metric", "level", "node", "n", "part", "max_rank_error"}
 
 
 def codes_of(values: np.ndarray) -> np.ndarray:
@@ -44,6 +45,9 @@ def _sum_by(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def compress(level: np.ndarray, node: np.ndarray, n: np.ndarray, error: float = ERROR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The digest of these nodes: equal nodes added, light families moved to their parents."""
     limit = int(n.sum() // np.ceil(BITS / error))
+    if not limit:  # too few values for any family to be light
+        both, c = _sum_by((level.astype(np.int64) << BITS) | node, n)
+        return both >> BITS, both & ((1 << BITS) - 1), c
     out: list[tuple[int, np.ndarray, np.ndarray]] = []
     up, up_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for k in range(BITS + 1):
@@ -88,9 +92,11 @@ def digest(df: DataFrame, keys: list[str], columns: list[str], error: float = ER
     """Digests of numeric columns per group: (*keys, metric, level, node, n).
 
     Nulls and NaN are no values; a group without values has no rows; a null key is a group. Every
-    task digests its own rows first; equal nodes are added before every shuffle, and the digests of a
-    group are merged in FAN_IN parts and then as one, so that no task reads all digests of a group.
+    task digests its own rows first; the digests are then merged in a tree of FAN_IN, equal nodes
+    added before every shuffle, so that no task reads more than FAN_IN digests of a group.
     """
+    if set(keys) & RESERVED:
+        raise ValueError(f"a key is named as a column of the digest: {sorted(set(keys) & RESERVED)}")
     source = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
     head = _key_columns(source, keys)
 
@@ -146,8 +152,19 @@ def digest(df: DataFrame, keys: list[str], columns: list[str], error: float = ER
                 yield out
 
     parts = source.mapInArrow(run, f"{head}{NODE}, part int")
-    some = _merge(parts.withColumn("part", F.expr(f"part % {FAN_IN}").cast("int")), [*keys, "part"], error)
-    return _merge(some.drop("part"), keys, error)
+    tasks = _tasks(source)
+    while tasks > FAN_IN:
+        step = F.expr(f"part div {FAN_IN}").cast("int")
+        parts = _merge(parts.withColumn("part", step), [*keys, "part"], error).select(*keys, "metric", "level", "node", "n", "part")
+        tasks = -(-tasks // FAN_IN)
+    return _merge(parts.drop("part"), keys, error)
+
+
+def _tasks(df: DataFrame) -> int:
+    """At most so many tasks compute the rows: the shuffle partitions, or those of a scan without a shuffle; nothing is run."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.rdd.getNumPartitions()
 
 
 def _merge(nodes: DataFrame, keys: list[str], error: float) -> DataFrame:
@@ -204,7 +221,20 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(merge(days, ["judge_model"]), ["judge_model"], PERCENTS)
 
 
+def p1_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every single day, from the digests that p1_percentiles combines."""
+    keys = ["judge_model", "day"]
+    return percentiles(digest(_evaluations(spark, sf_dir), keys, ["latency_ms", "overall_score"]), keys, PERCENTS)
+
+
 ORACLE = {
+    "p1_daily": f"""
+        WITH e AS (SELECT id, any_value(judge_model) AS judge_model, any_value(created_at)::DATE AS day, any_value(latency_ms)::DOUBLE AS latency_ms, any_value(overall_score) AS overall_score FROM evaluations GROUP BY id),
+        v AS (SELECT judge_model, day, 'latency_ms' AS metric, latency_ms AS v FROM e UNION ALL SELECT judge_model, day, 'overall_score', overall_score FROM e),
+        r AS (SELECT judge_model, day, metric, v::FLOAT::DOUBLE AS v, row_number() OVER w AS k, count(*) OVER (PARTITION BY judge_model, day, metric) AS n FROM v WHERE v IS NOT NULL AND NOT isnan(v)
+            WINDOW w AS (PARTITION BY judge_model, day, metric ORDER BY v))
+        SELECT judge_model, day, metric, n, {', '.join(f'max(CASE WHEN k = (n * {p} + 99) // 100 THEN v END) AS p{p}' for p in PERCENTS)},
+            ({BITS} * (n // {int(np.ceil(BITS / ERROR))}))::BIGINT AS max_rank_error FROM r GROUP BY judge_model, day, metric, n""",
     "p1_percentiles": f"""
         WITH e AS (SELECT id, any_value(judge_model) AS judge_model, any_value(latency_ms)::DOUBLE AS latency_ms, any_value(overall_score) AS overall_score FROM evaluations GROUP BY id),
         v AS (SELECT judge_model, 'latency_ms' AS metric, latency_ms AS v FROM e UNION ALL SELECT judge_model, 'overall_score', overall_score FROM e),
