@@ -211,7 +211,7 @@ PERCENTS = [10, 25, 50, 75, 90, 95, 99]
 
 
 def _evaluations(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.read.parquet(f"{d}/evaluations.parquet").select("id", "judge_model", F.to_date("created_at").alias("day"), "latency_ms", "overall_score")
+    df = spark.read.parquet(f"{d}/evaluations.parquet").select("id", "judge_model", F.date_format("created_at", "yyyy-MM-dd").alias("day"), "latency_ms", "overall_score")
     return df.dropDuplicates(["id"])
 
 
@@ -229,7 +229,7 @@ def p1_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = {
     "p1_daily": f"""
-        WITH e AS (SELECT id, any_value(judge_model) AS judge_model, any_value(created_at)::DATE AS day, any_value(latency_ms)::DOUBLE AS latency_ms, any_value(overall_score) AS overall_score FROM evaluations GROUP BY id),
+        WITH e AS (SELECT id, any_value(judge_model) AS judge_model, strftime(any_value(created_at), '%Y-%m-%d') AS day, any_value(latency_ms)::DOUBLE AS latency_ms, any_value(overall_score) AS overall_score FROM evaluations GROUP BY id),
         v AS (SELECT judge_model, day, 'latency_ms' AS metric, latency_ms AS v FROM e UNION ALL SELECT judge_model, day, 'overall_score', overall_score FROM e),
         r AS (SELECT judge_model, day, metric, v::FLOAT::DOUBLE AS v, row_number() OVER w AS k, count(*) OVER (PARTITION BY judge_model, day, metric) AS n FROM v WHERE v IS NOT NULL AND NOT isnan(v)
             WINDOW w AS (PARTITION BY judge_model, day, metric ORDER BY v))
