@@ -220,8 +220,9 @@ def find_personal(texts: DataFrame) -> DataFrame:
     """(table_name, record_id, field_name, kind, start_pos, end_pos) of every piece of personal data.
 
     texts: (table_name, record_id, field_name, text), each row once. Positions are 0-based characters,
-    the end excluded. Pieces do not overlap: a value told by its form goes before a name, and of names
-    the one that begins first, with its given name in front before the reverse. Null and empty texts
+    the end excluded. Pieces do not overlap: a value told by its form goes before a name; of names
+    the reverse form of a known family name goes first, then those with the given name in front, then
+    other reverse forms, then initials. Null and empty texts
     have none.
     """
     keys = ["table_name", "record_id", "field_name"]
@@ -232,7 +233,12 @@ def find_personal(texts: DataFrame) -> DataFrame:
     nouns = names.where("type = 'fwd'").groupBy(first.alias("noun")).agg(F.avg(F.col("nested").cast("int")).alias("share")).where(F.col("share") >= NESTED).select("noun")
     names = written(names.join(nouns, (F.col("type") == "fwd") & (first == F.col("noun")), "left_anti"))
     people = bootstrap(names)
-    chosen = names.join(people, "instance", "left_semi").select(*keys, F.lit("name").alias("kind"), "start", "end", F.when(F.col("type") == "fwd", 1).when(F.col("type") == "rev", 2).otherwise(3).alias("rank"))
+    known = names.join(people, "instance", "left_semi")
+    # A family name that known names have elsewhere tells "Family, Given" from "Regards, Given Family".
+    families = known.where("type = 'fwd'").groupBy(F.element_at("parts", 2).alias("family")).agg(F.countDistinct("instance").alias("n")).where("n > 1").select("family")
+    placed = known.join(families, (F.col("type") == "rev") & (F.try_element_at("parts", F.lit(3)) == F.col("family")), "left")
+    rank = F.when(F.col("family").isNotNull(), 1).when(F.col("type") == "fwd", 2).when(F.col("type") == "rev", 3).otherwise(4)
+    chosen = placed.select(*keys, F.lit("name").alias("kind"), "start", "end", rank.alias("rank"))
     numbers = found.where("type in ('id_number', 'phone', 'number')")
     for kind in ("id_number", "phone"):
         of_kind = numbers.where(F.col("type").isin(kind, "number")).select("instance", "contexts", "parts", F.col("seed"))
