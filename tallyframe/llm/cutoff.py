@@ -26,8 +26,11 @@ from tallyframe.llm.shared import written
 from tallyframe.llm.vec import U64
 
 ORDERS = (2, 3, 5, 8, 12)
-#: Counters of each order, a fixed number; an order whose counters are fuller than LOAD is not used.
-BUCKETS, LOAD = 1 << 19, 0.6
+#: Bits a key and most bits (as a power of two) of the filter in front of the counting. It only saves work: it
+#: lets every key through that is counted, and what else it lets through is never looked up.
+FILTER_BITS, FILTER_MOST = 16, 25
+#: Unsummed keys that a task holds at most.
+HELD = 1 << 21
 #: Weight of the shorter context's estimate in that of the longer, and the least count of a context.
 BACKOFF, SUPPORT = 30.0, 8
 #: Log odds between which a threshold is sought, and the one taken where a group has too few values.
@@ -142,16 +145,15 @@ class Batch:
         self.cp, self.off = cp[keep], at[off]
         self.line = np.repeat(np.arange(len(lines)), np.diff(self.off))
 
-    def slots(self, k: int, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counters of the contexts of k characters that stop before `end`, and which ends have one."""
+    def keys(self, k: int, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit keys of the contexts of k characters that stop before `end`, and which ends have one."""
         line = self.line[end - 1]
         ok = end - k >= self.off[line]
         end, line = end[ok], line[ok]
         p = self.prefix()
         with np.errstate(over="ignore"):
             h = (p[end] - p[end - k]) * vec.powers(len(p))[1][end - k]
-            h = vec.scramble(h + self.mode[line].astype(U64) * U64(vec.BASE))
-        return (h >> U64(64 - 19)).astype(np.int64), ok
+            return vec.scramble(h + (self.mode[line] + 3 * k).astype(U64) * U64(vec.BASE)), ok
 
     def prefix(self) -> np.ndarray:
         if not hasattr(self, "_p"):
@@ -168,102 +170,119 @@ def _texts(batch: pa.RecordBatch) -> Iterator[list[str]]:
             yield out
 
 
-def _sum(df: DataFrame, make, kinds: int) -> list[np.ndarray]:
-    """Sums of counter arrays (kinds x orders x BUCKETS) over the partitions; at most that many rows are gathered."""
+def read_values(values: DataFrame) -> DataFrame:
+    """(table_name, record_id, field_name, source, chars, lang, open, ends) of every value with a text: open
+    whether its structure is, ends the keys of the contexts in which its texts end, from the shortest on."""
+
+    names = ["table_name", "record_id", "field_name", "source", "chars", "lang", "open", "ends"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in vec.slices(batch, "text"):
+                count, texts, langs, opened = [], [], [], []
+                for t in part.column("text").to_pylist():
+                    u, cut = units(t)
+                    opened.append(cut)
+                    langs.append(language(t[-400:]) if t else None)
+                    count.append(len(u))
+                    texts += u
+                keys, has = np.zeros((len(texts), len(ORDERS)), np.int64), np.zeros((len(texts), len(ORDERS)), np.bool_)
+                if texts:
+                    b = Batch(texts)
+                    for i, k in enumerate(ORDERS):
+                        h, has[:, i] = b.keys(k, b.off[1:][b.last])
+                        keys[has[:, i], i] = h.view(np.int64)
+                each = pa.ListArray.from_arrays(np.append(0, np.cumsum(has.sum(axis=1))).astype(np.int32), pa.array(keys[has]))
+                ends = pa.ListArray.from_arrays(np.append(0, np.cumsum(count)).astype(np.int32), each)
+                keep = [part.column(c) for c in names[:5]]
+                yield pa.RecordBatch.from_arrays([*keep, pa.array(langs, pa.string()), pa.array(opened, pa.bool_()), ends], names)
+
+    rows = values.select("table_name", "record_id", "field_name", "source", F.length("text").alias("chars"), "text")
+    return rows.mapInArrow(run, "table_name string, record_id string, field_name string, source string, chars int, lang string, open boolean, ends array<array<bigint>>")
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """The filter of the keys, packed: two bits of each are set. At most 2 ** FILTER_MOST / 64 rows are gathered."""
+    bits = min(FILTER_MOST, max(16, (FILTER_BITS * keys.count()).bit_length()))
+    bit = F.explode(F.array(F.shiftrightunsigned("key", 64 - bits), F.col("key").bitwiseAND(F.lit((1 << bits) - 1))))
+    word = keys.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("v"))
+    t = word.toArrow()
+    out = np.zeros((1 << bits) // 64, np.int64)
+    out[t.column("w").to_numpy()] = t.column("v").to_numpy()
+    return out.view(np.uint8)
+
+
+def count_contexts(values: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, n, e): how often a context of `keys` (key; each once) occurs in the values (text), and how often at
+    the end of a line or value. Counts are by whole key, summed per task before the shuffle; rows of other keys
+    may be among them."""
+    passed = values.sparkSession.sparkContext.broadcast(_filter(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((kinds, len(ORDERS) * BUCKETS), np.int64)
+        has = np.unpackbits(passed.value, bitorder="little").view(np.bool_)
+        top, low = U64(65 - len(has).bit_length()), U64(len(has) - 1)
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]  # anywhere, at an end
+
+        def add(to: list, h: np.ndarray) -> None:
+            h = h[has[h >> top]]
+            h = h[has[h & low]]
+            to.append(np.unique(h, return_counts=True))
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            for i, to in enumerate(held):
+                if to:
+                    k, at = np.unique(np.concatenate([x for x, _ in to]), return_inverse=True)
+                    c = np.bincount(at, np.concatenate([n for _, n in to]), len(k)).astype(np.int64)
+                    zero = np.zeros(len(k), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(zero if i else c), pa.array(c if i else zero)], ["key", "n", "e"])
+                to.clear()
+
         for batch in batches:
             for texts in _texts(batch):
-                make(Batch(texts), total)
-        at = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(total[i][at]) for i in range(kinds)]], ["at", *[f"n{i}" for i in range(kinds)]])
+                b = Batch(texts)
+                everywhere, ends = np.arange(1, len(b.cp) + 1), b.off[1:]
+                for k in ORDERS:
+                    add(held[0], b.keys(k, everywhere)[0])
+                    add(held[1], b.keys(k, ends)[0])
+                if sum(len(x) for to in held for x, _ in to) > HELD:
+                    yield from sums()
+        yield from sums()
 
-    names = [f"n{i}" for i in range(kinds)]
-    t = df.mapInArrow(run, "at int, " + ", ".join(f"{n} bigint" for n in names)).groupBy("at").agg(*[F.sum(n).cast("int").alias(n) for n in names]).toArrow()
-    out = []
-    for n in names:
-        a = np.zeros(len(ORDERS) * BUCKETS, np.int32)
-        a[t.column("at").to_numpy()] = t.column(n).to_numpy()
-        out.append(a)
-    return out
+    return values.select("text").mapInArrow(run, "key bigint, n bigint, e bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
 
 
-def train(values: DataFrame):
-    """The model over all rows of `values` (text): counts of contexts at an end and anywhere, by counter.
+def log_odds(ends: DataFrame, counts: DataFrame) -> DataFrame:
+    """(end, odds): log odds that a text ends with these contexts, its own end left out of the counts.
 
-    Only contexts in which some value ends are counted. Two passes over the values.
+    ends: (end, keys), each once; the end is named by the key of its longest context.
     """
-    sc = values.sparkSession.sparkContext
-
-    def finals(b: Batch, total: np.ndarray) -> None:
-        ends = b.off[1:][b.last]
-        for i, k in enumerate(ORDERS):
-            slot, _ = b.slots(k, ends)
-            total[0, i * BUCKETS + slot] = 1
-
-    (seen,) = _sum(values, finals, 1)
-    usable = [bool((seen[i * BUCKETS : (i + 1) * BUCKETS] > 0).mean() <= LOAD) for i in range(len(ORDERS))]
-    wanted = sc.broadcast(np.packbits(seen > 0))
-
-    def count(b: Batch, total: np.ndarray) -> None:
-        want = np.unpackbits(wanted.value).view(np.bool_)
-        everywhere, ends = np.arange(1, len(b.cp) + 1), b.off[1:]
-        for i, k in enumerate(ORDERS):
-            if not usable[i]:
-                continue
-            part = slice(i * BUCKETS, (i + 1) * BUCKETS)
-            slot = b.slots(k, everywhere)[0]
-            total[1, part] += np.bincount(slot[want[part][slot]], minlength=BUCKETS)
-            total[0, part] += np.bincount(b.slots(k, ends)[0], minlength=BUCKETS)
-
-    end, all_ = _sum(values, count, 2)
-    return sc.broadcast((end, all_, usable))
-
-
-def log_odds(texts: list[str], model) -> np.ndarray:
-    """Log odds that each text ends where it does, its own end left out of the counts."""
-    end, all_, usable = model
-    b = Batch(texts)
-    ends = b.off[1:][b.last]
-    p = np.full(len(ends), 0.02)
-    live = np.ones(len(ends), np.bool_)
-    for i, k in enumerate(ORDERS):
-        if not usable[i]:
-            continue
-        slot, ok = b.slots(k, ends)
-        e, n = np.zeros(len(ends)), np.zeros(len(ends))
-        e[ok], n[ok] = end[slot + i * BUCKETS] - 1, all_[slot + i * BUCKETS] - 1
-        live &= ok & (n >= SUPPORT)
-        p = np.where(live, (np.maximum(e, 0) + BACKOFF * p) / (n + BACKOFF), p)
-    p = np.clip(p, 1e-6, 1 - 1e-6)
-    return np.log(p / (1 - p))
+    of = ends.select("end", F.posexplode("keys").alias("at", "key")).join(counts, "key")
+    per = of.groupBy("end").agg(F.array_sort(F.collect_list(F.struct("at", "n", "e"))).alias("v"))  # a row per order
 
+    def refine(a, x):
+        n = x["n"] - 1
+        live = a["live"] & (n >= SUPPORT)
+        return F.struct(F.when(live, (x["e"] - 1 + BACKOFF * a["p"]) / (n + BACKOFF)).otherwise(a["p"]).alias("p"), live.alias("live"))
 
-def score_values(values: DataFrame, model) -> DataFrame:
-    """(table_name, record_id, field_name, source, chars, lang, odds, open) of every value with a text:
-    odds is the least log odds of its texts (null without any), open whether its structure is."""
+    p = F.aggregate("v", F.struct(F.lit(0.02).alias("p"), F.lit(True).alias("live")), refine, lambda a: F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), a["p"])))
+    return per.select("end", p.alias("p")).select("end", F.log(F.col("p") / (1 - F.col("p"))).alias("odds"))
 
-    names = ["table_name", "record_id", "field_name", "source", "chars", "lang", "odds", "open"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in vec.slices(batch, "text"):
-                owner, texts, langs, opened = [], [], [], []
-                for i, t in enumerate(part.column("text").to_pylist()):
-                    u, cut = units(t)
-                    opened.append(cut)
-                    langs.append(language(t[-400:]) if t else None)
-                    owner += [i] * len(u)
-                    texts += u
-                odds = np.full(part.num_rows, np.inf)
-                if texts:
-                    np.minimum.at(odds, np.array(owner), log_odds(texts, model.value))
-                keep = [part.column(c) for c in names[:5]]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(langs, pa.string()), pa.array(odds, mask=np.isinf(odds)), pa.array(opened, pa.bool_())], names)
+def score_values(values: DataFrame) -> DataFrame:
+    """(table_name, record_id, field_name, source, chars, lang, odds, open) of every value with a text:
+    odds is the least log odds of its texts (null without any), open whether its structure is.
 
-    rows = values.select("table_name", "record_id", "field_name", "source", F.length("text").alias("chars"), "text")
-    return rows.mapInArrow(run, "table_name string, record_id string, field_name string, source string, chars int, lang string, odds double, open boolean")
+    The model is of all rows of `values`; only contexts in which some value ends are counted. Two passes over the values.
+    """
+    read = written(read_values(values).withColumn("row", F.monotonically_increasing_id()))
+    longest = lambda x: F.element_at(x, -1)
+    ends = written(read.select(F.explode("ends").alias("keys")).groupBy(longest("keys").alias("end")).agg(F.any_value("keys").alias("keys")))
+    keys = written(ends.select(F.explode("keys").alias("key")).distinct())
+    odds = written(log_odds(ends, count_contexts(values, keys)))
+    names = ["table_name", "record_id", "field_name", "source", "chars", "lang", "open"]
+    rows = read.select("row", *names, F.explode_outer(F.array_distinct(F.transform("ends", longest))).alias("end"))
+    least = rows.join(odds, "end", "left").groupBy("row").agg(*[F.first(c).alias(c) for c in names], F.min("odds").alias("odds"))
+    return written(least.select(*names[:6], "odds", "open"))
 
 
 def thresholds(scored: DataFrame) -> DataFrame:
@@ -294,7 +313,7 @@ def find_cut(values: DataFrame) -> DataFrame:
     values: (table_name, record_id, field_name, source, text). A null, empty or white text is not
     cut. A row delivered twice is to be dropped before.
     """
-    scored = score_values(values, train(values.select("text")))
+    scored = score_values(values)
     limit = thresholds(scored).select(F.col("lang").alias("_lang"), F.col("field_name").alias("_field"), "threshold")
     joined = scored.join(F.broadcast(limit), F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("field_name") == F.col("_field")), "left")  # languages x columns
     spikes = length_limits(values.select("field_name", F.length("text").alias("chars"))).withColumn("limited", F.lit(True))

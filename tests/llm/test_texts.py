@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -174,6 +176,30 @@ def test_cut_values_are_told_from_whole_ones(spark):
     assert cutoff.find_cut(df.limit(0)).count() == 0
 
 
+def test_contexts_are_counted_exactly_among_many_others(spark):
+    rng = random.Random(1)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    endings = [some(12) for _ in range(300)]
+    lines = [some(60) + endings[i % 300] for i in range(4200)]  # about 300,000 contexts of 12 characters
+    rows = [("t", str(i), "output", "s", x) for i, x in enumerate(lines)]
+    df = spark.createDataFrame(rows, "table_name string, record_id string, field_name string, source string, text string")
+    got = {r["record_id"]: r["odds"] for r in cutoff.find_cut(df).collect()}
+    ends, everywhere = Counter(), Counter()
+    for x in lines:
+        x = "\x02\x02" + x
+        for k in cutoff.ORDERS:
+            ends[x[-k:]] += 1
+            everywhere.update(x[i : i + k] for i in range(len(x) - k + 1))
+    for i, x in enumerate(lines):
+        p = 0.02
+        for k in cutoff.ORDERS:
+            n, e = everywhere[x[-k:]] - 1, ends[x[-k:]] - 1
+            if n < cutoff.SUPPORT:
+                break
+            p = (e + cutoff.BACKOFF * p) / (n + cutoff.BACKOFF)
+        assert abs(got[str(i)] - math.log(p / (1 - p))) < 1e-9
+
+
 def test_notations_of_json():
     assert cutoff.units('{"note": "a text that is long enough to count"}') == (["a text that is long enough to count"], False)
     assert cutoff.units("{'note': 'x', 'n': None}") == ([], False) and cutoff.units('{"a": 1,}') == ([], False)
