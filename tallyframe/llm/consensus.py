@@ -3,7 +3,7 @@
 The label edges carry messages both ways, one class against the rest: an item tells an annotator
 how likely the class is by all its other annotators; an annotator tells an item how often, over all
 its other items, it gave the class where the class held and where it did not. The rounds go on until
-the annotators' estimates stand still. Every round is one table of edges in the shared folder; sums
+no message moves. Every round is one table of edges in the shared folder; sums
 per item and per annotator are combined before their shuffle, so no item and no annotator is
 gathered into a task, however many edges it has.
 """
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.shared import written
 
-ROUNDS, TOLERANCE = 25, 1e-3
+#: Messages stand still if none changes by more. A guard: so many rounds without that are an error.
+TOLERANCE, ROUNDS = 1e-6, 200
 #: Weight of the pooled estimate in an annotator's own, in labels.
 PRIOR = 4.0
 #: First guess of how often the class is given where it holds, and where it doesn't.
@@ -62,6 +63,7 @@ def consensus(edges: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERAN
     share of the item's pairs of annotators with the same label (null for one annotator).
     annotators: (annotator, labels, given_if_true, given_if_false, reliability): reliability is the
     mean of given_if_true and 1 - given_if_false; 0.5 is a coin. No edges give empty tables.
+    Raises if some message still moves after the rounds.
     """
     edges = written(edges.select("item", "annotator", "y"))
     votes = edges.groupBy("item").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
@@ -78,10 +80,12 @@ def consensus(edges: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERAN
         logit = F.log(F.lit(share) / (1 - F.lit(share)))
         total = told.groupBy("item").agg((F.sum("e") + logit).alias("t"))
         after = written(told.join(total, "item").select("item", "annotator", "y", _sigmoid(F.col("t") - F.col("e")).alias("m"), "a", "b", "before"))
-        moved = after.agg(F.avg(F.abs(F.col("m") - F.col("before")))).first()[0]
+        moved = after.agg(F.max(F.abs(F.col("m") - F.col("before")))).first()[0]
         state = after.drop("before")
         if moved is None or moved < tolerance:
             break
+    else:
+        raise RuntimeError(f"consensus: messages still move by {moved} after {rounds} rounds")
     sums, a0, b0, share = _rates(state)
     final = lambda h, p, base: F.greatest(F.lit(0.01), F.least(F.lit(0.99), (F.col(h) + PRIOR * base) / (F.col(p) + PRIOR)))
     annotators = sums.select("annotator", "labels", final("h1", "p1", a0).alias("given_if_true"), final("h0", "p0", b0).alias("given_if_false"))

@@ -70,6 +70,28 @@ def test_consensus_beats_the_majority_and_finds_liars(spark):
     assert max(rel["liar0"], rel["liar1"]) < 0.35 and min(rel[f"good{k}"] for k in range(6)) > 0.75 and all(0.3 < rel[f"coin{k}"] < 0.7 for k in range(4))
 
 
+def test_consensus_goes_on_to_the_fixpoint(spark):
+    df, _ = edges(spark, 120, 5)
+    rows = [(r["item"], r["annotator"], r["y"]) for r in df.collect()]
+    items = sorted({r[0] for r in rows})
+    who = sorted({r[1] for r in rows})
+    it, an, y = np.array([items.index(r[0]) for r in rows]), np.array([who.index(r[1]) for r in rows]), np.array([r[2] for r in rows])
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    m = sigmoid((2 * (np.bincount(it, y)[it] - y) - (np.bincount(it)[it] - 1)) * np.log(4.0))
+    for _ in range(500):
+        p1, h1, p0, h0 = (np.bincount(an, w) for w in (m, m * y, 1 - m, (1 - m) * y))
+        a0, b0, share = (h1.sum() + 0.8) / (p1.sum() + 1), (h0.sum() + 0.2) / (p0.sum() + 1), (p1.sum() + 1) / (p1.sum() + p0.sum() + 2)
+        a = np.clip((h1[an] - m * y + consensus.PRIOR * a0) / (p1[an] - m + consensus.PRIOR), 0.01, 0.99)
+        b = np.clip((h0[an] - (1 - m) * y + consensus.PRIOR * b0) / (p0[an] - (1 - m) + consensus.PRIOR), 0.01, 0.99)
+        e = y * np.log(a / b) + (1 - y) * np.log((1 - a) / (1 - b))
+        t = np.bincount(it, e) + np.log(share / (1 - share))
+        m = sigmoid(t[it] - e)
+    got = {r["item"]: r["belief"] for r in consensus.consensus(df)[0].collect()}
+    assert max(abs(got[i] - p) for i, p in zip(items, sigmoid(t))) < 1e-4
+    with pytest.raises(RuntimeError):
+        consensus.consensus(df, rounds=2)
+
+
 def test_edges_are_read_forgivingly(spark):
     rows = [("1", "e", " Ann ", "PASS"), ("1", "e", " Ann ", "PASS"), ("2", "e", "ann", "fail "), ("3", "e", "BOB", "Pass"), ("4", "e", "bob", None), ("5", None, "bob", "PASS"), ("6", "e", "", "PASS"), ("7", "e", "cy", "maybe"), ("8", "e", None, "PASS")]
     df = spark.createDataFrame(rows, "id string, item string, who string, verdict string").withColumn("y", F.lit(9)).withColumn("annotator", F.lit("clash"))
