@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from tallyframe.llm import vec
 from tallyframe.llm.shared import written
 
-ROUNDS = 6
+#: A guard: the known instances only grow, so they stand still; so many rounds without that are an error.
+ROUNDS = 200
 #: Least share of known instances, and least number of them, for a context and for a part of a name.
 CONTEXT_SHARE, CONTEXT_KNOWN, PART_SHARE, PART_KNOWN = 0.6, 4, 0.1, 2
 #: Share of a first word's occurrences with another name behind it from which it is no given name.
@@ -182,7 +183,7 @@ def candidates(texts: DataFrame) -> DataFrame:
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(instance): the instances known after the rounds, the seeds among them.
+    """(instance): the instances known when a round finds no more, the seeds among them.
 
     found: (instance, contexts, parts, seed). An instance becomes known by its telling part (the
     first), or by two good patterns if they are half of its contexts. Patterns of a single instance are left out of the graph at
@@ -211,9 +212,9 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         known = written(known.union(more).distinct())
         n = known.count()
         if n == size:
-            break
+            return known
         size = n
-    return known
+    raise RuntimeError(f"bootstrap: instances are still being found after {rounds} rounds")
 
 
 def find_personal(texts: DataFrame) -> DataFrame:
@@ -242,7 +243,7 @@ def find_personal(texts: DataFrame) -> DataFrame:
     numbers = found.where("type in ('id_number', 'phone', 'number')")
     for kind in ("id_number", "phone"):
         of_kind = numbers.where(F.col("type").isin(kind, "number")).select("instance", "contexts", "parts", F.col("seed"))
-        new = numbers.where("type = 'number'").join(bootstrap(of_kind, 2), "instance", "left_semi")
+        new = numbers.where("type = 'number'").join(bootstrap(of_kind), "instance", "left_semi")
         sure = sure.unionByName(new.select(*keys, F.lit(kind).alias("kind"), "start", "end", F.lit(0).alias("rank")))
     spans = sure.unionByName(chosen).groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("rank", "start", "end", "kind"))).alias("v"))  # the spans of one text
     free = lambda a, s: ~F.exists(a, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))

@@ -257,6 +257,14 @@ def test_forms():
     assert {t[s:].split(" ")[0] for k, s, e in sure if k == "address"} == {"55", "Vintrygasse", "C/", "191"} and not any("819" in x for _, x in got)
 
 
+def test_names_are_found_to_the_end_of_a_chain(spark):
+    rows = [(10 * i + j, [], [1000 + i, 1001 + i], i == 0) for i in range(9) for j in range(2)]
+    found = spark.createDataFrame(rows, "instance bigint, contexts array<bigint>, parts array<bigint>, seed boolean")
+    assert {r[0] for r in personal.bootstrap(found).collect()} == {r[0] for r in rows}
+    with pytest.raises(RuntimeError):
+        personal.bootstrap(found, 2)
+
+
 def test_names_are_found_by_their_contexts(spark):
     rng = random.Random(5)
     given_names, families = "Karim Nadia Felix Rosa Emil Clara".split(), [a + b for a in "Dal Tor Vel Ost Wim Zel".split() for b in "rovic quist gomar veld".split()]
