@@ -40,6 +40,8 @@ STREETS_FRENCH = "rue avenue impasse boulevard allée place chemin quai cours ro
 STREETS_GERMAN = "straße strasse str. weg gasse platz allee ring damm ufer steig stieg pfad"
 
 _AT = r"(?:\s?(?:@|＠|\[at\]|\(at\)|\{at\}|<at>)\s?)"
+#: What every form above has in it, in lower case.
+AT_MARKS = ("@", "＠", "at]", "at)", "at}", "at>")
 _DOT = r"(?:\.|\s?(?:\[dot\]|\(dot\)|\{dot\})\s?)"
 EMAIL = re.compile(rf"(?<![\w.+-])[\w](?:[\w.+%-]|\s?(?:\[dot\]|\(dot\))\s?)*{_AT}[A-Za-z0-9](?:[\w-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[\w-]*[A-Za-z0-9])?)+", re.IGNORECASE)
 NUMBER = re.compile(r"(?<![\w.,/#-])(?:\+|\()?\d(?:(?:\) |[ .\-/]|\)|\()?\d){6,17}(?![\w/]|[.,-]\d)")
@@ -113,7 +115,8 @@ def context(text: str, start: int, end: int) -> list[str]:
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple]]:
     """Values told by their form (kind, start, end), and candidates (type, start, end, instance, contexts, parts, seed, nested)."""
     sure: list[tuple[str, int, int]] = []
-    if "@" in text or "＠" in text or "at]" in text.lower() or "at)" in text.lower():
+    low = text.lower()
+    if any(mark in low for mark in AT_MARKS):
         sure += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
     for k, words in _STREET_WORDS:
         if any(w in text for w in words):

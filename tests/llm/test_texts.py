@@ -257,6 +257,11 @@ def test_forms():
     assert {t[s:].split(" ")[0] for k, s, e in sure if k == "address"} == {"55", "Vintrygasse", "C/", "191"} and not any("819" in x for _, x in got)
 
 
+@pytest.mark.parametrize("at", ["@", "＠", "[at]", "(AT)", "{at}", "<At>"])
+def test_an_address_is_found_by_every_form_of_its_sign(at):
+    assert [k for k, _, _ in personal.scan(f"write to jo.ray{at}host.org soon")[0]] == ["email"]
+
+
 def test_names_are_found_to_the_end_of_a_chain(spark):
     rows = [(10 * i + j, [], [1000 + i, 1001 + i], i == 0) for i in range(9) for j in range(2)]
     found = spark.createDataFrame(rows, "instance bigint, contexts array<bigint>, parts array<bigint>, seed boolean")
