@@ -9,7 +9,8 @@ number of merges, and by single-precision rounding (2**-24 of the value) besides
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm.shared import written
+
 BITS = 32
 #: Rank error of a percentile as a share of the number of values.
 ERROR = 0.005
-#: Values a task holds before it turns them into digests, and digests that one task merges.
+#: Nodes that a task holds before it compresses its digests, and buckets in which the digests of tasks, or of
+#: further keys such as days, are merged before they are merged into one.
 HELD, FAN_IN = 1_000_000, 64
 NODE = "metric string, level int, node bigint, n bigint"
-RESERVED = {"metric", "level", "node", "n", "part", "max_rank_error"}
+RESERVED = {"metric", "level", "node", "n", "bucket", "max_rank_error"}
 
 
 def codes_of(values: np.ndarray) -> np.ndarray:
@@ -76,44 +80,79 @@ def _key_columns(df: DataFrame, keys: list[str]) -> str:
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    """Rows (key values, metric, levels, nodes, counts, more columns) as one batch."""
+    """Rows (key values, metric, levels, nodes, counts) as one batch, the task's number with every node."""
     n = [len(r[2]) for r in rows]
-    width = len(rows[0][0])
-    cols = [pa.array([r[0][i] for r in rows], schema.field(i).type).take(pa.array(np.repeat(np.arange(len(rows)), n))) for i in range(width)]
-    cols.append(pa.array([r[1] for r in rows], pa.string()).take(pa.array(np.repeat(np.arange(len(rows)), n))))
+    each = pa.array(np.repeat(np.arange(len(rows)), n))
+    cols = [pa.array([r[0][i] for r in rows], schema.field(i).type).take(each) for i in range(len(rows[0][0]))]
+    cols.append(pa.array([r[1] for r in rows], pa.string()).take(each))
     for j, kind in ((2, np.int32), (3, np.int64), (4, np.int64)):
         cols.append(pa.array(np.concatenate([r[j] for r in rows]).astype(kind)))
-    if len(schema) > len(cols):
-        cols.append(pa.array(np.repeat([r[5] for r in rows], n).astype(np.int32)))
+    cols.append(pa.array(np.full(len(each), TaskContext.get().partitionId(), np.int32)))
     return pa.RecordBatch.from_arrays(cols, schema=schema)
 
 
+def _grouped(df: DataFrame, by: list[str], then: list[str], run: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """`run` over whole groups of `by`, many at once: it gets a table ordered by `by` and `then`, and where each group begins."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def starts(t: pa.Table) -> np.ndarray:
+            new = np.zeros(t.num_rows, np.bool_)
+            new[:1] = True
+            for c in by:
+                code = t.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            return np.flatnonzero(new)
+
+        rows = seen = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < 2 * seen:  # one group that goes on: it is looked at again when it has doubled
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            at = starts(t)
+            last = int(at[-1])
+            if last:
+                yield from run(t.slice(0, last), at[:-1]).combine_chunks().to_batches()
+            held = t.slice(last).to_batches()
+            rows = seen = t.num_rows - last
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield from run(t, starts(t)).combine_chunks().to_batches()
+
+    return df.repartition(*by).sortWithinPartitions(*by, *then).mapInArrow(stream, schema)
+
+
 def digest(df: DataFrame, keys: list[str], columns: list[str], error: float = ERROR) -> DataFrame:
     """Digests of numeric columns per group: (*keys, metric, level, node, n).
 
     Nulls and NaN are no values; a group without values has no rows; a null key is a group. Every
-    task digests its own rows first; the digests are then merged in a tree of FAN_IN, equal nodes
-    added before every shuffle, so that no task reads more than FAN_IN digests of a group.
+    task digests its own rows first. The digests are merged in FAN_IN buckets of tasks and then into
+    one, at every size: a task reads no more of a group than a FAN_IN-th of the tasks' digests, then FAN_IN.
     """
     if set(keys) & RESERVED:
         raise ValueError(f"a key is named as a column of the digest: {sorted(set(keys) & RESERVED)}")
     source = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-    head = _key_columns(source, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[np.ndarray]] = {}
+        held: dict[tuple, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         size, kinds = 0, None
 
-        def flush() -> pa.RecordBatch | None:
-            rows = []
-            for (key, metric), parts in held.items():
-                c = np.concatenate(parts)
-                d = compress(np.zeros(len(c), np.int64), c, np.ones(len(c), np.int64), error)
-                if len(d[0]):
-                    rows.append((key, metric, *d, TaskContext.get().partitionId()))
+        def squeeze() -> int:
+            for key, parts in held.items():
+                held[key] = [compress(*map(np.concatenate, zip(*parts)), error)]
+            return sum(len(v[0][2]) for v in held.values())
+
+        def emitted() -> Iterator[pa.RecordBatch]:
+            squeeze()
+            rows = [(key, metric, *v[0]) for (key, metric), v in held.items()]
             held.clear()
-            schema = pa.schema([*kinds, ("metric", pa.string()), ("level", pa.int32()), ("node", pa.int64()), ("n", pa.int64()), ("part", pa.int32())])
-            return _batch(rows, schema) if rows else None
+            if rows:
+                yield _batch(rows, pa.schema([*kinds, ("metric", pa.string()), ("level", pa.int32()), ("node", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32())]))
 
         for batch in batches:
             kinds = [batch.schema.field(i) for i in range(len(keys))]
@@ -140,71 +179,77 @@ def digest(df: DataFrame, keys: list[str], columns: list[str], error: float = ER
                     for v in reversed(values):
                         key.append(v[rest % len(v)])
                         rest //= len(v)
-                    held.setdefault((tuple(reversed(key)), metric), []).append(codes[at])
+                    held.setdefault((tuple(reversed(key)), metric), []).append((np.zeros(len(at), np.int64), codes[at], np.ones(len(at), np.int64)))
                     size += len(at)
             if size > HELD:
-                out, size = flush(), 0
-                if out is not None:
-                    yield out
-        if held:
-            out = flush()
-            if out is not None:
-                yield out
-
-    parts = source.mapInArrow(run, f"{head}{NODE}, part int")
-    tasks = _tasks(source)
-    while tasks > FAN_IN:
-        step = F.expr(f"part div {FAN_IN}").cast("int")
-        parts = _merge(parts.withColumn("part", step), [*keys, "part"], error).select(*keys, "metric", "level", "node", "n", "part")
-        tasks = -(-tasks // FAN_IN)
-    return _merge(parts.drop("part"), keys, error)
+                size = squeeze()
+                if 2 * size > HELD:  # so many groups that they are not held to the end
+                    yield from emitted()
+                    size = 0
+        yield from emitted()
 
-
-def _tasks(df: DataFrame) -> int:
-    """At most so many tasks compute the rows: the shuffle partitions, or those of a scan without a shuffle; nothing is run."""
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.rdd.getNumPartitions()
+    parts = source.mapInArrow(run, f"{_key_columns(source, keys)}{NODE}, bucket int")
+    return _merge(parts.withColumn("bucket", F.pmod("bucket", F.lit(FAN_IN))), keys, error)
 
 
 def _merge(nodes: DataFrame, keys: list[str], error: float) -> DataFrame:
-    added = nodes.groupBy(*keys, "metric", "level", "node").agg(F.sum("n").alias("n"))
-    schema = f"{_key_columns(nodes, keys)}{NODE}"
-
-    def run(t: pa.Table) -> pa.Table:
-        level, node, n = (t.column(c).to_numpy().astype(np.int64) for c in ("level", "node", "n"))
-        level, node, n = compress(level, node, n, error)
-        first = pa.array(np.zeros(len(n), np.int64))
-        cols = [t.column(c).combine_chunks().take(first) for c in [*keys, "metric"]]
-        return pa.table([*cols, pa.array(level.astype(np.int32)), pa.array(node), pa.array(n)], names=[*keys, "metric", "level", "node", "n"])
-
-    return added.groupBy(*keys, "metric").applyInArrow(run, schema)
+    """One digest per group of `keys`, by way of one per group and bucket."""
+
+    def run(t: pa.Table, at: np.ndarray, names: list[str]) -> pa.Table:
+        n = t.column("n").to_numpy()
+        size = np.diff(np.append(at, t.num_rows))
+        group = np.repeat(np.arange(len(at)), size)
+        level, node = t.column("level").to_numpy().astype(np.int64), t.column("node").to_numpy()
+        # Groups whose nodes are too light for any family to be moved only have equal nodes added.
+        heavy = np.add.reduceat(n, at) >= np.ceil(BITS / error)
+        light = np.flatnonzero(~heavy[group])
+        new = np.append(True, (group[light][1:] != group[light][:-1]) | (level[light][1:] != level[light][:-1]) | (node[light][1:] != node[light][:-1]))[: len(light)]
+        first = np.flatnonzero(new)
+        parts = [(group[light][first], level[light][first], node[light][first], np.add.reduceat(n[light], first) if len(first) else n[:0])]
+        for g in np.flatnonzero(heavy):
+            own = slice(at[g], at[g] + size[g])
+            c = compress(level[own], node[own], n[own], error)
+            parts.append((np.full(len(c[2]), g), *c))
+        g, level, node, n = (np.concatenate(x) for x in zip(*parts))
+        cols = [t.column(c).combine_chunks().take(pa.array(at[g])) for c in names]
+        return pa.table([*cols, pa.array(level.astype(np.int32)), pa.array(node), pa.array(n)], names=[*names, "level", "node", "n"])
+
+    out = nodes
+    for by in ([*keys, "bucket"], list(keys)):
+        names = [*by, "metric"]
+        bucket = "bucket int, " if "bucket" in by else ""
+        out = _grouped(out.select(*names, "level", "node", "n"), names, ["level", "node"], partial(run, names=names), f"{_key_columns(nodes, keys)}{bucket}{NODE}")
+    return out
 
 
 def merge(nodes: DataFrame, keys: list[str], error: float = ERROR) -> DataFrame:
-    """Digests of all rows with the same `keys`, from digests with these and further keys, or of several tables united."""
-    return _merge(nodes.select(*keys, "metric", "level", "node", "n"), keys, error)
+    """Digests of all rows with the same `keys`, from digests with these and further keys, or of several tables united.
+
+    The digests of the further keys (days, say) are merged in FAN_IN buckets by their values and then into one."""
+    further = [c for c in nodes.columns if c not in keys and c not in ("metric", "level", "node", "n")]
+    bucket = F.pmod(F.xxhash64(*further) if further else F.xxhash64("node"), F.lit(FAN_IN)).cast("int")
+    return _merge(nodes.withColumn("bucket", bucket), keys, error)
 
 
 def percentiles(nodes: DataFrame, keys: list[str], percents: list[int], error: float = ERROR) -> DataFrame:
     """(*keys, metric, n, p<percent>..., max_rank_error) of every digest: p is a value whose rank lies
-    between ceil(n * percent / 100) and that plus max_rank_error."""
+    between ceil(n * percent / 100) and that plus max_rank_error. A group of fewer than 32 / error values
+    has no light family, so its digest is every value and its error 0."""
     names = [f"p{p}" for p in percents]
     schema = f"{_key_columns(nodes, keys)}metric string, n bigint, {', '.join(f'{x} double' for x in names)}, max_rank_error bigint"
+    by = [*keys, "metric"]
 
-    def run(t: pa.Table) -> pa.Table:
-        level, node, n = (t.column(c).to_numpy().astype(np.int64) for c in ("level", "node", "n"))
-        top = ((node + 1) << level) - 1
-        order = np.lexsort((level, top))
-        upto, total = np.cumsum(n[order]), int(n.sum())
-        at = [int(np.searchsorted(upto, max(1, -(-total * p // 100)))) for p in percents]
-        got = values_of(top[order][at])
-        first = pa.array([0])
-        cols = [t.column(c).combine_chunks().take(first) for c in [*keys, "metric"]]
-        bound = BITS * int(total // np.ceil(BITS / error))
-        return pa.table([*cols, pa.array([total]), *[pa.array([float(v)]) for v in got], pa.array([bound])], names=[*keys, "metric", "n", *names, "max_rank_error"])
+    def run(t: pa.Table, at: np.ndarray) -> pa.Table:
+        top, n = t.column("top").to_numpy(), t.column("n").to_numpy()
+        upto, total = np.cumsum(n), np.add.reduceat(n, at)
+        before = upto[at] - n[at]
+        got = [values_of(top[np.searchsorted(upto, before + np.maximum(1, -(-total * p // 100)))]) for p in percents]
+        bound = BITS * (total // int(np.ceil(BITS / error)))
+        cols = [t.column(c).combine_chunks().take(pa.array(at)) for c in by]
+        return pa.table([*cols, pa.array(total), *map(pa.array, got), pa.array(bound)], names=[*by, "n", *names, "max_rank_error"])
 
-    return nodes.groupBy(*keys, "metric").applyInArrow(run, schema)
+    top = F.expr("shiftleft(node + 1, level) - 1")
+    return _grouped(nodes.select(*by, "level", "n", top.alias("top")), by, ["top", "level"], run, schema)
 
 
 PERCENTS = [10, 25, 50, 75, 90, 95, 99]
@@ -216,30 +261,21 @@ def _evaluations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of latency and score per judge model, combined from the digests of single days."""
-    days = digest(_evaluations(spark, sf_dir), ["judge_model", "day"], ["latency_ms", "overall_score"])
-    return percentiles(merge(days, ["judge_model"]), ["judge_model"], PERCENTS)
-
-
-def p1_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every single day, from the digests that p1_percentiles combines."""
-    keys = ["judge_model", "day"]
-    return percentiles(digest(_evaluations(spark, sf_dir), keys, ["latency_ms", "overall_score"]), keys, PERCENTS)
+    """Percentiles of latency and score per judge model: of every single day, and with a null day of all
+    days, combined from the digests of the days."""
+    columns = ["latency_ms", "overall_score"]
+    days = written(digest(_evaluations(spark, sf_dir), ["judge_model", "day"], columns))
+    whole = merge(days, ["judge_model"]).withColumn("day", F.lit(None).cast("string"))
+    return percentiles(days.where("day is not null").unionByName(whole), ["judge_model", "day"], PERCENTS)
 
 
 ORACLE = {
-    "p1_daily": f"""
+    "p1_percentiles": f"""
         WITH e AS (SELECT id, any_value(judge_model) AS judge_model, strftime(any_value(created_at), '%Y-%m-%d') AS day, any_value(latency_ms)::DOUBLE AS latency_ms, any_value(overall_score) AS overall_score FROM evaluations GROUP BY id),
-        v AS (SELECT judge_model, day, 'latency_ms' AS metric, latency_ms AS v FROM e UNION ALL SELECT judge_model, day, 'overall_score', overall_score FROM e),
+        d AS (SELECT judge_model, day, latency_ms, overall_score FROM e WHERE day IS NOT NULL UNION ALL SELECT judge_model, NULL, latency_ms, overall_score FROM e),
+        v AS (SELECT judge_model, day, 'latency_ms' AS metric, latency_ms AS v FROM d UNION ALL SELECT judge_model, day, 'overall_score', overall_score FROM d),
         r AS (SELECT judge_model, day, metric, v::FLOAT::DOUBLE AS v, row_number() OVER w AS k, count(*) OVER (PARTITION BY judge_model, day, metric) AS n FROM v WHERE v IS NOT NULL AND NOT isnan(v)
             WINDOW w AS (PARTITION BY judge_model, day, metric ORDER BY v))
         SELECT judge_model, day, metric, n, {', '.join(f'max(CASE WHEN k = (n * {p} + 99) // 100 THEN v END) AS p{p}' for p in PERCENTS)},
-            ({BITS} * (n // {int(np.ceil(BITS / ERROR))}))::BIGINT AS max_rank_error FROM r GROUP BY judge_model, day, metric, n""",
-    "p1_percentiles": f"""
-        WITH e AS (SELECT id, any_value(judge_model) AS judge_model, any_value(latency_ms)::DOUBLE AS latency_ms, any_value(overall_score) AS overall_score FROM evaluations GROUP BY id),
-        v AS (SELECT judge_model, 'latency_ms' AS metric, latency_ms AS v FROM e UNION ALL SELECT judge_model, 'overall_score', overall_score FROM e),
-        r AS (SELECT judge_model, metric, v::FLOAT::DOUBLE AS v, row_number() OVER w AS k, count(*) OVER (PARTITION BY judge_model, metric) AS n FROM v WHERE v IS NOT NULL AND NOT isnan(v)
-            WINDOW w AS (PARTITION BY judge_model, metric ORDER BY v))
-        SELECT judge_model, metric, n, {', '.join(f'max(CASE WHEN k = (n * {p} + 99) // 100 THEN v END) AS p{p}' for p in PERCENTS)},
-            ({BITS} * (n // {int(np.ceil(BITS / ERROR))}))::BIGINT AS max_rank_error FROM r GROUP BY judge_model, metric, n"""
+            ({BITS} * (n // {int(np.ceil(BITS / ERROR))}))::BIGINT AS max_rank_error FROM r GROUP BY judge_model, day, metric, n"""
 }

@@ -6,7 +6,6 @@ from tallyframe.llm import consensus, cutoff, leakage, neardup, pairs, personal,
 
 QUERIES = {
     "p1_percentiles": qdigest.p1_percentiles,
-    "p1_daily": qdigest.p1_daily,
     "p2_found": pairs.p2_found,
     "p2_counts": pairs.p2_counts,
     "p3_found": cutoff.p3_found,

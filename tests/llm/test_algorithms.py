@@ -22,21 +22,50 @@ def test_codes_keep_the_order_and_the_values(v):
     assert (np.argsort(c, kind="stable") == np.argsort(a + np.float32(0), kind="stable")).all() and (qdigest.values_of(c) == a.astype(np.float64)).all()
 
 
-def test_rank_error_holds_after_merges(spark):
+def worst_rank(values, row, percents):
+    """How far the values given are from their ranks, and the bound the row states."""
+    s = np.sort(np.array(values, np.float32).astype(float))
+    off = 0
+    for p in percents:
+        rank = max(1, -(-len(s) * p // 100))
+        lo, hi = np.searchsorted(s, row[f"p{p}"], "left") + 1, np.searchsorted(s, row[f"p{p}"], "right")
+        assert hi >= rank
+        off = max(off, lo - rank)
+    return off, row["max_rank_error"]
+
+
+@pytest.mark.parametrize("fan_in,held", [(64, 1_000_000), (3, 4000), (1, 500)])
+def test_rank_error_holds_after_merges(spark, monkeypatch, fan_in, held):
+    monkeypatch.setattr(qdigest, "FAN_IN", fan_in)
+    monkeypatch.setattr(qdigest, "HELD", held)
     rng = np.random.default_rng(0)
     v = np.concatenate([rng.lognormal(7, 1, 30_000).astype(int), np.zeros(3000), np.full(9000, 1329), [10**9]]).astype(float)
-    rows = spark.createDataFrame([("m", i % 40, float(x)) for i, x in enumerate(v)], "k string, day int, v double")
-    error = 0.05
+    rows = spark.createDataFrame([("m", i % 40, float(x)) for i, x in enumerate(v)], "k string, day int, v double").repartition(7)
+    error, percents = 0.2, [1, 50, 90, 99]
     days = qdigest.digest(rows, ["k", "day"], ["v"], error)
+    assert days.count() < len(set(zip(v, np.arange(len(v)) % 40)))  # the days' digests are compressed
     whole = qdigest.merge(days, ["k"], error)
     assert whole.count() < 3 * 32 / error and whole.agg(F.sum("n")).first()[0] == len(v)
-    r = qdigest.percentiles(whole, ["k"], [1, 50, 90, 99], error).first()
-    s = np.sort(v.astype(np.float32).astype(float))
-    for p in (1, 50, 90, 99):
-        rank = -(-len(v) * p // 100)
-        lo, hi = np.searchsorted(s, r[f"p{p}"], "left") + 1, np.searchsorted(s, r[f"p{p}"], "right")
-        assert hi >= rank and lo <= rank + r["max_rank_error"] + 1
-    assert r["max_rank_error"] <= error * len(v)
+    off, bound = worst_rank(v, qdigest.percentiles(whole, ["k"], percents, error).first(), percents)
+    assert off <= bound <= error * len(v)
+    for r in qdigest.percentiles(days, ["k", "day"], percents, error).collect():
+        off, bound = worst_rank(v[r["day"] :: 40], r, percents)
+        assert off <= bound <= error * r["n"]
+
+
+def test_production_error_on_data_beyond_k(spark):
+    rows = spark.range(400_000, numPartitions=9).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("m"), F.col("id") % 7)).alias("k"), (F.col("id") % 31).alias("day"), F.exp(F.randn(5) * 2 + 6).alias("v"))
+    days = qdigest.digest(rows, ["k", "day"], ["v"])
+    got = qdigest.percentiles(qdigest.merge(days, ["k"]), ["k"], qdigest.PERCENTS).collect()
+    values = {}
+    for r in rows.collect():
+        values.setdefault(r["k"], []).append(r["v"])
+    errors = []
+    for r in got:
+        off, bound = worst_rank(values[r["k"]], r, qdigest.PERCENTS)
+        assert off <= bound <= qdigest.ERROR * r["n"]
+        errors.append(off)
+    assert len(got) == len(values) == 8 and max(errors) > 0 and qdigest.merge(days, ["k"]).count() < len(values["hot"])
 
 
 def test_digest_of_nulls_ties_and_nothing(spark):
