@@ -249,12 +249,45 @@ def test_defects_of_a_table(spark):
 # personal data
 
 
-def test_forms():
-    t = "Mail a.b+c@team.example.org or x-7 [at] web [dot] example, call (359) 555-0158 or +33.1.99.00.40.53, SSN 969-24-6012, ID QQ 37 15 81 B, build 819.920.438 of 0.713; she lives at 55 Ostermoor Drive, Unit 2 and in Vintrygasse 279a, C/ Pellmont 48, or 191 bis, rue de Gorse."
-    sure, _ = personal.scan(t)
-    got = {(k, t[s:e]) for k, s, e in sure}
-    assert {("email", "a.b+c@team.example.org"), ("email", "x-7 [at] web [dot] example"), ("phone", "(359) 555-0158"), ("phone", "+33.1.99.00.40.53"), ("id_number", "969-24-6012"), ("id_number", "QQ 37 15 81 B")} <= got
-    assert {t[s:].split(" ")[0] for k, s, e in sure if k == "address"} == {"55", "Vintrygasse", "C/", "191"} and not any("819" in x for _, x in got)
+def test_seeds_and_candidates():
+    t = "Mail a.b+c@team.example.org or x-7 [at] web [dot] example, call +33.1.99.00.40.53, SSN 969-24-6012, mobile: 07700 900 675, build 819.920.438 of 0.713; she lives at 55 Ostermoor Road, Unit 2, in Vintrystraße 279a, Calle Pellmont 48, 191 bis, rue de Gorse, or 7 Larkfell Mews, Eldmere 98494."
+    sure, found = personal.scan(t)
+    assert [t[s:e] for _, s, e in sure] == ["a.b+c@team.example.org", "x-7 [at] web [dot] example"]
+    seeds = {(x[7], t[x[1] : x[2]]) for x in found if x[7]}
+    assert {("phone", "+33.1.99.00.40.53"), ("phone", "07700 900 675"), ("id_number", "969-24-6012")} <= seeds
+    assert {x for k, x in seeds if k == "address"} == {"55 Ostermoor Road, Unit 2", "Vintrystraße 279a", "Calle Pellmont 48", "191 bis, rue de Gorse", "7 Larkfell Mews, Eldmere 98494"}
+    assert "819.920.438" in {t[x[1] : x[2]] for x in found} and not any("819" in x for _, x in seeds)
+
+
+def test_unseen_shapes_and_words_are_learned_from_where_they_stand(spark):
+    rng = random.Random(2)
+    digits = lambda form: "".join(str(rng.randrange(1, 10)) if c == "d" else c for c in form)
+    town = lambda: f"{rng.choice(['Eldmere', 'Villarosel'])} {rng.randrange(10000, 99999)}"
+    name = lambda: rng.choice("Larkfell Tarnlow Pellmont Vintry Ashmere Bellhatch Quarrywick".split())
+    phones, ids, streets = ["+dd ddd dddddd", "ddd/ddd-dddd", "dd-ddddd-ddd"], ["ddd-dd-dddd", "dddd.dddd.dddd"], ["Road", "Twitten", "Wynd"]
+    rows, want = [], set()
+    for i in range(600):
+        kind, value, t = [
+            lambda: ("phone", v := digits(rng.choice(phones)), rng.choice(["She can be called on {} today.", "Please text me on {} soon."]).format(v)),
+            lambda: ("id_number", v := digits(rng.choice(ids)), rng.choice(["The card shows {} in full.", "Entered under file key {} last week."]).format(v)),
+            lambda: ("address", v := f"{rng.randrange(1, 99)} {name()} {(w := rng.choice(streets))}", rng.choice(["The parcel for {} was lost.", "He lives at {} alone."]).format(v + (f", {town()}" if rng.random() < 0.4 else ""))),
+            lambda: (None, "", f"The build {digits('ddd.ddd.ddd')} scored {digits('ddd-ddd-ddd')} on 12 Tessera cases."),
+        ][i % 4]()
+        t = "The queue was stable. " + t
+        rows.append(("t", str(i), "f", t))
+        if kind:
+            want.add((str(i), kind, t.index(value)))
+    df = spark.createDataFrame(rows, "table_name string, record_id string, field_name string, text string")
+    got = {(r["record_id"], r["kind"], r["start_pos"]) for r in personal.find_personal(df).where("kind <> 'name'").collect()}
+    assert got == want
+
+
+def test_a_hot_pattern_is_split(spark, monkeypatch):
+    rows = [(i, [1, 2 + i % 3], [50 + i % 4], 1, "name" if i % 5 == 0 else None, False) for i in range(200)]
+    found = spark.createDataFrame(rows, "instance bigint, contexts array<bigint>, parts array<bigint>, telling int, seed string, strict boolean")
+    one = {tuple(r) for r in personal.bootstrap(found, personal.NAMES).collect()}
+    monkeypatch.setattr(personal, "HOT", 7)
+    assert {tuple(r) for r in personal.bootstrap(found, personal.NAMES).collect()} == one and len(one) == 200
 
 
 @pytest.mark.parametrize("at", ["@", "＠", "[at]", "(AT)", "{at}", "<At>"])
@@ -263,11 +296,11 @@ def test_an_address_is_found_by_every_form_of_its_sign(at):
 
 
 def test_names_are_found_to_the_end_of_a_chain(spark):
-    rows = [(10 * i + j, [], [1000 + i, 1001 + i], i == 0) for i in range(9) for j in range(2)]
-    found = spark.createDataFrame(rows, "instance bigint, contexts array<bigint>, parts array<bigint>, seed boolean")
-    assert {r[0] for r in personal.bootstrap(found).collect()} == {r[0] for r in rows}
+    rows = [(10 * i + j, [], [1000 + i, 1001 + i], 1, "name" if i == 0 else None, False) for i in range(9) for j in range(2)]
+    found = spark.createDataFrame(rows, "instance bigint, contexts array<bigint>, parts array<bigint>, telling int, seed string, strict boolean")
+    assert {r[0] for r in personal.bootstrap(found, personal.NAMES).collect()} == {r[0] for r in rows}
     with pytest.raises(RuntimeError):
-        personal.bootstrap(found, 2)
+        personal.bootstrap(found, personal.NAMES, 2)
 
 
 def test_names_are_found_by_their_contexts(spark):
