@@ -67,7 +67,7 @@ _AT = r"(?:\s?(?:@|＠|\[at\]|\(at\)|\{at\}|<at>)\s?)"
 AT_MARKS = ("@", "＠", "at]", "at)", "at}", "at>")
 _DOT = r"(?:\.|\s?(?:\[dot\]|\(dot\)|\{dot\})\s?)"
 EMAIL = re.compile(rf"(?<![\w.+-])[\w](?:[\w.+%-]|\s?(?:\[dot\]|\(dot\))\s?)*{_AT}[A-Za-z0-9](?:[\w-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[\w-]*[A-Za-z0-9])?)+", re.IGNORECASE)
-NUMBER = re.compile(r"(?<![\w.,/#-])(?:\+|\()?\d(?:(?:\) |[ .\-/]|\)|\()?\d){6,17}(?![\w/]|[.,-]\d)")
+NUMBER = re.compile(r"[+(\d](?<![\w.,/#-].)(?:(?<=[+(])\d|(?<=\d))(?:(?:\) |[ .\-/]|\)|\()?\d){6,17}(?![\w/]|[.,-]\d)")
 CODE = re.compile(r"(?<![\w-])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]{1,3}\d{6,9}|\d{7,8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z])(?![\w-])")
 #: Identity numbers of a form that nothing else has: three, two and four digits with hyphens, or two letters, three
 #: pairs of digits and a letter from A to D (fixed values).
@@ -76,7 +76,13 @@ _CAP = r"[A-ZÀ-ÖØ-Þ]"
 _NAME_WORD = rf"{_CAP}[a-zß-öø-ÿ'’]+"
 _FAMILY = rf"(?:(?:{'|'.join(PARTICLES.split())}) )*(?:{_NAME_WORD}(?:-{_NAME_WORD})?|{_CAP}{{3,}}(?:-{_CAP}{{3,}})?)(?![\w@])"
 _GIVEN = rf"{_NAME_WORD}(?:-{_NAME_WORD})?"
-NAME = re.compile(rf"(?<![\w@.'’-])(?=(?P<fwd>(?P<g>{_GIVEN}|{_CAP}\.) (?:{_CAP}\. )?(?P<f>{_FAMILY}))?(?P<rev>(?P<rf>{_FAMILY}), (?P<rg>{_GIVEN})(?![\w@]))?){_CAP}")
+_REST = r"[a-zß-öø-ÿ'’]+"
+#: A capital letter where a name may begin; the groups hold what follows it. The letter stands first, because a
+#: search for a set of letters is fast.
+NAME = re.compile(
+    rf"{_CAP}(?<![\w@.'’-].)(?=(?P<fwd>(?P<g>{_REST}(?:-{_NAME_WORD})?|\.) (?:{_CAP}\. )?(?P<f>{_FAMILY}))?"
+    rf"(?P<rev>(?P<rf>(?:{_REST}(?:-{_NAME_WORD})?|{_CAP}{{2,}}(?:-{_CAP}{{3,}})?)(?![\w@])), (?P<rg>{_GIVEN})(?![\w@]))?)(?(fwd)|(?(rev)|(?!)))"
+)
 _TOWN = rf"(?:{_NAME_WORD}|Port {_NAME_WORD})(?:[- ]{_NAME_WORD})?"
 _WORD = rf"{_CAP}[\w'’-]+"
 #: Places by form: number and name; word and name, then number; number, word and name; one word, then number.
@@ -89,7 +95,7 @@ PLACE = {
 _UNIT = r"(?:, (?:Unit|Flat|Apt|Apartment|Suite|Floor|Room|Apt\.|#) ?\w+)"
 _POST = rf"(?:,? {_TOWN},? \d{{4,6}}|, \d{{4,6}} {_TOWN})"
 _TAIL = re.compile(rf"\.?{_UNIT}?(?P<post>{_POST})|\.?{_UNIT}|\.(?=,)")
-_DIGIT = re.compile(r"\d")
+_DIGITS = re.compile(r"\d+")
 _TITLE = frozenset(TITLES.split())
 _PHONE_LABELS, _ID_LABELS = frozenset(PHONE_LABELS.split()), frozenset(ID_LABELS.split())
 _STREETS = {k: frozenset(v.split()) for k, v in STREETS.items()}
@@ -115,6 +121,8 @@ def number_seed(number: str, before: str) -> str | None:
 
 
 def _mask(token: str) -> str:
+    if token.isalpha():
+        return token.lower()
     if "@" in token:
         return token[0] + "@" if token[0] in "(<[" else "@"
     return re.sub(r"\d+", "0", token.lower())
@@ -141,25 +149,34 @@ def _nearest(contexts: list[str]) -> list[str]:
     return [c for c in contexts if c[0] in "lL"][-1:]
 
 
-def _places(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple]:
-    for form, pattern in PLACE.items():
-        for m in pattern.finditer(text):
-            s = m.start()
-            ends = [m.end()]
-            if form == "A":  # any word from the second on may be that for the street
-                ends = [m.start("w") + x.end() for x in _TOKEN.finditer(m.group("w"))][1:]
-            for e in ends:
-                if any(a < e and s < b for a, b in taken):
-                    continue
-                core = text[s:e]
-                word = core.rpartition(" ")[2].lower() if form == "A" else m.group("w").lower()
-                parts = [f"{form} {word.rstrip('.')}"]
-                if form == "G":
-                    word = word.rstrip(".")
-                    parts = [f"G {word[-n:]}" for n in range(3, 8) if n < len(word)] + ([f"G {word.rpartition(' ')[2]}"] if " " in word else [])
-                tail = _TAIL.match(text, e)
-                seed = tail is not None and tail.group("post") or any(p[2:] in _STREETS[form] for p in parts)
-                yield "address", s, tail.end() if tail else e, core, _nearest(context(text, s, e)), parts, 9, "address" if seed else None
+def _places(text: str, runs: list[re.Match], taken: list[tuple[int, int]]) -> Iterator[tuple]:
+    """Candidates for addresses; runs are the text's runs of digits, at one of which each begins or ends."""
+    found = [(form, m) for form in "AC" for r in runs if r.end() - r.start() <= 5 and (m := PLACE[form].match(text, r.start()))]
+    if any(_capital_before(text, r.start()) for r in runs):
+        found += [(form, m) for form in "BG" for m in PLACE[form].finditer(text)]
+    for form, m in found:
+        s = m.start()
+        ends = [m.end()]
+        if form == "A":  # any word from the second on may be that for the street
+            ends = [m.start("w") + x.end() for x in _TOKEN.finditer(m.group("w"))][1:]
+        for e in ends:
+            if any(a < e and s < b for a, b in taken):
+                continue
+            core = text[s:e]
+            word = core.rpartition(" ")[2].lower() if form == "A" else m.group("w").lower()
+            parts = [f"{form} {word.rstrip('.')}"]
+            if form == "G":
+                word = word.rstrip(".")
+                parts = [f"G {word[-n:]}" for n in range(3, 8) if n < len(word)] + ([f"G {word.rpartition(' ')[2]}"] if " " in word else [])
+            tail = _TAIL.match(text, e)
+            seed = tail is not None and tail.group("post") or any(p[2:] in _STREETS[form] for p in parts)
+            yield "address", s, tail.end() if tail else e, core, _nearest(context(text, s, e)), parts, 9, "address" if seed else None
+
+
+def _capital_before(text: str, at: int) -> bool:
+    """Whether the word before a place, or the one before a sign for a number, begins with a capital letter."""
+    words = text[max(0, at - 60) : at].split()[-2:]
+    return any(w != w.lower() for w in words)
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple]]:
@@ -168,21 +185,22 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple]]:
     low = text.lower()
     sure = [("email", m.start(), m.end()) for m in EMAIL.finditer(text)] if any(mark in low for mark in AT_MARKS) else []
     taken, found = [(s, e) for _, s, e in sure], []
-    if _DIGIT.search(text):
-        for pattern in (CODE, NUMBER):
-            for m in pattern.finditer(text):
-                s, e = m.span()
-                if not any(a < e and s < b for a, b in taken):
-                    taken.append((s, e))
-                    found.append(("number", s, e, m.group(), _nearest(context(text, s, e)), ["shape " + form_of(m.group())], 1, number_seed(m.group(), text[max(0, s - 40) : s])))
-        found += _places(text, taken)
+    runs = list(_DIGITS.finditer(text))
+    if runs:
+        if sum(r.end() - r.start() for r in runs) >= 6:
+            for pattern in (CODE, NUMBER):
+                for m in pattern.finditer(text):
+                    s, e = m.span()
+                    if not any(a < e and s < b for a, b in taken):
+                        taken.append((s, e))
+                        found.append(("number", s, e, m.group(), _nearest(context(text, s, e)), ["shape " + form_of(m.group())], 1, number_seed(m.group(), text[max(0, s - 40) : s])))
+        found += _places(text, runs, taken)
     for m in NAME.finditer(text):
-        for form, given, family in (("fwd", m.group("g"), m.group("f")), ("rev", m.group("rg"), m.group("rf"))):
-            if m.group(form) is None:
-                continue
-            s, e = m.span(form)
-            if any(a < e and s < b for a, b in taken):
+        for form, given, family in (("fwd", "g", "f"), ("rev", "rg", "rf")):
+            s, e = m.start(), m.end(form)
+            if e < 0 or any(a < e and s < b for a, b in taken):
                 continue
+            given, family = (text[s : m.end(x)] if x in ("g", "rf") else m.group(x) for x in (given, family))
             g = given.split("-")[0].lower()
             if g.rstrip(".") in _TITLE and len(g) > 2 or family.lower() in _TITLE:
                 continue
@@ -192,8 +210,9 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple]]:
             parts = ["f " + f] if g.endswith(".") else ["g " + g, "f " + f] if form == "fwd" else ["", "g " + g, "f " + f]
             before = text[max(0, s - 24) : s].lower().split()
             title = bool(before) and before[-1].rstrip(".") in _TITLE and not g.endswith(".")
-            seed = title or any(" ".join(before[-2:]).endswith(x) for x in INTRODUCTIONS)
-            found.append(("ini" if g.endswith(".") else form, s, e, m.group(form).lower(), context(text, s, e), parts, 1, "name" if seed else None))
+            last = " ".join(before[-2:])
+            seed = title or any(last.endswith(x) for x in INTRODUCTIONS)
+            found.append(("ini" if g.endswith(".") else form, s, e, text[s:e].lower(), context(text, s, e), parts, 1, "name" if seed else None))
     # A first word behind which another name begins is more likely a title or a noun.
     begins = {x[1] for x in found if x[0] in ("fwd", "rev", "ini")}
     return sure, [(*x, x[0] == "fwd" and x[1] + text[x[1] : x[2]].find(" ") + 1 in begins) for x in found]
