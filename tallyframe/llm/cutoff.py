@@ -33,15 +33,18 @@ FILTER_BITS, FILTER_MOST = 16, 25
 HELD = 1 << 21
 #: Weight of the shorter context's estimate in that of the longer, and the least count of a context.
 BACKOFF, SUPPORT = 30.0, 8
-#: Log odds between which a threshold is sought, and the one taken where a group has too few values.
-LOW, HIGH, DEFAULT, ENOUGH = -7.0, -3.0, -4.0, 200
-#: A length is a limit if at least so many values of a column have it, so many times as many as its
-#: neighbours within REACH on average; for values of that length the threshold is higher by SHIFT.
+#: Log odds between which a threshold is sought, where it is sought first, and the weight, in values, that all
+#: languages of a column have in the distribution of one.
+LOW, HIGH, DEFAULT, POOLED = -7.0, -3.0, -4.0, 200.0
+#: A length is a limit if at least so many values of a column, or of a column and source, have it, so many times as many
+#: as its neighbours within REACH on average; for values of that length the threshold is higher by SHIFT.
 SPIKE, TIMES, REACH, SHIFT = 20, 4.0, 12, 2.5
 PROSE, LIST, SHORT = 0, 1, 2
 _ITEM = re.compile(r"\s*(?:[-*•|]|\d+[.)])\s")
 _BARE_ITEM = re.compile(r"\n\s*(?:[-*•]|\d+[.)]?)\s*$")
-_MIN_INNER = 24
+#: A phrase under so many characters, of so many words at most and without an end is complete by itself: a label,
+#: a number, a short answer.
+SHORT_CHARS, SHORT_WORDS = 40, 5
 _CUT_MARKS = ("…", "�")
 
 
@@ -88,7 +91,7 @@ def _inner(value) -> Iterator[str]:
     while todo:
         v = todo.pop()
         if isinstance(v, str):
-            if len(v) >= _MIN_INNER:
+            if v.strip() and _mode(v.strip()) != SHORT:
                 yield v
         elif isinstance(v, dict):
             todo += list(v.values())
@@ -124,19 +127,23 @@ def units(text: str | None) -> tuple[list[str], bool]:
 def _mode(line: str) -> int:
     if _ITEM.match(line):
         return LIST
-    return SHORT if len(line) < 40 and line[-1:] not in ".!?。" and len(line.split()) <= 5 else PROSE
+    return SHORT if len(line) < SHORT_CHARS and line[-1:] not in ".!?。" and len(line.split()) <= SHORT_WORDS else PROSE
 
 
 class Batch:
     """The units of a batch as code points with digits as one, and a mode for every line."""
 
     def __init__(self, texts: list[str]):
-        lines, self.last = [], []
+        lines, mode, self.last = [], [], []
         for t in texts:
             parts = [x for x in t.split("\n") if x.strip()]
+            modes = [_mode(x) for x in parts]
+            if len(parts) > 1 and modes[-1] == SHORT != modes[-2]:
+                modes[-1] = PROSE  # a few words behind whole lines are no line of their own kind
             lines += parts
+            mode += modes
             self.last.append(len(lines) - 1)
-        self.mode = np.array([_mode(x) for x in lines], np.int64)
+        self.mode = np.array(mode, np.int64)
         cp, off = vec.decode(*vec.utf8(pa.array(["\x02\x02" + x.rstrip() for x in lines], pa.string())))
         cp = np.where((cp >= 48) & (cp <= 57), 48, cp)
         # One digit stands for a run of them.
@@ -155,6 +162,23 @@ class Batch:
             h = (p[end] - p[end - k]) * vec.powers(len(p))[1][end - k]
             return vec.scramble(h + (self.mode[line] + 3 * k).astype(U64) * U64(vec.BASE)), ok
 
+    def all_keys(self, k: int) -> np.ndarray:
+        """The keys of the contexts of k characters that stop anywhere: those of `keys`, by whole stretches."""
+        p = self.prefix()
+        if len(p) <= k:
+            return np.zeros(0, U64)
+        if not hasattr(self, "_depth"):
+            self._depth = np.arange(1, len(self.cp) + 1) - self.off[self.line]
+            with np.errstate(over="ignore"):
+                self._mode = (self.mode.astype(U64) * U64(vec.BASE))[self.line]
+        ok = self._depth[k - 1 :] >= k
+        with np.errstate(over="ignore"):
+            h = p[k:] - p[:-k]
+            h *= vec.powers(len(p))[1][: len(h)]
+            h += self._mode[k - 1 :]
+            h += U64(3 * k) * U64(vec.BASE)
+        return vec.scramble(h[ok])
+
     def prefix(self) -> np.ndarray:
         if not hasattr(self, "_p"):
             self._p = vec.prefix_hash(self.cp)
@@ -183,7 +207,7 @@ def read_values(values: DataFrame) -> DataFrame:
                 for t in part.column("text").to_pylist():
                     u, cut = units(t)
                     opened.append(cut)
-                    langs.append(language(t[-400:]) if t else None)
+                    langs.append(language(t))
                     count.append(len(u))
                     texts += u
                 keys, has = np.zeros((len(texts), len(ORDERS)), np.int64), np.zeros((len(texts), len(ORDERS)), np.bool_)
@@ -240,10 +264,9 @@ def count_contexts(values: DataFrame, keys: DataFrame) -> DataFrame:
         for batch in batches:
             for texts in _texts(batch):
                 b = Batch(texts)
-                everywhere, ends = np.arange(1, len(b.cp) + 1), b.off[1:]
                 for k in ORDERS:
-                    add(held[0], b.keys(k, everywhere)[0])
-                    add(held[1], b.keys(k, ends)[0])
+                    add(held[0], b.all_keys(k))
+                    add(held[1], b.keys(k, b.off[1:])[0])
                 if sum(len(x) for to in held for x, _ in to) > HELD:
                     yield from sums()
         yield from sums()
@@ -286,25 +309,31 @@ def score_values(values: DataFrame) -> DataFrame:
 
 
 def thresholds(scored: DataFrame) -> DataFrame:
-    """(lang, field_name, threshold): the middle of the emptiest stretch of log odds between LOW and HIGH."""
+    """(lang, field_name, threshold): the middle of the emptiest stretch of log odds between LOW and HIGH, the one
+    next to DEFAULT among several. The distribution is the language's own in the column, with that of the
+    whole column as POOLED values besides, so that few values have no threshold of their own."""
     step = 0.25
     bins = int((HIGH - LOW) / step)
     at = F.floor((F.col("odds") - LOW) / step).cast("int")
     counts = scored.where("odds is not null").groupBy("lang", "field_name", F.greatest(F.lit(-1), F.least(F.lit(bins), at)).alias("bin")).agg(F.count("*").alias("n"))
-    per = counts.groupBy("lang", "field_name").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("h"))  # at most bins + 2 entries
+    entries = lambda n: F.map_from_entries(F.collect_list(F.struct("bin", n)))  # noqa: E731 - at most bins + 2
+    field = counts.groupBy("field_name", "bin").agg(F.sum("n").alias("n"))
+    field = field.groupBy("field_name").agg(F.sum("n").alias("of"), entries("n").alias("g"))
+    per = counts.groupBy("lang", "field_name").agg(entries("n").alias("h")).join(field, "field_name")
     width = 3
-    near = lambda b: F.aggregate(F.sequence(b - (width - 1) // 2, b + width // 2), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(F.try_element_at("h", x), F.lit(0)))
+    held = lambda m, b: F.aggregate(F.sequence(b - (width - 1) // 2, b + width // 2), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(F.try_element_at(m, x), F.lit(0)))
+    near = lambda b: held("h", b) + POOLED * held("g", b) / F.col("of")
     middle = F.lit(int((DEFAULT - LOW) / step))
     best = F.array_min(F.transform(F.sequence(F.lit(1), F.lit(bins - 2)), lambda b: F.struct(near(b).alias("n"), F.abs(b - middle).alias("d"), b.alias("b"))))["b"]
-    return per.select("lang", "field_name", F.when(F.col("total") < ENOUGH, F.lit(DEFAULT)).otherwise(F.lit(LOW) + (best + 0.5) * step).alias("threshold"))
+    return per.select("lang", "field_name", (F.lit(LOW) + (best + 0.5) * step).alias("threshold"))
 
 
-def length_limits(values: DataFrame) -> DataFrame:
-    """(field_name, chars): lengths at which a column's values pile up, from values (field_name, chars)."""
-    per = values.where("chars > 0").groupBy("field_name", "chars").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("field_name").orderBy("chars").rangeBetween(-REACH, REACH)  # a row per length
+def length_limits(values: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, chars): lengths at which the values (*by, chars) of a group pile up."""
+    per = values.where("chars > 0").groupBy(*by, "chars").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*by).orderBy("chars").rangeBetween(-REACH, REACH)  # a row per length
     around = (F.sum("n").over(w) - F.col("n")) / (2 * REACH)
-    return per.select("field_name", "chars", "n", around.alias("around")).where((F.col("n") >= SPIKE) & (F.col("n") >= TIMES * F.col("around"))).select("field_name", "chars")
+    return per.select(*by, "chars", "n", around.alias("around")).where((F.col("n") >= SPIKE) & (F.col("n") >= TIMES * F.col("around"))).select(*by, "chars")
 
 
 def find_cut(values: DataFrame) -> DataFrame:
@@ -316,9 +345,11 @@ def find_cut(values: DataFrame) -> DataFrame:
     scored = score_values(values)
     limit = thresholds(scored).select(F.col("lang").alias("_lang"), F.col("field_name").alias("_field"), "threshold")
     joined = scored.join(F.broadcast(limit), F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("field_name") == F.col("_field")), "left")  # languages x columns
-    spikes = length_limits(values.select("field_name", F.length("text").alias("chars"))).withColumn("limited", F.lit(True))
-    joined = joined.join(spikes, ["field_name", "chars"], "left")
-    bar = F.coalesce("threshold", F.lit(DEFAULT)) + F.when(F.col("limited"), SHIFT).otherwise(0.0)
+    limits = length_limits(scored, ["field_name"]).withColumn("limited", F.lit(True))
+    joined = joined.join(limits, ["field_name", "chars"], "left")
+    own = length_limits(scored.where("source is not null"), ["field_name", "source"]).withColumn("limited_here", F.lit(True))
+    joined = joined.join(own, ["field_name", "source", "chars"], "left")
+    bar = F.coalesce("threshold", F.lit(DEFAULT)) + F.when(F.col("limited") | F.col("limited_here"), SHIFT).otherwise(0.0)
     cut = F.col("open") | F.coalesce(F.col("odds") < bar, F.lit(False))
     return joined.select("table_name", "record_id", "field_name", "source", "chars", "lang", "odds", "open", cut.alias("cut"))
 

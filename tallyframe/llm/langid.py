@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 #: Function words that mark one language among those listed (fixed values).
 FUNCTION_WORDS = {
@@ -21,6 +22,14 @@ for _lang, _words in FUNCTION_WORDS.items():
     for _w in _words.split():
         _TABLE[_w] = (*_TABLE.get(_w, ()), _lang)
 _WORD = re.compile(r"[^\W\d_]+")
+_GAPS = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalpha()})
+
+
+def letters(low: str) -> list[str]:
+    """The runs of letters of a text in lower case."""
+    return low.translate(_GAPS).split() if low.isascii() else _WORD.findall(low)
+
+
 #: Scripts that tell the language or its family: ranges of code points (fixed values).
 _SCRIPTS = [
     ("ja", re.compile(r"[぀-ヿ]")),
@@ -46,11 +55,9 @@ def language_scores(text: str) -> dict[str, float]:
                 scores[lang] = n / 2
             elif n:
                 scores["ja"] += n / 2
-    for w in _WORD.findall(text.lower()):
-        langs = _TABLE.get(w)
-        if langs:
-            for x in langs:
-                scores[x] = scores.get(x, 0.0) + 1.0 / len(langs)
+    for langs, n in Counter(map(_TABLE.get, letters(text.lower()))).items():
+        for x in langs or ():
+            scores[x] = scores.get(x, 0.0) + n / len(langs)
     return scores
 
 
