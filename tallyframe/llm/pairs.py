@@ -1,20 +1,23 @@
 """Defects of prompt and response pairs.
 
-Shortened versions are found by sorting all responses by text: the extensions of a text follow it
-directly, so a response is compared with its next different neighbour. Limits are lengths at which
+Shortened versions are found by sorting the clauses of all responses by text: the extensions of a
+text follow it directly, so a response that breaks off is compared, by its last clause, with the next
+different neighbour; if that continues it, the response is a shortened version. (Whole responses are
+too rarely begun alike for that.) Limits are lengths at which
 responses pile up. Emptiness, copies, refusals and the language are told by rules per pair; whether
-an end at or off a limit is open is told by the model of `cutoff`.
+an end that no neighbour continues is open, at or off a limit, is told by the model of `cutoff`.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm import cutoff, vec
@@ -69,8 +72,17 @@ REFUSAL_MARKS = (
     "je ne |je préfère|je préférerais|je dois|je me vois|je suis contraint|je refuse|je décline|mes |m'est|parlons|discutons|aucune réponse|no puedo|no podré|no debo|no quiero|no deseo|rechazar|declinar|negarme|prefiero no|no me |no estoy|me niego|contra mis|otra cosa|imposible|no se dará|tema |"
     "non posso|rifiutare|declinare|preferisco|contro le mie|kan ik|mag ik|wil ik|zal ik|ik kan|ik mag|ik wil|ik zal|weigeren|mijn |我|无法|不能|でき|かね"
 ).split("|")
+_MARKS = ahocorasick.Automaton()
+for _m in REFUSAL_MARKS:
+    _MARKS.add_word(_m, 1)
+    _MARKS.add_word(_m.replace("'", "’"), 1)
+_MARKS.make_automaton()
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
-REFUSAL_CHARS, REFUSAL_MORE = 420, 170
+#: Sentences in which a refusal is spoken out, and how much it says besides: characters, or times what declines.
+REFUSAL_FIRST, REFUSAL_MORE, REFUSAL_SHARE = 3, 170, 1.0
+#: Where clauses end, and characters at which a text ends whole (fixed values).
+CLAUSES = r"[.!?,;][\s]+|[。！？，\n]\s*"
+WHOLE = ".!?。！？`}\"')]»”"
 
 #: Names of languages in the languages themselves and in English (fixed values).
 LANGUAGE_NAMES = {
@@ -87,6 +99,7 @@ LANGUAGE_NAMES = {
 _NAME_OF = {n: k for k, v in LANGUAGE_NAMES.items() for n in v.split()}
 _ASKED = re.compile(r"(?i)(?:\b(?:in|into|auf|en|ins|im|naar|het)\s+|\(\s*|[:]\s*)(" + "|".join(re.escape(n) for n in _NAME_OF) + r")\b|\b(" + "|".join(re.escape(n) for n in _NAME_OF) + r")\s+(?:only|please|nur|uniquement|solamente)")
 _WORD = re.compile(r"[^\W_]+")
+_GAPS = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
 _LABEL = re.compile(r"^\s*(?:[\w ]{1,20}[:：]\s+)?")
 _FENCE = re.compile(r"```.*?(?:```|$)", re.DOTALL)
 
@@ -104,36 +117,49 @@ def is_empty(text: str | None, prompt: str | None) -> bool:
 
 
 def is_refusal(text: str) -> bool:
-    """Declines in one of its first sentences, and hardly says anything besides."""
+    """Declines in one of its first sentences, and says hardly more besides than it takes to decline."""
+    if next(_MARKS.iter(text.lower()), None) is None:
+        return False
     t = text.strip().replace("’", "'")
-    low = t.lower()
-    if len(t) > REFUSAL_CHARS or not any(m in low for m in REFUSAL_MARKS):
+    if not _REFUSAL.search(t):
         return False
-    hit = _REFUSAL.search(t)
-    if not hit:
+    parts = [p for p in _SENTENCE.split(t) if p.strip()]
+    declines = [bool(_REFUSAL.search(p)) for p in parts]
+    if not any(declines[:REFUSAL_FIRST]):
         return False
-    parts = [s for s in _SENTENCE.split(t) if s.strip()]
-    rest = sum(len(s) for s in parts if not _REFUSAL.search(s))
-    return len(parts) <= 5 and rest <= REFUSAL_MORE
+    said = sum(len(p) for p, d in zip(parts, declines) if d)
+    return sum(map(len, parts)) - said <= max(REFUSAL_MORE, REFUSAL_SHARE * said)
+
+
+def _words(text: str) -> list[str]:
+    low = text.lower()
+    return low.translate(_GAPS).split() if low.isascii() else _WORD.findall(low)
 
 
 def is_copy(text: str, prompt: str) -> bool:
-    """Three in a row of nearly all its words stand so in the prompt, and it holds most of a sentence of it."""
-    low, all_low, step = text.lower(), prompt.lower(), max(1, len(text) // 9)
-    if sum(low[i : i + 7] in all_low for i in range(step // 2, len(low), step)) < 3 <= len(low) // step:
-        return False  # of nine places hardly any stands in the prompt
-    for t in (text, _LABEL.sub("", text, count=1)):
-        out = _WORD.findall(t.lower())
-        if len(out) < 5:
-            return False
-        src = _WORD.findall(prompt.lower())
-        have = set(zip(src, src[1:], src[2:]))
-        inside = sum(g in have for g in zip(out, out[1:], out[2:]))
-        enough = inside >= 0.85 * (len(out) - 2)
-        if not enough and inside >= 0.6 * (len(out) - 2) and len(out) < 200:  # a word or two left out
-            enough = sum(m.size for m in SequenceMatcher(None, out, src, autojunk=False).get_matching_blocks()) >= 0.95 * len(out)
+    """Three in a row of nearly all its words stand so in the prompt, or of most, and of two nearly all; and it holds most of a sentence of the prompt. A text of few words is a copy if it has the
+    prompt's words and no other."""
+    src = _words(prompt)
+    have, triples = set(src), None
+    for t in dict.fromkeys((text, _LABEL.sub("", text, count=1))):
+        out = _words(t)
+        n = len(out) - 2
+        if n < 3:
+            if out and out == src:
+                return True
+            continue
+        if 2 * sum(w in have for w in out) < len(out):
+            continue
+        triples = set(zip(src, src[1:], src[2:])) if triples is None else triples
+        inside = [g in triples for g in zip(out, out[1:], out[2:])]
+        hits = sum(inside)
+        enough = hits >= 0.85 * n
+        if not enough and hits >= 0.6 * n:  # a word or two left out
+            doubles = set(zip(src, src[1:]))
+            joined = [g in doubles for g in zip(out, out[1:])]
+            enough = sum(a or b for a, b in zip([*joined, False], [False, *joined])) >= 0.95 * len(out)
         if enough:
-            sizes = [len(_WORD.findall(s)) for s in _SENTENCE.split(prompt) if s.strip()]
+            sizes = [len(_words(x)) for x in _SENTENCE.split(prompt) if x.strip()]
             return len(out) >= 0.5 * min(sizes[-1] if sizes and sizes[-1] else len(src), len(src))
     return False
 
@@ -172,46 +198,65 @@ def rule_defect(prompt: str | None, text: str | None) -> str | None:
     return None
 
 
+def _clauses(text: Column) -> Column:
+    """The clauses of a text, without the marks between them."""
+    return F.filter(F.transform(F.split(text, CLAUSES), F.trim), lambda x: x != "")
+
+
+def open_ends(texts: DataFrame) -> DataFrame:
+    """(k1, k2, clause): the last clause of every text (k1, k2, text) that ends neither whole nor as a single
+    short phrase, which is complete by itself."""
+    rows = texts.where(~F.lit(WHOLE).contains(F.right(F.rtrim("text"), F.lit(1)))).select("k1", "k2", _clauses(F.col("text")).alias("v"))
+    last = F.try_element_at("v", F.lit(-1))
+    short = (F.size("v") == 1) & (F.length(last) < cutoff.SHORT_CHARS) & (F.size(F.split(last, r"\s+")) <= cutoff.SHORT_WORDS)
+    return rows.where((F.size("v") > 0) & ~short).select("k1", "k2", last.alias("clause"))
+
+
 def shortened(texts: DataFrame) -> DataFrame:
-    """(k1, k2): keys of the texts (k1, k2, text; each once) that another one continues.
+    """(k1, k2): keys of the texts (k1, k2, text) whose last clause is open and another clause continues it.
 
-    A text is shortened if it has at least 40 characters, does not end a sentence, and is the
-    beginning of a longer text. All texts are sorted over the cluster; where a partition ends, its
-    last text meets the first one of the next partition that has any.
+    All different clauses are sorted over the cluster and an open one is compared with the next; where a
+    partition ends, its last clause meets the first one of the next partition that has any.
     """
-    ordered = texts.repartitionByRange("text").sortWithinPartitions("text")
+    ends = written(open_ends(texts))
+    every = texts.select(F.explode(_clauses(F.col("text"))).alias("clause"), F.lit(False).alias("open")).unionByName(ends.select("clause", F.lit(True).alias("open")))
+    distinct = every.groupBy("clause").agg(F.max("open").alias("open"))
+    ordered = distinct.repartitionByRange("clause").sortWithinPartitions("clause")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, part, k1, k2, edge = [], [], [], [], []
+        kind, part, clause = [], [], []
         before, pid = None, TaskContext.get().partitionId()
 
-        def add(what: str, row: tuple, text: str | None) -> None:
-            for column, v in zip((kind, part, k1, k2, edge), (what, pid, row[0], row[1], text)):
-                column.append(v)
+        def add(what: str, text: str) -> None:
+            kind.append(what)
+            part.append(pid)
+            clause.append(text)
 
         for batch in batches:
-            for a, b, t in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text"))):
-                if before is None:
-                    add("first", (a, b), t)
-                elif continued(before[2], t):
-                    add("hit", before, None)
-                before = (a, b, t)
-        if before is not None:
-            add("last", before, before[2])
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(part, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(edge, pa.string())], ["kind", "part", "k1", "k2", "edge"])
-
-    found = written(ordered.mapInArrow(run, "kind string, part int, k1 bigint, k2 bigint, edge string"))
-    last, first = found.where("kind = 'last'"), found.where("kind = 'first'").select("part", F.col("edge").alias("start"))
-    # A row per partition: the next partition's first text.
+            if not batch.num_rows:
+                continue
+            texts, open_ = batch.column("clause"), batch.column("open").to_numpy(zero_copy_only=False)
+            first = texts[0].as_py()
+            if before is None:
+                add("first", first)
+            elif before[1] and first.startswith(before[0]):
+                add("hit", before[0])
+            for i in np.flatnonzero(open_[:-1]):
+                a = texts[i].as_py()
+                if texts[i + 1].as_py().startswith(a):
+                    add("hit", a)
+            before = (texts[batch.num_rows - 1].as_py(), bool(open_[-1]))
+        if before is not None and before[1]:
+            add("last", before[0])
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(part, pa.int32()), pa.array(clause, pa.string())], ["kind", "part", "clause"])
+
+    found = written(ordered.mapInArrow(run, "kind string, part int, clause string"))
+    first = found.where("kind = 'first'").select("part", F.col("clause").alias("start"))
+    # A row per partition: the next partition's first clause.
     follow = first.withColumn("before", F.lag("part").over(Window.orderBy("part"))).select(F.col("before").alias("part"), "start")
-    check = F.udf(continued, "boolean")
-    over = last.join(follow, "part").where(check("edge", "start"))
-    return found.where("kind = 'hit'").select("k1", "k2").unionByName(over.select("k1", "k2"))
-
-
-def continued(a: str, b: str) -> bool:
-    a = a.rstrip()
-    return len(a) >= 40 and a[-1] not in ".!?。！？`}\"'" and len(b) > len(a) and b.startswith(a)
+    over = found.where("kind = 'last'").join(follow, "part").where(F.col("start").startswith(F.col("clause")))
+    hits = found.where("kind = 'hit'").select("clause").unionByName(over.select("clause"))
+    return ends.join(hits, "clause", "left_semi").select("k1", "k2")
 
 
 def find_defects(pairs: DataFrame) -> DataFrame:
@@ -221,8 +266,7 @@ def find_defects(pairs: DataFrame) -> DataFrame:
     keyed = pairs.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64("text", F.length("text"), F.lit(7)))
     values = pairs.where("text is not null").select("table_name", "record_id", "field_name", "source", "text")
     cut = cutoff.find_cut(values).where("cut").select("table_name", "record_id", F.lit(True).alias("cut"))
-    texts = keyed.where(F.length("text") >= 40).groupBy("k1", "k2").agg(F.any_value("text").alias("text"))
-    short = shortened(texts).distinct().withColumn("short", F.lit(True))
+    short = shortened(keyed.where("text is not null").select("k1", "k2", "text")).distinct().withColumn("short", F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

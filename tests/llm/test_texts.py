@@ -228,14 +228,36 @@ def test_languages():
     assert [language(t) for t in ("The rows were sealed before the audit.", "Die Zeilen wurden nicht geprüft.", "Les lignes ont été comptées pour le rapport.", "Los casos fueron revisados por el equipo.", "データセットの件数を確認しました。", "", None, "1234")] == ["en", "de", "fr", "es", "ja", None, None, None]
 
 
-def test_shortened_versions_are_neighbours(spark):
-    long = "The audit team normalised four hundred scores because the schema was golden and the queue was full"
-    texts = [long, long[:60], long[:41], long[:39], long + ". More.", "The audit team.", "z" * 50, "z" * 50 + "q"]
-    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "k1 bigint, k2 bigint, text string").repartition(3)
-    assert sorted(r["k1"] for r in pairs.shortened(df).collect()) == [0, 1, 2, 6]
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_shortened_versions_are_neighbours(spark, parts):
+    rng = random.Random(9)
+    whole = [" ".join(sentence(rng) for _ in range(3)) + f" The {a} {b} was sealed by hand, although nobody had asked for it." for a in NOUNS for b in ("golden", "narrow", "stale", "cheap")]
+    cut = [f"{sentence(rng)} The {a} golden was sealed by hand, altho" for a in NOUNS] + [f"{sentence(rng)}\nThe {a} na" for a in NOUNS]
+    other = ["The parser", "", "  ", ",", "Nobody can tell what stands here and not els", "The parser golden was sealed by hand,", "x" * 100_000, "x" * 100_001]
+    texts = [*whole, *cut, *other]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "k1 bigint, k2 bigint, text string").repartition(parts)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(r["k1"] for r in pairs.shortened(df).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # Every planted one, and a run of letters that a longer one begins with; not a short phrase by itself, nor an end no one continues.
+    assert got == [*range(len(whole), len(whole) + len(cut)), len(texts) - 2]
     assert pairs.shortened(df.limit(0)).count() == 0
 
 
+def test_long_refusals_and_long_copies_are_told():
+    long = "I am sorry, but I cannot help with this request, because it would go against my guidelines and I must decline to go into " + ", ".join(f"item {i} of the list that you sent me" for i in range(30)) + "."
+    assert len(long) > 900 and pairs.rule_defect("Why?", long) == "refusal"
+    prompt = "Tell why " + " ".join(f"the {a} of the {b} was sealed before {i}" for i, (a, b) in enumerate((a, b) for a in NOUNS for b in NOUNS)) + "?"
+    words = prompt.split()
+    assert pairs.rule_defect(prompt, " ".join(w for i, w in enumerate(words) if i % 40 != 7)) == "copy" and pairs.rule_defect("Why?", "why") == "copy"
+    assert pairs.rule_defect(prompt, " ".join(words).replace(" ", "  ,  ")) == "copy"
+
+
 def test_defects_of_a_table(spark):
     rng = random.Random(3)
     rows = [("t", str(i), "output", "s", "Why was the row sealed before the audit?", " ".join(sentence(rng) for _ in range(3))) for i in range(300)]
