@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import hashing, strictjson, text
+from tallyframe.sources.clients import CALL, failure_of, timed_call
 
 OUTCOME = "struct<status:string,failure_kind:string,metrics:map<string,double>,verdict:string,detail:string>"
 MAX_K, MAX_PATTERN, MAX_SCHEMA_BYTES, MAX_METRICS = 100, 2000, 128 * 1024, 256
@@ -399,7 +400,7 @@ STOP_KINDS = {"max_tokens": "truncated", "length": "truncated", "refusal": "refu
 def interpret(response: dict, rubric: Rubric) -> tuple[str, str | None, dict | None]:
     """(status, failure kind, scores) of a judge's response."""
     if response.get("error_code"):
-        return "failed", response["error_code"], None
+        return "failed", failure_of(response["error_code"])[1], None
     kind = STOP_KINDS.get(response.get("stop_reason") or "")
     if kind:
         return "failed", kind, None
@@ -410,31 +411,76 @@ def interpret(response: dict, rubric: Rubric) -> tuple[str, str | None, dict | N
 
 
 def _judge_params(p: dict) -> dict:
-    return _only(p, rubric=None, client=None, temperature=0.0, max_tokens=1024, validation_retries=1, reference_required=False)
+    p = _only(p, rubric=None, client=None, temperature=0.0, max_tokens=1024, validation_retries=1, reference_required=False, cache="off")
+    if p["cache"] not in ("off", "readwrite", "replay"):
+        raise ValueError("cache is off, readwrite or replay")
+    return p
 
 
-def _judge(df: DataFrame, p: dict) -> Callable[[DataFrame], DataFrame]:
+#: A cached response is kept if the request is deterministic and the answer whole (fixed values of this package).
+WHOLE_STOPS = (None, "end_turn", "stop_sequence")
+
+
+def judge_calls(cases: DataFrame, spec: EvaluatorSpec, cache: DataFrame | None = None) -> DataFrame:
+    """(case_key, evaluator_key, outcome, attempts, cache_key, response) of a judge on cases (case_key, prompt, output, ...).
+
+    Every evaluation of this plan calls the model, so it is to be written once and read back. The first request
+    of a case is answered from `cache` (key, response) if its mode allows; a new whole answer is given with its
+    key to be recorded; an answer that is not valid is asked for again, and not taken from the cache."""
+    spec = spec.resolve()
+    p = spec.params
     rubric, client, retries = p["rubric"], p["client"], p["validation_retries"]
+    lookup = p["cache"] != "off" and p["temperature"] == 0.0
+    required = ("prompt", "output", *(("reference",) if p["reference_required"] else ()))
+    fields = [f for f in ("prompt", "context", "reference", "output") if f in cases.columns]
+    rows = cases.select("case_key", *fields)
+
+    def request_of(r: dict, n: int) -> dict:
+        case = {k: hashing._plain(v) for k, v in r.items()}
+        return {"prompt": render_prompt(case, rubric), "schema": rubric.output_schema(), "temperature": p["temperature"], "max_tokens": p["max_tokens"], "attempt": n}
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(cache_key=[hashing.cache_key(request_of(r, 0), getattr(client, "provider", "") or "", client.name, "", "judge") for r in pdf.to_dict("records")])
+
+    if lookup:
+        rows = rows.mapInPandas(keyed, ", ".join(f"{c} string" for c in [*rows.columns, "cache_key"]))
+        first = cache.groupBy(F.col("key").alias("cache_key")).agg(F.min_by("response", F.struct("created_at", "response")).alias("cached")) if cache is not None else None
+        rows = rows.join(first, "cache_key", "left") if first is not None else rows.withColumn("cached", F.lit(None).cast("string"))
+    else:
+        rows = rows.withColumns({"cache_key": F.lit(None).cast("string"), "cached": F.lit(None).cast("string")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.to_dict("records"):
-                case = {k: hashing._plain(v) for k, v in r.items()}
-                prompt, status, kind, got = render_prompt(case, rubric), "failed", "invalid_output", None
-                for n in range(1 + retries):
-                    request = {"prompt": prompt, "schema": rubric.output_schema(), "temperature": p["temperature"], "max_tokens": p["max_tokens"], "attempt": n}
-                    status, kind, got = interpret(client.call(request), rubric)
+                key, cached = hashing._plain(r.pop("cache_key")), hashing._plain(r.pop("cached"))
+                calls: list[dict] = []
+                status, kind, got, new = "failed", "missing_field", None, None
+                for n in range(1 + retries) if all(hashing._plain(r.get(f)) is not None for f in required) else ():
+                    stored = json.loads(cached) if cached and n == 0 else None
+                    if stored is None and n == 0 and lookup and p["cache"] == "replay":
+                        status, kind = "failed", "internal_error"  # a replay that lacks a response makes no call
+                        break
+                    response = timed_call(client, request_of(r, n), calls, stored, lookup)
+                    status, kind, got = interpret(response, rubric)
+                    if stored is None and n == 0 and lookup and status == "ok" and response.get("stop_reason") in WHOLE_STOPS:
+                        new = json.dumps({k: v for k, v in response.items() if k != "attempts"})
                     if kind != "invalid_output":
                         break
                 metrics = {"score": got["overall"], **{f"criterion.{k}": v for k, v in got["criteria"].items()}} if got else None
                 detail = json.dumps({"failed_gates": got["failed_gates"]}) if got else None
-                out.append({"status": status, "failure_kind": kind, "metrics": metrics, "verdict": got["verdict"] if got else None, "detail": detail})
-            yield pdf[["case_key"]].assign(outcome=out)
+                outcome = {"status": status, "failure_kind": kind, "metrics": metrics, "verdict": got["verdict"] if got else None, "detail": detail}
+                out.append({"case_key": r["case_key"], "outcome": outcome, "attempts": calls, "cache_key": key, "response": new})
+            yield pd.DataFrame(out, columns=["case_key", "outcome", "attempts", "cache_key", "response"])
 
+    scored = rows.mapInPandas(run, f"case_key string, outcome {OUTCOME}, attempts array<{CALL}>, cache_key string, response string")
+    return scored.withColumn("evaluator_key", F.lit(spec.key))
+
+
+def _judge(df: DataFrame, p: dict) -> Callable[[DataFrame], DataFrame]:
     def apply(cases: DataFrame) -> DataFrame:
-        fields = [f for f in ("prompt", "context", "reference", "output") if f in cases.columns]
-        scored = cases.select("case_key", *fields).mapInPandas(run, f"case_key string, outcome {OUTCOME}")
+        scored = judge_calls(cases, EvaluatorSpec("llm_judge", "", p)).select("case_key", "outcome")
         return cases.join(scored, "case_key")
 
     return apply

@@ -64,6 +64,34 @@ class RetryingClient:
         return {**got, "attempts": attempts}
 
 
+@dataclass
+class RateLimitedClient:
+    """A client that waits until its share of a rate allows the next call.
+
+    `per_second` is for all tasks that call at once; each of `tasks` takes its part of it, so nothing is shared
+    between executors. Up to `burst` calls go out without a wait."""
+
+    client: ModelClient
+    per_second: float
+    tasks: int = 1
+    burst: int = 1
+    sleep: Callable[[float], None] = time.sleep
+    clock: Callable[[], float] = time.monotonic
+    _free: float | None = None
+
+    @property
+    def name(self) -> str:
+        return self.client.name
+
+    def call(self, request: dict) -> dict:
+        gap, now = self.tasks / self.per_second, self.clock()
+        self._free = now - gap * (self.burst - 1) if self._free is None else max(self._free, now - gap * (self.burst - 1))
+        if self._free > now:
+            self.sleep(self._free - now)
+        self._free += gap
+        return self.client.call(request)
+
+
 @dataclass
 class CachedClient:
     """Answers from recorded responses. Modes: off, readwrite (misses are called and recorded), replay (a miss is an error).

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from typing import Protocol
 
 
@@ -43,10 +44,40 @@ class ScriptedClient:
 #: Error codes of providers and the failures they are (fixed values of this package).
 ERROR_KINDS = {
     "401": ("infrastructure", "auth"), "403": ("infrastructure", "auth"), "408": ("infrastructure", "timeout"), "413": ("input", "oversize"), "429": ("infrastructure", "rate_limited"), "400": ("evaluator", "bad_request"),
-    "500": ("infrastructure", "provider_unavailable"), "502": ("infrastructure", "provider_unavailable"), "503": ("infrastructure", "provider_unavailable"), "529": ("infrastructure", "provider_unavailable"), "timeout": ("infrastructure", "timeout"), "connection": ("infrastructure", "connection"),
+    "500": ("infrastructure", "provider_unavailable"), "502": ("infrastructure", "provider_unavailable"), "503": ("infrastructure", "provider_unavailable"), "529": ("infrastructure", "provider_unavailable"), "deadline": ("infrastructure", "deadline_exceeded"),
     "insufficient_quota": ("infrastructure", "quota_exhausted"),
 }
 
 
+#: Kinds that clients of this package report by name (fixed values).
+KINDS = {"rate_limited", "provider_unavailable", "timeout", "connection", "auth", "quota_exhausted", "storage", "budget_exceeded", "deadline_exceeded", "cancelled"}
+
+
 def failure_of(code: str) -> tuple[str, str]:
-    return ERROR_KINDS.get(str(code), ("infrastructure", "internal_error"))
+    """(class, kind) of an error code: a provider's, or the name of a kind."""
+    code = str(code)
+    if code in KINDS:
+        return "infrastructure", code
+    return ERROR_KINDS.get(code, ("infrastructure", "internal_error"))
+
+
+#: One call as a row. n counts an owner's calls within one stage, seq is its time.
+CALL = "struct<n:int,outcome:string,failure_class:string,failure_kind:string,provider:string,model:string,input_tokens:bigint,output_tokens:bigint,duration_ms:double,cache_hit:boolean,seq:bigint>"
+
+
+def timed_call(client: ModelClient, request: dict, calls: list[dict], cached: dict | None = None, lookup: bool = False) -> dict:
+    """The response to a request, from the cache if it is given; adds a row per attempt to `calls`."""
+    began, t = time.time_ns(), time.monotonic()
+    got = {**cached, "cache_hit": True} if cached is not None else client.call(request)
+    ms = (time.monotonic() - t) * 1000
+    own = got.get("attempts") if cached is None else None
+    code = got.get("error_code")
+    own = own or [{"outcome": "failed" if code else "ok", "error": code, "duration_ms": ms, "input_tokens": got.get("input_tokens"), "output_tokens": got.get("output_tokens")}]
+    for i, a in enumerate(own):
+        kind = a.get("failure_kind")
+        failure = (None, None) if a["outcome"] == "ok" else failure_of(kind or a.get("error") or "")
+        calls.append({
+            "n": len(calls) + 1, "outcome": a["outcome"], "failure_class": failure[0], "failure_kind": failure[1], "provider": getattr(client, "provider", None) or client.name, "model": client.name,
+            "input_tokens": a.get("input_tokens"), "output_tokens": a.get("output_tokens"), "duration_ms": a.get("duration_ms"), "cache_hit": bool(got.get("cache_hit")) if lookup or got.get("cache_hit") else None, "seq": began + i,
+        })
+    return got

@@ -25,9 +25,11 @@ class FactStore:
         return f"{self.root}/{table}"
 
     def exists(self, table: str) -> bool:
+        """Whether the table holds any file; one to which only empty results were added does not."""
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/*")
+        found = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+        return any(f.getPath().getName()[0] not in "_." for f in found or ())
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self.path(table))
@@ -109,7 +111,7 @@ def load_prices(spark: SparkSession, path: str) -> DataFrame:
 class EventLog:
     """One JSON line per event, with scalar fields of known names only."""
 
-    FIELDS = {"run_id", "status", "stop_reason", "n", "wave", "total", "complete", "failed", "seconds", "table", "evaluator_key", "round"}
+    FIELDS = {"run_id", "status", "stop_reason", "n", "wave", "total", "complete", "failed", "seconds", "table", "evaluator_key", "round", "stage"}
 
     def __init__(self, path: str | None = None):
         self.path, self.events = path, []

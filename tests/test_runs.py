@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import accounting, compare, gates, integrity
+from tallyframe.operators import accounting, compare, gates, integrity, ledger, scorers
 from tallyframe.operators.scorers import EvaluatorSpec
 from tallyframe.plans import report, runs
 from tallyframe.sources import datasets, store
@@ -123,6 +123,145 @@ def test_breaker_and_retry(spark, tmp_path, ran):
     assert c.history("r").count() == 12 and c.current("case_results", "r", ["case_key"]).where("status = 'complete'").count() == 12
 
 
+class Counting:
+    """A judge that counts its calls in a file per call, fails where the script says so, and is sent to the workers."""
+
+    name = "counting"
+
+    def __init__(self, folder, script=()):
+        self.folder, self.inner = str(folder), ScriptedClient(script)
+
+    def call(self, request):
+        import os
+        import uuid
+
+        os.makedirs(self.folder, exist_ok=True)
+        open(f"{self.folder}/{uuid.uuid4().hex}", "w").close()
+        return self.inner.call(request)
+
+
+def judged(folder, **judge):
+    script = judge.pop("script", ())
+    client = Counting(folder, script)
+    return client, EvaluatorSpec("llm_judge", "q", {"rubric": scorers.Rubric("v", (scorers.Criterion("a"), scorers.Criterion("b"))), "client": client, **judge})
+
+
+def n_calls(folder):
+    import os
+
+    return len(os.listdir(folder)) if os.path.isdir(folder) else 0
+
+
+def test_a_judge_is_called_once_per_case_and_within_the_budget(spark, tmp_path, ran):
+    _, cases, _, _ = ran
+    few = cases.where("case_key <= 'c010'")
+    c = runs.Controller(spark, store.FactStore(spark, str(tmp_path / "f")))
+    _, spec = judged(tmp_path / "calls", validation_retries=0)
+    config = runs.RunConfig("j", "sums@1", runs.Target("precomputed", "file"), [spec, EvaluatorSpec("exact_match", "em")], wave=4, max_calls=3)
+    c.create(config, few)
+    assert c.execute(config, few) == {"status": "partial", "stop_reason": "budget", "calls": 3} and n_calls(tmp_path / "calls") == 3
+    config.max_calls = None
+    assert c.execute(config, few) == {"status": "succeeded", "stop_reason": None, "calls": 7} and n_calls(tmp_path / "calls") == 10
+    attempts = c.store.read("attempts")
+    assert attempts.count() == 10 and attempts.where("scope = 'evaluator' and n = 1 and outcome = 'ok'").count() == 10 and ledger.attempt_gaps(attempts).isEmpty()
+    verdicts = {r["case_key"]: r["verdict"] for r in c.current("evaluator_results", "j", ["case_key", "evaluator_key"]).where(F.col("evaluator_key") == spec.key).collect()}
+    scores = {r["case_key"]: r["value"] for r in c.store.read("metrics").where(F.col("evaluator_key") == spec.key).where("name = 'score'").collect()}
+    assert len(verdicts) == 10 and all((scores[k] >= 0.75) == (v == "PASS") for k, v in verdicts.items())
+
+
+def test_tokens_and_money_are_limits_too(spark, tmp_path, ran):
+    _, cases, _, _ = ran
+    few = cases.where("case_key <= 'c010'")
+    prices = spark.createDataFrame([("counting", "counting", 10.0, 20.0)], "provider string, model string, input_per_mtok double, output_per_mtok double")
+    c = runs.Controller(spark, store.FactStore(spark, str(tmp_path / "f")), prices=prices)
+    _, spec = judged(tmp_path / "calls", validation_retries=0)
+    config = lambda name, **limits: runs.RunConfig(name, "sums@1", runs.Target("precomputed", "file"), [spec], wave=4, tokens_per_call=1000, **limits)
+    for name, limits in (("t", {"max_tokens": 1500}), ("u", {"max_usd": 0.026})):
+        c.create(config(name, **limits), few)
+        got = c.execute(config(name, **limits), few)
+        spent = c.spent(name)
+        assert got["stop_reason"] == "budget" and 2 <= got["calls"] < 10 and (spent["tokens"] <= 1500 or name == "u") and (spent["usd"] <= 0.026 or name == "t")
+    with pytest.raises(ValueError):
+        runs.Controller(spark, c.store).create(config("x", max_usd=1.0), few)
+
+
+def test_a_systemic_failure_holds_the_run_and_failed_judgements_are_tried_again(spark, tmp_path, ran):
+    _, cases, _, _ = ran
+    few = cases.where("case_key <= 'c012'")
+    c = runs.Controller(spark, store.FactStore(spark, str(tmp_path / "f")))
+    _, denied = judged(tmp_path / "a", script=[("", {"error_code": "401"})])
+    config = lambda name, spec: runs.RunConfig(name, "sums@1", runs.Target("precomputed", "file"), [spec], wave=4)
+    c.create(config("s", denied), few)
+    assert c.execute(config("s", denied), few)["stop_reason"] == "systemic_failure" and n_calls(tmp_path / "a") == 4
+    _, flaky = judged(tmp_path / "b", script=[("7+7", {"error_code": "503"})])
+    _, sound = judged(tmp_path / "b")
+    c.create(config("r", flaky), few)
+    assert c.execute(config("r", flaky), few)["calls"] == 12
+    assert c.retry_failed(config("r", sound), few) == {"status": "succeeded", "stop_reason": None, "calls": 1}
+    assert c.retry_failed(config("r", sound), few)["calls"] == 0
+    history = c.history("r").collect()
+    assert [(r["case_key"], r["evaluator_key"], r["round"]) for r in history] == [("c007", flaky.key, 0)]
+    attempts = c.store.read("attempts").where("run_id = 'r' and case_key = 'c007'")
+    assert sorted((r["n"], r["outcome"]) for r in attempts.collect()) == [(1, "failed"), (2, "ok")]
+    assert ledger.retry_stats(c.history("r")).first()["evaluator_failures"] == 1
+
+
+def test_cached_answers_make_no_call(spark, tmp_path, ran):
+    _, cases, _, _ = ran
+    few = cases.where("case_key <= 'c010'")
+    c = runs.Controller(spark, store.FactStore(spark, str(tmp_path / "f")))
+    for name, calls, mode in (("one", 10, "readwrite"), ("two", 0, "readwrite"), ("three", 0, "replay")):
+        _, spec = judged(tmp_path / name, cache=mode)
+        config = runs.RunConfig(name, "sums@1", runs.Target("precomputed", "file"), [spec])
+        c.create(config, few)
+        assert c.execute(config, few) == {"status": "succeeded", "stop_reason": None, "calls": calls} and n_calls(tmp_path / name) == calls
+    stats = {r["run_id"]: r["cache_hits"] for r in ledger.attempt_stats(ledger.price(c.store.read("attempts"), spark.createDataFrame([], "provider string, model string, input_per_mtok double, output_per_mtok double"))).collect()}
+    assert stats == {"one": 0, "two": 10, "three": 10} and c.store.read("llm_cache").count() == 10
+    _, spec = judged(tmp_path / "four", cache="replay", temperature=0.0, max_tokens=7)
+    config = runs.RunConfig("four", "sums@1", runs.Target("precomputed", "file"), [spec])
+    c.create(config, few)
+    assert c.execute(config, few)["calls"] == 0 and n_calls(tmp_path / "four") == 0  # another request: nothing to replay
+
+
+@pytest.mark.parametrize("stop", ["case_results", "scored", "evaluator_results", "metrics", "attempts"])
+def test_a_run_that_stopped_between_two_writes_goes_on(spark, tmp_path, ran, stop):
+    _, cases, _, _ = ran
+    few = cases.where("case_key <= 'c006'")
+
+    class Stopping(store.FactStore):
+        armed = True
+
+        def append(self, table, rows):
+            super().append(table, rows)
+            if self.armed and table == stop and not rows.isEmpty():
+                raise KeyboardInterrupt
+
+    fs = Stopping(spark, str(tmp_path / "f"))
+    c = runs.Controller(spark, fs)
+    _, spec = judged(tmp_path / "calls")
+    config = runs.RunConfig("k", "sums@1", runs.Target("precomputed", "file"), [spec, EvaluatorSpec("exact_match", "em")])
+    c.create(config, few)
+    with pytest.raises(KeyboardInterrupt):
+        c.execute(config, few)
+    fs.armed = False
+    c.recover("k")
+    assert c.execute(config, few)["status"] == "succeeded" and n_calls(tmp_path / "calls") == 6
+    facts = [fs.read(t) for t in ("case_results", "evaluator_results", "metrics", "attempts")]
+    status = spark.createDataFrame([("k", "v", "succeeded")], "run_id string, dataset_version_id string, status string")
+    keys = spark.createDataFrame([("k", s.key) for s in config.specs], "run_id string, evaluator_key string")
+    bad = integrity.verify_run(status, few.withColumn("dataset_version_id", F.lit("v")), *facts[:3], attempts=facts[3], history=c.history("k"), evaluators=keys)
+    assert bad.isEmpty()
+
+
+def test_a_target_may_rank_and_is_held_to_bytes(spark, ran):
+    _, cases, _, _ = ran
+    answers = {"c001": {"output": "x", "retrieved": ["a", "b"]}, "c002": {"output": "x", "retrieved": ["a", 1]}, "c003": {"output": "x", "meta": {"a": "é" * 2500}}, "c004": {"output": "x", "meta": {"a": "e" * 2500}}}
+    got = runs.target_stage(cases.where("case_key <= 'c004'"), runs.Target("callable", "t", function=lambda v: answers[v["case_key"]]))
+    assert {r["case_key"]: (r["status"], r["retrieved"]) for r in got.collect()} == {"c001": ("complete", ["a", "b"]), "c002": ("failed", None), "c003": ("failed", None), "c004": ("complete", None)}
+    seen = runs.merged_cases(cases.where("case_key <= 'c004'"), got)
+    assert {r["case_key"]: r["retrieved"] for r in seen.collect()} == {"c001": ["a", "b"], "c004": None}
+
+
 def test_contract_of_targets(spark, ran):
     _, cases, _, _ = ran
     answers = {"c001": "x", "c002": "", "c003": 7, "c004": {"output": "y", "meta": {"a": 1}}, "c005": {"output": "z", "meta": {"a": "b" * 5000}}}
