@@ -22,7 +22,7 @@ from tallyframe.functions import hashing, strictjson, text
 from tallyframe.sources.clients import CALL, failure_of, timed_call
 
 OUTCOME = "struct<status:string,failure_kind:string,metrics:map<string,double>,verdict:string,detail:string>"
-MAX_K, MAX_PATTERN, MAX_SCHEMA_BYTES, MAX_METRICS = 100, 2000, 128 * 1024, 256
+MAX_K, MAX_PATTERN, MAX_SCHEMA_BYTES, MAX_METRICS, MAX_SHOWN = 100, 2000, 128 * 1024, 256, 200
 METRIC_NAME = re.compile(r"[A-Za-z][A-Za-z0-9_.@-]{0,63}")
 
 
@@ -162,12 +162,15 @@ register(Kind("exact_match", 1, ("output", "reference"), _exact_params, lambda d
 
 # regular expressions
 
-_JAVA_DIFFERS = re.compile(r"\(\?P|\(\?\(|\\Z|\\[dwsDWSbB]|\[\[|&&|\(\?[aLu]")
+#: What Java reads otherwise than Python: classes of digits, words and spaces, borders, groups with a name, a condition
+#: or flags, back references and octal escapes, names of characters, sets with an operation or a bracket first,
+#: braces that are no count.
+_JAVA_DIFFERS = re.compile(r"\\[dwsDWSbBAZzN0-9uUx]|\(\?(?![:=!<])|\(\?<(?![=!])|\[\^?\]|\[[^\]]*(?:\[|&&|--|\|\||~~)|(?<!\\)\{(?!\d+(?:,\d*)?\})|\\[QERXGKkhHvVpP]")
 
 
 def is_portable(pattern: str) -> bool:
-    """Whether Java reads a pattern as Python does: no named groups, conditionals, classes of digits or words, or set operations."""
-    return not _JAVA_DIFFERS.search(pattern)
+    """Whether Java reads a pattern as Python does, with lines ending only at \\n and letters of all scripts folded."""
+    return pattern.isascii() and not _JAVA_DIFFERS.search(pattern)
 
 
 def _regex_params(p: dict) -> dict:
@@ -181,21 +184,32 @@ def _regex_params(p: dict) -> dict:
 
 
 def _regex(df: DataFrame, p: dict) -> Column:
+    """match, verdict, and the text and span (in characters) of the first match."""
     if is_portable(p["pattern"]):
         body = f"(?:{p['pattern']})"
-        flags = f"(?{p['flags']})" if p["flags"] else ""
-        hit = df["output"].rlike(flags + (rf"\A{body}\z" if p["mode"] == "fullmatch" else body))
-        return _outcome({"match": hit.cast("double")}, _pass(hit), F.to_json(F.struct(F.substring(F.regexp_substr(df["output"], F.lit(flags + body)), 1, 200).alias("text"))))
-    compiled = re.compile(p["pattern"], sum({"i": re.I, "m": re.M, "s": re.S}[f] for f in p["flags"]))
-    find = compiled.fullmatch if p["mode"] == "fullmatch" else compiled.search
+        flags = f"(?d{p['flags']}{'u' if 'i' in p['flags'] else ''})"
+        if p["mode"] == "fullmatch":
+            hit = df["output"].rlike(rf"{flags}\A{body}(?-m:\z)")
+            start, found = F.lit(0), df["output"]
+        else:
+            hit = df["output"].rlike(flags + body)
+            # What stands before the leftmost match is the shortest beginning that one follows.
+            whole = rf"{flags}\A((?s:.*?))({body})"
+            start, found = F.length(F.regexp_extract(df["output"], whole, 1)), F.regexp_extract(df["output"], whole, 2)
+        end = start + F.length(found)
+    else:
+        compiled = re.compile(p["pattern"], sum({"i": re.I, "m": re.M, "s": re.S}[f] for f in p["flags"]))
+        find = compiled.fullmatch if p["mode"] == "fullmatch" else compiled.search
 
-    @F.pandas_udf("hit boolean, text string")
-    def match(s: pd.Series) -> pd.DataFrame:
-        found = [None if t is None else find(t) for t in s]
-        return pd.DataFrame({"hit": [m is not None for m in found], "text": [m.group()[:200] if m else None for m in found]})
+        @F.pandas_udf("hit boolean, text string, start int, end int")
+        def match(s: pd.Series) -> pd.DataFrame:
+            rows = [None if t is None else find(t) for t in s]
+            return pd.DataFrame([(m is not None, *((m.group()[:MAX_SHOWN], m.start(), m.end()) if m else (None, None, None))) for m in rows], columns=["hit", "text", "start", "end"])
 
-    m = match(df["output"])
-    return _outcome({"match": m["hit"].cast("double")}, _pass(m["hit"]), F.to_json(F.struct(m["text"].alias("text"))))
+        m = match(df["output"])
+        hit, found, start, end = m["hit"], m["text"], m["start"], m["end"]
+    shown = F.struct(F.when(hit, F.substring(found, 1, MAX_SHOWN)).alias("text"), F.when(hit, F.array(start, end)).alias("span"))
+    return _outcome({"match": hit.cast("double")}, _pass(hit), F.to_json(shown))
 
 
 register(Kind("regex", 1, ("output",), _regex_params, _regex))
@@ -331,20 +345,23 @@ class Rubric:
     threshold: float = 0.75
 
     def score(self, payload: dict) -> dict:
-        """Overall score, verdict and the must-pass criteria that failed, for {criterion: {score|label, reasoning}}."""
-        if not isinstance(payload, dict) or payload.keys() != {c.name for c in self.criteria}:
+        """Overall score, verdict and the must-pass criteria that failed, for {ratings: {criterion: number or label}, notes: {...}}."""
+        if not isinstance(payload, dict) or not {"ratings"} <= payload.keys() <= {"ratings", "notes"}:
+            raise ValueError("an answer has ratings, and notes at most")
+        ratings = payload["ratings"]
+        if not isinstance(ratings, dict) or ratings.keys() != {c.name for c in self.criteria}:
             raise ValueError("the criteria given are not those of the rubric")
-        got = {c.name: c.normalized(payload[c.name].get("label" if c.labels else "score")) for c in self.criteria}
+        got = {c.name: c.normalized(ratings[c.name]) for c in self.criteria}
         overall = round(math.fsum(c.weight * got[c.name] for c in self.criteria) / math.fsum(c.weight for c in self.criteria), 10)
         failed = [c.name for c in self.criteria if c.must_pass and got[c.name] < c.floor]
         return {"overall": overall, "verdict": "PASS" if overall >= self.threshold and not failed else "FAIL", "failed_gates": failed, "criteria": got}
 
     def output_schema(self) -> dict:
-        props = {}
-        for c in self.criteria:
-            given = {"label": {"enum": list(c.labels)}} if c.labels else {"score": {"type": "integer", "minimum": c.scale[0], "maximum": c.scale[1]}}
-            props[c.name] = {"type": "object", "properties": {"reasoning": {"type": "string"}, **given}, "required": ["reasoning", *given], "additionalProperties": False}
-        return {"type": "object", "properties": props, "required": list(props), "additionalProperties": False}
+        """What a judge is to answer: a rating per criterion, and a note on each if it wants."""
+        names = [c.name for c in self.criteria]
+        rating = {c.name: {"enum": list(c.labels or range(c.scale[0], c.scale[1] + 1))} for c in self.criteria}
+        part = lambda props, need: {"type": "object", "properties": props, "required": need, "additionalProperties": False}
+        return part({"ratings": part(rating, names), "notes": part({n: {"type": "string"} for n in names}, [])}, ["ratings"])
 
     def as_dict(self) -> dict:
         return {"version": self.version, "threshold": self.threshold, "criteria": [{**vars(c), "scale": list(c.scale) if c.scale else None, "labels": list(c.labels) if c.labels else None} for c in self.criteria]}

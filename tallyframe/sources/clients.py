@@ -29,14 +29,8 @@ class ScriptedClient:
             if marker in request["prompt"]:
                 return dict(response)
         h = int(hashlib.sha256(request["prompt"].encode()).hexdigest()[:8], 16)
-        payload = {}
-        for i, (name, spec) in enumerate(request.get("schema", {}).get("properties", {}).items()):
-            given = spec["properties"]
-            if "label" in given:
-                payload[name] = {"reasoning": "", "label": given["label"]["enum"][(h >> i) % len(given["label"]["enum"])]}
-            else:
-                low, high = given["score"]["minimum"], given["score"]["maximum"]
-                payload[name] = {"reasoning": "", "score": low + (h >> i) % (high - low + 1)}
+        asked = request.get("schema", {}).get("properties", {}).get("ratings", {}).get("properties", {})
+        payload = {"ratings": {name: spec["enum"][(h >> i) % len(spec["enum"])] for i, (name, spec) in enumerate(asked.items())}}
         text = json.dumps(payload)
         return {"text": text, "stop_reason": "end_turn", "input_tokens": len(request["prompt"]) // 4, "output_tokens": len(text) // 4}
 

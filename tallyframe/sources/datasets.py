@@ -64,18 +64,19 @@ def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file", "block", "first", "before")  # a row per split
-    lines = raw.join(before, ["file", "block"]).withColumn("line", F.col("at") - F.col("first") + F.col("before") + 1).where("trim(value) <> ''")
-    lines = lines.withColumn("value", F.when(F.octet_length("value") <= MAX_LINE, F.col("value")))
+    lines = raw.join(before, ["file", "block"]).withColumn("line", F.col("at") - F.col("first") + F.col("before") + 1).where(~F.col("value").rlike(r"\A\s*\z"))
+    short = F.octet_length("value") <= MAX_LINE
+    lines = lines.withColumn("bad", F.when(~short, "line too long").when(~F.is_valid_utf8("value"), "not UTF-8")).withColumn("value", F.when(F.col("bad").isNull(), F.col("value")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for v, file, line in zip(pdf["value"], pdf["file"], pdf["line"]):
-                case, error = (None, "line too long") if v is None else (None, "not UTF-8") if "�" in v else _parse(v)
+            for v, file, line, bad in zip(pdf["value"], pdf["file"], pdf["line"], pdf["bad"]):
+                case, error = (None, bad) if bad else _parse(v)
                 out.append({"case": case, "file": file, "line": line, "error": error})
             yield pd.DataFrame(out, columns=["case", "file", "line", "error"])
 
-    parsed = lines.select("value", "file", "line").mapInPandas(run, f"case struct<{CASE.replace(' ', ':').replace(',:', ',')}>, file string, line bigint, error string")
+    parsed = lines.select("value", "file", "line", "bad").mapInPandas(run, f"case struct<{CASE.replace(' ', ':').replace(',:', ',')}>, file string, line bigint, error string")
     return parsed.where("error is null").select("case.*"), parsed.where("error is not null").select("file", "line", "error")
 
 
@@ -97,10 +98,12 @@ def validate(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class DatasetStore:
-    """Versions of datasets as parquet: <root>/<name>/v<no>/cases, and a manifest that makes a version visible."""
+    """Versions of datasets as parquet: <root>/<name>/v<no>/cases, and a manifest that makes a version visible.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    The root is a folder of the driver's file system that executors share; max_cases bounds a version."""
+
+    def __init__(self, spark: SparkSession, root: str, max_cases: int = MAX_CASES):
+        self.spark, self.root, self.max_cases = spark, root, max_cases
 
     def _manifests(self) -> list[dict]:
         out = []
@@ -150,7 +153,7 @@ class DatasetStore:
             hashing.with_case_hashes(valid).write.parquet(staged)
             stored = self.spark.read.parquet(staged)
             n = stored.count()
-            if not 1 <= n <= MAX_CASES:
+            if not 1 <= n <= self.max_cases:
                 raise ValueError(f"{n} cases")
             digest = hashing.dataset_hash(stored)
             for m in self.versions(name):
@@ -189,18 +192,35 @@ class DatasetStore:
         return out + (["dataset_hash"] if hashing.dataset_hash(cases) != m["content_hash"] else [])
 
     def export_jsonl(self, ref: str, path: str) -> int:
-        """Writes the cases in ascending order of their keys; checks every hash; refuses a file that exists."""
+        """Writes the cases in ascending order of their keys; checks every hash; refuses a file that exists.
+
+        Lines are made and checked by the executors and sorted over the cluster; their files are joined in order, as
+        bytes, by the driver."""
         if os.path.exists(path):
             raise FileExistsError(path)
-        n = 0
-        with open(path + ".tmp", "w", encoding="utf-8") as f:
-            for r in self.cases(ref).orderBy("case_key").toLocalIterator():
-                case = r.asDict(recursive=True)
-                if hashing.content_hash(case) != case["content_hash"]:
-                    raise ValueError(f"{case['case_key']}: the content does not fit its hash")
-                body = {k: case[k] for k in _FIELDS if case.get(k) is not None}
-                body["metadata"] = json.loads(body.get("metadata") or "{}")
-                f.write(json.dumps({k: v for k, v in body.items() if v not in ({}, []) or k in ("retrieved", "relevance")}, ensure_ascii=False) + "\n")
-                n += 1
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for case in pdf.to_dict("records"):
+                    case = {k: hashing._plain(v) for k, v in case.items()}
+                    case["relevance"] = {k: int(v) for k, v in (dict(case["relevance"]) if case.get("relevance") is not None else {}).items()} if case.get("relevance") is not None else None
+                    if hashing.content_hash(case) != case["content_hash"]:
+                        raise ValueError(f"{case['case_key']}: the content does not fit its hash")
+                    body = {k: case[k] for k in _FIELDS if case.get(k) is not None}
+                    body["metadata"] = json.loads(body.get("metadata") or "{}")
+                    out.append(json.dumps({k: v for k, v in body.items() if v not in ({}, []) or k in ("retrieved", "relevance")}, ensure_ascii=False))
+                yield pd.DataFrame({"case_key": pdf["case_key"], "value": out})
+
+        cases, staged = self.cases(ref), f"{self.root}/.staging-{uuid.uuid4().hex}"
+        try:
+            lines = cases.mapInPandas(run, "case_key string, value string").orderBy("case_key").select("value")
+            lines.write.option("lineSep", "\n").text(staged)
+            with open(path + ".tmp", "wb") as f:
+                for part in sorted(x for x in os.listdir(staged) if x.startswith("part-")):
+                    with open(f"{staged}/{part}", "rb") as g:
+                        shutil.copyfileobj(g, f)
+        finally:
+            shutil.rmtree(staged, ignore_errors=True)
         os.rename(path + ".tmp", path)
-        return n
+        return self.resolve(ref)["n_cases"]

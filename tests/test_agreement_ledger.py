@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,13 +8,17 @@ from tallyframe.operators import agreement, compare, integrity, ledger
 
 
 def test_calibration_confusion(spark):
-    judge = ["FAIL"] * 3 + ["PASS"] * 7
-    human = ["FAIL", "FAIL", "PASS", "FAIL"] + ["PASS"] * 6
-    outcomes = spark.createDataFrame([(f"c{i}", "j", v) for i, v in enumerate(judge)] + [("u", "j", "UNCERTAIN"), ("n", "j", None)], "case_key string, evaluator_key string, verdict string")
-    rows = [(f"c{i}", "j", "random", "r1", v, 1, i) for i, v in enumerate(human)] + [("u", "j", "random", "r1", "PASS", 1, 20), ("n", "j", "random", "r1", "PASS", 1, 21), ("t", "j", "targeted", "r1", "PASS", 1, 22), ("c9", "j", "targeted", "r2", "FAIL", 1, 23), ("e", "j", "random", "r1", "PASS", 1, 24), ("e", "j", "random", "r2", "FAIL", 1, 25)]
-    reviews = spark.createDataFrame(rows, "case_key string, evaluator_key string, sample string, reviewer string, verdict string, created_at int, seq int")
+    rng = random.Random(6)
+    pairs = [(rng.choice(["PASS", "FAIL"]), rng.choice(["PASS", "PASS", "FAIL"])) for _ in range(37)]
+    count = Counter(pairs)  # (judge, reviewer); a failure is what is to be found
+    outcomes = [(f"k{i}", "j", v) for i, (v, _) in enumerate(pairs)] + [("vague", "j", "UNCERTAIN"), ("void", "j", None)]
+    reviews = [(f"k{i}", "j", "random", f"w{i % 3}", v, 1, i) for i, (_, v) in enumerate(pairs)]
+    reviews += [("vague", "j", "random", "w1", "FAIL", 1, 90), ("void", "j", "random", "w2", "PASS", 1, 91), ("picked", "j", "targeted", "w1", "FAIL", 1, 92), ("k4", "j", "targeted", "w2", "PASS", 1, 93), ("split", "j", "random", "w1", "FAIL", 1, 94), ("split", "j", "random", "w2", "PASS", 1, 95)]
+    outcomes = spark.createDataFrame(outcomes, "case_key string, evaluator_key string, verdict string")
+    reviews = spark.createDataFrame(reviews, "case_key string, evaluator_key string, sample string, reviewer string, verdict string, created_at int, seq int")
     r = agreement.calibrate(reviews, outcomes).first()
-    assert (r["tp"], r["fp"], r["fn"], r["tn"], r["n"]) == (2, 1, 1, 6, 10) and r["accuracy"] == 0.8 and r["uncalibrated"]
+    assert (r["tp"], r["fp"], r["fn"], r["tn"]) == (count["FAIL", "FAIL"], count["FAIL", "PASS"], count["PASS", "FAIL"], count["PASS", "PASS"]) and r["n"] == 37
+    assert r["accuracy"] == pytest.approx(sum(a == b for a, b in pairs) / 37)
     assert (r["excluded_targeted_only"], r["excluded_tie"], r["excluded_no_verdict"], r["excluded_uncertain"]) == (1, 1, 1, 1)
     assert agreement.calibrate(reviews.limit(0), outcomes).count() == 0
 

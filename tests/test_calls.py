@@ -2,7 +2,7 @@ import pytest
 
 from tallyframe.operators.scorers import Criterion, Rubric
 from tallyframe.plans import single
-from tallyframe.sources.calls import CachedClient, RetryingClient, RetryPolicy
+from tallyframe.sources.calls import CachedClient, RateLimitedClient, RetryingClient, RetryPolicy
 from tallyframe.sources.clients import ScriptedClient
 from tallyframe.sources.store import FactStore
 
@@ -47,9 +47,22 @@ def test_cache_modes():
 def test_single_evaluations_are_judged_once(spark, tmp_path):
     store, rubric = FactStore(spark, str(tmp_path / "f")), Rubric("v1", (Criterion("a"),))
     df = spark.createDataFrame([("1", "p", "good"), ("2", "p", "BROKEN")], "id string, prompt string, output string")
-    client = ScriptedClient([("BROKEN", {"text": "{"}), ("", {"text": '{"a": {"reasoning": "", "score": 5}}', "stop_reason": "end_turn"})])
+    client = ScriptedClient([("BROKEN", {"text": "{"}), ("", {"text": '{"ratings": {"a": 5}}', "stop_reason": "end_turn"})])
     got = {r["id"]: (r["status"], r["overall_score"], r["verdict"], r["error"]) for r in single.evaluate(store, df, rubric, client).collect()}
     assert got == {"1": ("ok", 1.0, "PASS", None), "2": ("error", None, None, "invalid_output")}
     assert single.evaluate(store, df, rubric, client).count() == 0 and single.get(store, "1").count() == 1
     with pytest.raises(ValueError):
         single.evaluate(store, df, Rubric("v1", (Criterion("b"),)), client)
+
+
+def test_a_rate_is_shared_between_tasks():
+    now, waits = [0.0], []
+
+    def sleep(s):
+        waits.append(round(s, 6))
+        now[0] += s
+
+    c = RateLimitedClient(Flaky(), per_second=4.0, tasks=2, burst=2, sleep=sleep, clock=lambda: now[0])
+    for _ in range(5):
+        assert c.call({"prompt": "p"})["text"] == "x"
+    assert waits == [0.5, 0.5, 0.5] and c.name == "flaky"

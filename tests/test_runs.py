@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.functions import hashing
 from tallyframe.operators import accounting, compare, gates, integrity, ledger, scorers
 from tallyframe.operators.scorers import EvaluatorSpec
 from tallyframe.plans import report, runs
@@ -40,6 +41,22 @@ def test_rejects_name_file_and_line(spark, tmp_path):
     assert cases.count() == 2 and [r["line"] for r in rejects.collect()] == [3]
 
 
+def test_lines_are_read_as_bytes(spark, tmp_path):
+    lines = ['{"case_key": "a", "prompt": "a \\ufffd and \ufffd"}'.encode(), b"\t \t", b'{"case_key": "b", "prompt": "\xff"}', b'{"case_key": "c", "prompt": "' + b"x" * (4 << 20) + b'"}', b""]
+    (tmp_path / "b.jsonl").write_bytes(b"\n".join(lines))
+    cases, rejects = datasets.read_jsonl(spark, str(tmp_path / "b.jsonl"))
+    assert [r["prompt"] for r in cases.collect()] == ["a \ufffd and \ufffd"]
+    assert sorted((r["line"], r["error"]) for r in rejects.collect()) == [(3, "not UTF-8"), (4, "line too long")]
+
+
+def test_a_dataset_hash_is_that_of_its_rows_alone(spark):
+    rows = [(f"k{i}", f"h{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "case_key string, content_hash string")
+    one = hashing.dataset_hash(df)
+    assert hashing.dataset_hash(df.orderBy(F.desc("case_key")).repartition(7)) == one != hashing.dataset_hash(df.where("case_key <> 'k7'"))
+    assert hashing.dataset_hash(df.withColumn("content_hash", F.when(F.col("case_key") == "k9", "x").otherwise(F.col("content_hash")))) != one
+
+
 def test_export_reads_back_as_the_same_version(spark, tmp_path):
     s = datasets.DatasetStore(spark, str(tmp_path / "ds"))
     m, _ = s.import_jsonl("d", write_jsonl(tmp_path / "a.jsonl", [{"case_key": "a", "prompt": "é", "retrieved": ["x"], "relevance": {"x": 2}, "metadata": {"k": [1, 1.5]}}, {"case_key": "b", "prompt": "", "output": ""}]))
@@ -223,7 +240,7 @@ def test_cached_answers_make_no_call(spark, tmp_path, ran):
     assert c.execute(config, few)["calls"] == 0 and n_calls(tmp_path / "four") == 0  # another request: nothing to replay
 
 
-@pytest.mark.parametrize("stop", ["case_results", "scored", "evaluator_results", "metrics", "attempts"])
+@pytest.mark.parametrize("stop", ["scored", "evaluator_results", "attempts"])
 def test_a_run_that_stopped_between_two_writes_goes_on(spark, tmp_path, ran, stop):
     _, cases, _, _ = ran
     few = cases.where("case_key <= 'c006'")
