@@ -8,10 +8,13 @@ with the number of cases of each run. All operators work on any number of runs a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import hashing, stats
+from tallyframe.operators import ledger
 
 MIN_COVERAGE, SMALL_SAMPLE, MIN_SLICE = 0.95, 30, 10
 LENGTH_BIAS_N, LENGTH_BIAS_RHO, NA_SHARE = 10, 0.5, 0.5
@@ -172,18 +175,45 @@ def warnings(stages: DataFrame, coverage: DataFrame, runs: DataFrame, bias: Data
     return out
 
 
-def summarize(case_results: DataFrame, evaluator_results: DataFrame, metrics: DataFrame, totals: DataFrame) -> dict[str, DataFrame]:
-    """All summaries of all runs: one aggregation per fact table, none of them collected."""
+def truncated_counts(case_results: DataFrame) -> DataFrame:
+    """Complete outputs of a run and how many of them were truncated."""
+    done = case_results.where("status = 'complete'").groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.get_json_object("target_meta", "$.truncated") == "true", F.lit(False))).alias("n_truncated"))
+    return done.withColumn("share", F.round(F.col("n_truncated") / F.col("n"), 9))
+
+
+def summarize(case_results: DataFrame, evaluator_results: DataFrame, metrics: DataFrame, totals: DataFrame, cases: DataFrame | None = None, runs: DataFrame | None = None, priced: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All summaries of all runs: one aggregation per fact table, none of them collected. With `cases`, also slices by
+    tag; with `priced` attempts, what calls used and cost; with `runs` (run_id, status, pinned), the warnings."""
     stages = case_stages(case_results, totals)
     coverage = evaluator_coverage(evaluator_results, stages)
     counts = verdict_counts(evaluator_results)
-    return {
+    out = {
         "stages": stages, "coverage": coverage, "metrics": metric_summary(metrics, coverage), "verdicts": counts, "pass_rates": pass_rates(counts, totals),
-        "latency": latency_summary(case_results, evaluator_results), "failures": failure_counts(case_results, evaluator_results),
-    }
+        "latency": latency_summary(case_results, evaluator_results), "failures": failure_counts(case_results, evaluator_results), "truncated": truncated_counts(case_results),
+        "length_bias": length_bias(metrics, case_results.where("status = 'complete'")),
+    }
+    if cases is not None and "tags" in cases.columns:
+        out["slices"] = tag_slices(metrics, cases)
+    if priced is not None:
+        calls = ledger.attempt_stats(priced)
+        out |= {"calls": calls, "usage": ledger.usage(calls, totals)}
+    if runs is not None:
+        out["warnings"] = warnings(stages, coverage, runs, out["length_bias"], out["truncated"])
+    return out
 
 
 def snapshot(summary: dict[str, DataFrame], path: str) -> None:
-    """An immutable copy of a summary: refuses a path that exists."""
-    for name, df in summary.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{name}.parquet")
+    """An immutable copy of a summary, whole or not there: written beside its place and moved into it. Refuses a path that exists."""
+    spark = next(iter(summary.values())).sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.staged-{uuid.uuid4().hex}")
+    fs = place.getFileSystem(conf)
+    if fs.exists(place):
+        raise FileExistsError(path)
+    try:
+        for name, df in summary.items():
+            df.write.parquet(f"{staged}/{name}.parquet")
+        if not fs.rename(staged, place):
+            raise FileExistsError(path)
+    finally:
+        fs.delete(staged, True)

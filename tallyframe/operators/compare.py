@@ -32,6 +32,14 @@ def confounders(baseline: dict, candidate: dict) -> dict[str, list[str]]:
     return {"confounding": differs(CONFOUNDERS), "informational": differs(INFORMATIONAL)}
 
 
+def check_comparable(baseline: dict, candidate: dict, allow: bool = False) -> dict[str, list[str]]:
+    """The confounders of two runs' facts; refuses runs that differ in what confounds, unless that is allowed."""
+    found = confounders(baseline, candidate)
+    if found["confounding"] and not allow:
+        raise ValueError(f"the runs are not comparable: {', '.join(found['confounding'])} differ")
+    return found
+
+
 def case_outcomes(case_results: DataFrame, cases: DataFrame, run_id: object) -> DataFrame:
     """One row per case of the run's dataset: status (null without a result), failure class, duration, input hash."""
     r = case_results.where(F.col("run_id") == run_id).select(F.col("case_key").alias("_k"), "status", "failure_class", "duration_ms")
@@ -140,6 +148,16 @@ def gaps(coverage_b: DataFrame, coverage_c: DataFrame) -> DataFrame:
     return b.join(c, "evaluator_key").select("evaluator_key", F.round(cov, 9).alias("coverage_gap"), F.round(na, 9).alias("na_gap"), (F.abs(cov) > GAP_WARNING).alias("coverage_warning"), (F.abs(na) > GAP_WARNING).alias("na_warning"))
 
 
+def truncation_gap(case_results_b: DataFrame, case_results_c: DataFrame) -> DataFrame:
+    """One row: the share of complete outputs that were truncated on either side, the gap, and whether it is worth a warning;
+    a side without complete outputs has a null share."""
+    cut = F.coalesce(F.get_json_object("target_meta", "$.truncated") == "true", F.lit(False)).cast("double")
+    b, c = (df.where("status = 'complete'").agg(F.avg(cut).alias(f"share_{s}")) for df, s in ((case_results_b, "b"), (case_results_c, "c")))
+    gap = F.col("share_c") - F.col("share_b")
+    one = b.join(c)  # a row each
+    return one.select(F.round("share_b", 9).alias("share_base"), F.round("share_c", 9).alias("share_cand"), F.round(gap, 9).alias("gap"), F.coalesce(F.abs(gap) > GAP_WARNING, F.lit(False)).alias("warning"))
+
+
 def noise_floor(paired: DataFrame) -> DataFrame:
     """For two runs of one identity: what a difference must exceed to be more than noise."""
     half = (F.col("ci_high") - F.col("ci_low")) / 2

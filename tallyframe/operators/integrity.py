@@ -120,3 +120,24 @@ def preflight(cases: DataFrame, requires: dict[str, tuple[str, ...]]) -> DataFra
     if not need:
         return cases.sparkSession.createDataFrame([], "evaluator_key string, field string, missing bigint, total bigint")
     return t.select(F.explode(F.array(*need)).alias("r")).select("r.*")
+
+
+def call_plan(cases: DataFrame, calls: dict[str, tuple[int, int, float | None, float | None]]) -> DataFrame:
+    """(stage, n_cases, most_calls, most_tokens, most_cost) of stages that call a model, before any call is made.
+
+    calls: per stage the most calls a case can take, the answer's token limit, and the prices of a million tokens in and
+    out; without prices the cost is null. A case's prompt, context, reference and output all count as input."""
+    from tallyframe.operators.ledger import OVERHEAD_TOKENS
+
+    size = F.lit(0)
+    for c in ("prompt", "context", "reference", "output"):
+        if c in cases.columns:
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+    t = cases.agg(F.count("*").alias("n_cases"), F.coalesce(F.sum(size + OVERHEAD_TOKENS), F.lit(0)).alias("tokens_in"))
+    row = lambda name, k, limit, a, b: F.struct(
+        F.lit(name).alias("stage"), F.col("n_cases"), (F.col("n_cases") * k).alias("most_calls"), (F.lit(k) * (F.col("tokens_in") + F.col("n_cases") * limit)).alias("most_tokens"),
+        (F.lit(k) * (F.col("tokens_in") * F.lit(a).cast("double") + F.col("n_cases") * limit * F.lit(b).cast("double")) / 1e6).alias("most_cost"),
+    )
+    if not calls:
+        return t.sparkSession.createDataFrame([], "stage string, n_cases bigint, most_calls bigint, most_tokens bigint, most_cost double")
+    return t.select(F.explode(F.array(*[row(name, *v) for name, v in sorted(calls.items())])).alias("r")).select("r.*")

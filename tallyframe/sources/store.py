@@ -38,6 +38,11 @@ class FactStore:
         w = rows.write.mode("append")
         (w.partitionBy("run_id") if "run_id" in rows.columns else w).parquet(self.path(table))
 
+    def drop(self, table: str) -> bool:
+        """Removes a table that can be made again, such as the cache; whether there was one."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(table))
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
     def replay(self, table: str, rows: DataFrame, keys: list[str]) -> int:
         """Adds the rows whose keys are not in the table yet; their number."""
         new = rows.dropDuplicates(keys)
