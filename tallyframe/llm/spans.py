@@ -3,9 +3,10 @@
 Every stretch of `length` characters holds a sample: the k-gram with the least hash of the stretch
 (two texts that share the stretch share the sample, so none is lost). Samples that only one text
 has are dropped; around every other one the text that can hold such a stretch is cut out, equal
-pieces become one, and the pieces of one sample meet in one shard. A shard is an FM-index over its
-pieces in alphabet order of first appearance; the pieces are streamed through it, and every
-occurrence of a window of `length` characters is reported and extended to its full span.
+pieces become one class, and the classes of one sample meet in one shard. A shard is a compressed FM-index over
+its classes; they are streamed through it, and every occurrence of a window of `length` characters is
+reported and extended to its full span. A class that several texts have is found in itself. So every
+shared span comes from the index, and texts follow from the members of its classes.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import vec
-from tallyframe.llm.fmindex import FMIndex
+from tallyframe.llm.fmindex import FMIndex, extend
 from tallyframe.llm.shared import written
 
 LENGTH, GRAM = 400, 200
@@ -27,6 +28,8 @@ LENGTH, GRAM = 400, 200
 SHARD_CHARS = 1_500_000
 #: Distinct pieces of one sample that meet in one block; a larger group is taken in pairs of blocks.
 GROUP_BLOCK = 256
+#: Members of a class that one task takes on one side of a pair.
+MEMBERS = 2000
 #: Bits of the filter over documents that have a shared sample: a fixed size, however many there are.
 FILTER_BITS = 1 << 23
 
@@ -118,13 +121,14 @@ def _search(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         a, x, p = index.matches(s, off)
         b = index.owner(p)
         y = p - starts[b]
-        h, rep = t.column("h").to_numpy(), t.column("rep")
-        code = rep.dictionary_encode().indices.to_numpy() if rep.type in (pa.string(), pa.large_string()) else rep.to_numpy()
-        ok = (h[a] < h[b]) | ((h[a] == h[b]) & (code[a] != code[b]) & (a < b))
-        a, x, p, b, y = a[ok], x[ok], p[ok], b[ok], y[ok]
-        n = index.extent(s, off, a, x, p)
+        h, rep = t.column("h").to_numpy(), t.column("rep").to_numpy()
+        several = t.column("several").to_numpy(zero_copy_only=False)
+        itself = (a == b) & (x == y) & several[a]
+        ok = (h[a] < h[b]) | ((h[a] == h[b]) & (rep[a] != rep[b]) & (a < b)) | itself
+        a, x, b, y = a[ok], x[ok], b[ok], y[ok]
+        x, y, n = extend(s, off, a, x, b, y, length)
         ints = lambda v: pa.array(v.astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(h[a]), rep.take(pa.array(a)), ints(x), pa.array(h[b]), rep.take(pa.array(b)), ints(y), ints(n)], names)
+        return pa.RecordBatch.from_arrays([pa.array(h[a]), pa.array(rep[a]), ints(x), pa.array(h[b]), pa.array(rep[b]), ints(y), ints(n)], names)
 
     held, chars, last = [], 0, None
     for batch in batches:
@@ -170,47 +174,48 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH
     pieces = written(_pieces(docs, shared, length, gram).withColumn("rep", F.xxhash64("piece")))
     distinct = pieces.groupBy("h", "rep").agg(F.min("doc").alias("doc0"), F.max("doc").alias("doc1"), F.any_value("piece").alias("piece")).withColumn("size", F.length("piece"))
     members = pieces.select("h", "rep", "doc", "start", F.length("piece").alias("size"))
-    counts = distinct.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    many = distinct.select("h", "rep", "piece").join(counts, "h")
+    counts = distinct.groupBy("h").agg(F.count("*").alias("m"))
+    several = F.col("doc0") != F.col("doc1")
+    many = distinct.where(F.length("piece") >= length).select("h", "rep", "piece", several.alias("several")).join(counts, "h").where("m > 1 or several")
     # A sample with more pieces than a block holds meets in every pair of its blocks, a task each.
     blocks = F.ceil(F.col("m") / GROUP_BLOCK)
     own = F.pmod(F.xxhash64("rep"), blocks)
     pair = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda k: F.least(k, own) * blocks + F.greatest(k, own))
-    rows = many.select("h", "rep", "piece", F.explode(pair).alias("block"))
+    rows = many.select("h", "rep", "piece", "several", F.explode(pair).alias("block"))
     ordered = rows.repartition("h", "block").sortWithinPartitions("h", "block", "rep")
     spans = ordered.mapInArrow(lambda it: _search(it, length), "h_a bigint, rep_a bigint, at_a int, h_b bigint, rep_b bigint, at_b int, n int")
     return copies, members, written(spans)
 
 
-def sharing_pairs(copies: DataFrame, members: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(a, b): every two ids that share a span, a < b, each pair once."""
-    m = members.select("h", "rep", "doc", "size")
-    whole = m.where(F.col("size") >= length)
-    x, y = whole.alias("x"), whole.alias("y")
-    same = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.rep") == F.col("y.rep")) & (F.col("x.doc") < F.col("y.doc"))).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+def sharing_pairs(copies: DataFrame, members: DataFrame, spans: DataFrame) -> DataFrame:
+    """(a, b): every two ids that share a span, a < b, each pair once.
+
+    A class of many members is split: each of its parts on one side meets all members on the other in a task of its own."""
     links = spans.select("h_a", "rep_a", "h_b", "rep_b").distinct()
-    left = m.select(F.col("h").alias("h_a"), F.col("rep").alias("rep_a"), F.col("doc").alias("p"))
-    right = m.select(F.col("h").alias("h_b"), F.col("rep").alias("rep_b"), F.col("doc").alias("q"))
-    across = links.join(left, ["h_a", "rep_a"]).join(right, ["h_b", "rep_b"]).where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-    texts = same.unionByName(across).distinct()
+    m = members.select("h", "rep", "doc").distinct()
+    counts = m.groupBy("h", "rep").agg(F.ceil(F.count("*") / MEMBERS).alias("n"))
+    left = m.join(counts, ["h", "rep"]).select(F.col("h").alias("h_a"), F.col("rep").alias("rep_a"), F.col("doc").alias("p"), F.pmod(F.xxhash64("doc"), F.col("n")).alias("part"))
+    split = links.join(counts.select(F.col("h").alias("h_a"), F.col("rep").alias("rep_a"), "n"), ["h_a", "rep_a"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).drop("n")
+    other = m.select(F.col("h").alias("h_b"), F.col("rep").alias("rep_b"), F.col("doc").alias("q"))
+    right = split.join(other, ["h_b", "rep_b"])
+    across = left.join(right, ["h_a", "rep_a", "part"]).where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    texts = across.distinct()
     u, v = copies.select(F.col("doc").alias("p"), F.col("first").alias("a")), copies.select(F.col("doc").alias("q"), F.col("first").alias("b"))
     rows = texts.join(u, "a").join(v, "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     twice = u.join(v, F.col("a") == F.col("b")).where("p < q").select(F.col("p").alias("a"), F.col("q").alias("b"))
     return rows.unionByName(twice)
 
 
-def shared_share(df: DataFrame, id_col: str, text_col: str, copies: DataFrame, members: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
+def shared_share(df: DataFrame, id_col: str, text_col: str, copies: DataFrame, members: DataFrame, spans: DataFrame) -> DataFrame:
     """One row per row of `df`: (id_col, n_chars, shared_chars, share), the share of its text that also
     stands in another row. A null text has null n_chars and share 0; an empty one has share 0."""
     owners = members.groupBy("h", "rep").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    common = members.where(F.col("size") >= length).join(owners.where("lo <> hi"), ["h", "rep"], "left_semi")
-    whole = common.select("doc", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
     # A span counts for a row if a piece on its other side belongs to another row.
     side = lambda a, b: spans.select(F.col(f"h_{a}").alias("h"), F.col(f"rep_{a}").alias("rep"), F.col(f"at_{a}").alias("at"), "n", F.col(f"h_{b}").alias("oh"), F.col(f"rep_{b}").alias("orep"))
     others = owners.select(F.col("h").alias("oh"), F.col("rep").alias("orep"), "lo", "hi")
     sides = side("a", "b").unionByName(side("b", "a")).distinct().join(others, ["oh", "orep"]).select("h", "rep", "at", "n", "lo", "hi")
     parts = members.join(sides, ["h", "rep"]).where("lo <> doc or hi <> doc").select("doc", (F.col("start") + F.col("at")).alias("s"), (F.col("start") + F.col("at") + F.col("n")).alias("e"))
-    spans_of = whole.unionByName(parts).distinct().groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("v"))
+    spans_of = parts.distinct().groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("v"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum"))
     total = F.aggregate("v", zero, lambda a, t: F.struct(F.greatest(a["end"], t["e"]).alias("end"), (a["sum"] + F.greatest(t["e"] - F.greatest(a["end"], t["s"]), F.lit(0))).alias("sum")))["sum"]
     of_text = spans_of.select(F.col("doc").alias("first"), total.alias("shared_chars"))

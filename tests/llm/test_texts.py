@@ -124,14 +124,16 @@ def span_texts(seed):
 @pytest.mark.parametrize("seed,block", [(1, 256), (2, 2), (3, 256)])
 def test_span_pairs_are_those_of_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(spans, "GROUP_BLOCK", block)
+    monkeypatch.setattr(spans, "MEMBERS", block)
     n, t = 40, span_texts(seed)
     df = spark.createDataFrame([(i, x, 7) for i, x in enumerate(t)], "id bigint, body string, h int")
     found = spans.shared_spans(df, "id", "body", n, 20)
-    got = [tuple(r) for r in spans.sharing_pairs(*found, n).collect()]
+    got = [tuple(r) for r in spans.sharing_pairs(*found).collect()]
     grams = [{x[i : i + n] for i in range(len(x) - n + 1)} if x else set() for x in t]
     want = {(a, b) for a in range(len(t)) for b in range(a + 1, len(t)) if grams[a] & grams[b]}
     assert set(got) == want and len(got) == len(want) > 10
-    share = {r["id"]: r for r in spans.shared_share(df, "id", "body", *found, n).collect()}
+    assert not {(a, b) for a, b in got if t[a] != t[b]} & {tuple(r) for r in spans.sharing_pairs(found[0], found[1], found[2].limit(0)).collect()}  # no pair of different texts without the index
+    share = {r["id"]: r for r in spans.shared_share(df, "id", "body", *found).collect()}
     for a, x in enumerate(t):
         cover = set()
         for i in range(len(x or "") - n + 1):
