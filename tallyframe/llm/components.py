@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.shared import written
+from tallyframe.llm.shared import drop, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,14 +16,15 @@ def components(edges: DataFrame) -> DataFrame:
     folder; no component is gathered anywhere, and a node's neighbours are reduced before the shuffle.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels = written(labels)
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("before"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        now = labels.select("node", "label")
+        near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        low = now.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("before"))
+        jump = now.select(F.col("node").alias("label"), F.col("label").alias("root"))
         after = written(low.join(jump, "label", "left").select("node", F.least(F.col("label"), F.coalesce("root", "label")).alias("label"), "before"))
-        done = after.where("label <> before").isEmpty()
-        labels = after.select("node", "label")
-        if done:
-            return labels
+        drop(labels)
+        labels = after
+        if after.where("label <> before").isEmpty():
+            drop(both)
+            return after.select("node", "label")

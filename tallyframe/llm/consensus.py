@@ -3,9 +3,9 @@
 The label edges carry messages both ways, one class against the rest: an item tells an annotator
 how likely the class is by all its other annotators; an annotator tells an item how often, over all
 its other items, it gave the class where the class held and where it did not. The rounds go on until
-no message moves. Every round is one table of edges in the shared folder; sums
-per item and per annotator are combined before their shuffle, so no item and no annotator is
-gathered into a task, however many edges it has.
+no message moves. Every round is one table of edges in the shared folder, which replaces the one before; sums
+per item and per annotator are combined before their shuffle, and edges meet their annotator's sums in
+SALTS parts, so no item and no annotator is gathered into a task, however many edges it has.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.shared import written
+from tallyframe.llm.shared import drop, written
 
 #: Messages stand still if none changes by more. A guard: so many rounds without that are an error.
 TOLERANCE, ROUNDS = 1e-6, 200
@@ -21,19 +21,65 @@ TOLERANCE, ROUNDS = 1e-6, 200
 PRIOR = 4.0
 #: First guess of how often the class is given where it holds, and where it doesn't.
 START = (0.8, 0.2)
+#: Parts in which an annotator's edges meet its sums, and steps of a score between 0 and 1.
+SALTS, STEPS = 16, 20
 
 
-def edges_of(reviews: DataFrame, id_col: str, item: str, annotator: str, label: str, positive: str, negative: str) -> DataFrame:
-    """(item, annotator, y): one edge per item and annotator; y is the share of `positive` among the
+def _clean(c: str) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(F.col(c), r"^[\s\p{Z}]+", ""), r"[\s\p{Z}]+$", ""))
+
+
+def edges_of(reviews: DataFrame, id_col: str, item: str, annotator: str, label: str, positive: str, negative: str, score: str | None = None) -> DataFrame:
+    """(item, annotator, y, readable): one edge per item and annotator; y is the share of `positive` among the
     annotator's labels of the item (an annotator that gave both labels equally often says nothing).
 
     A row delivered twice counts once; annotators and labels are compared without regard to case and
-    outer white space; rows without item, annotator or a readable label are left out.
+    outer white space; rows without item or annotator are left out. A row without a readable label but with a
+    score says as much as that score does elsewhere: the share of `positive` among all labels with a score in the same
+    of STEPS steps, scores over 1 taken as percent. It counts where the annotator has no label for the item, and is
+    not `readable`. (Where there is a label, its score tells nothing more about the item.)
     """
-    clean = lambda c: F.lower(F.regexp_replace(F.regexp_replace(F.col(c), r"^[\s\p{Z}]+", ""), r"[\s\p{Z}]+$", ""))
-    rows = reviews.select(F.col(id_col).alias("_id"), F.col(item).alias("item"), clean(annotator).alias("annotator"), clean(label).alias("label"))
-    rows = rows.where(F.col("item").isNotNull() & (F.col("annotator") != "") & F.col("label").isin(positive.lower(), negative.lower())).dropDuplicates(["_id"])
-    return rows.groupBy("item", "annotator").agg(F.avg((F.col("label") == positive.lower()).cast("double")).alias("y"))
+    s = F.col(score).cast("double") if score else F.lit(None).cast("double")
+    s = F.when(s > 1, s / 100).otherwise(s)
+    step = F.when(s.between(0, 1), F.least(F.floor(s * STEPS), F.lit(STEPS - 1)).cast("int"))
+    rows = reviews.select(F.col(id_col).alias("_id"), F.col(item).alias("item"), _clean(annotator).alias("annotator"), _clean(label).alias("label"), step.alias("step"))
+    rows = rows.where(F.col("item").isNotNull() & (F.col("annotator") != "")).dropDuplicates(["_id"])
+    given = F.when(F.col("label").isin(positive.lower(), negative.lower()), (F.col("label") == positive.lower()).cast("double"))
+    rows = rows.select("item", "annotator", "step", given.alias("y"))
+    told = rows
+    if score:
+        shares = rows.where("y is not null and step is not null").groupBy("step").agg(F.avg("y").alias("share"))  # at most STEPS rows
+        told = rows.join(F.broadcast(shares), "step", "left")
+    soft = F.when(F.col("y").isNull(), F.col("share")) if score else F.lit(None).cast("double")
+    per = told.groupBy("item", "annotator").agg(F.avg("y").alias("y"), F.avg(soft).alias("soft"))
+    return per.select("item", "annotator", F.coalesce("y", "soft").alias("y"), F.col("y").isNotNull().alias("readable")).where("y is not null")
+
+
+def class_edges(labels: DataFrame, given: str) -> DataFrame:
+    """Edges of one class against the rest, from (item, annotator, label): y is the share of the class among the
+    annotator's labels of the item. A null label is left out."""
+    return labels.where("label is not null").groupBy("item", "annotator").agg(F.avg((F.col("label") == given).cast("double")).alias("y"))
+
+
+def consensus_classes(labels: DataFrame, classes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(items, annotators) for labels (item, annotator, label) of several classes, each against the rest.
+
+    items: (item, label, belief): the class believed most, the first of `classes` among equals, with its share of all
+    classes' beliefs. annotators: (annotator, class, labels, given_if_true, given_if_false, reliability). With two
+    classes the second is the mirror of the first and is not run. Items without a label of `classes` have no row."""
+    known = labels.where(F.col("label").isin(*classes))
+    items = people = None
+    for i, c in enumerate(classes[:1] if len(classes) == 2 else classes):
+        one, who = consensus(class_edges(known, c))
+        one = one.select("item", F.lit(i).alias("k"), "belief")
+        who = who.select("annotator", F.lit(c).alias("class"), "labels", "given_if_true", "given_if_false", "reliability")
+        if len(classes) == 2:
+            one = one.unionByName(one.select("item", F.lit(1).alias("k"), (1 - F.col("belief")).alias("belief")))
+            who = who.unionByName(who.select("annotator", F.lit(classes[1]).alias("class"), "labels", (1 - F.col("given_if_false")).alias("given_if_true"), (1 - F.col("given_if_true")).alias("given_if_false"), "reliability"))
+        items, people = (one, who) if items is None else (items.unionByName(one), people.unionByName(who))
+    best = items.groupBy("item").agg(F.max_by(F.struct("k", "belief"), F.struct("belief", -F.col("k"))).alias("b"), F.sum("belief").alias("all"))
+    name = F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("b.k") + 1)
+    return best.select("item", name.alias("label"), (F.col("b.belief") / F.col("all")).alias("belief")), people
 
 
 def _evidence(a: Column, b: Column, y: Column) -> Column:
@@ -67,21 +113,26 @@ def consensus(edges: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERAN
     """
     edges = written(edges.select("item", "annotator", "y"))
     votes = edges.groupBy("item").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+    salted = F.pmod(F.xxhash64("item"), F.lit(SALTS)).alias("salt")
     start = _evidence(F.lit(START[0]), F.lit(START[1]), F.lit(1.0))
     others = 2 * (F.col("s") - F.col("y")) - (F.col("n") - 1)
-    state = written(edges.join(votes, "item").select("item", "annotator", "y", _sigmoid(others * start).alias("m"), F.lit(0.5).alias("a"), F.lit(0.5).alias("b")))
+    state = written(edges.join(votes, "item").select("item", "annotator", "y", salted, _sigmoid(others * start).alias("m"), F.lit(0.5).alias("a"), F.lit(0.5).alias("b")))
+    drop(edges)
+    moved = None
     for _ in range(rounds):
         sums, a0, b0, share = _rates(state)
         own = lambda h, p, m, base: F.greatest(F.lit(0.01), F.least(F.lit(0.99), (F.col(h) - m * F.col("y") + PRIOR * base) / (F.col(p) - m + PRIOR)))
-        told = state.join(sums, "annotator").select(
-            "item", "annotator", "y", F.col("m").alias("before"), own("h1", "p1", F.col("m"), a0).alias("a"), own("h0", "p0", 1 - F.col("m"), b0).alias("b")
+        parts = sums.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        told = state.join(parts, ["annotator", "salt"]).select(
+            "item", "annotator", "y", "salt", F.col("m").alias("before"), own("h1", "p1", F.col("m"), a0).alias("a"), own("h0", "p0", 1 - F.col("m"), b0).alias("b")
         )
         told = told.withColumn("e", _evidence(F.col("a"), F.col("b"), F.col("y")))
         logit = F.log(F.lit(share) / (1 - F.lit(share)))
         total = told.groupBy("item").agg((F.sum("e") + logit).alias("t"))
-        after = written(told.join(total, "item").select("item", "annotator", "y", _sigmoid(F.col("t") - F.col("e")).alias("m"), "a", "b", "before"))
+        after = written(told.join(total, "item").select("item", "annotator", "y", "salt", _sigmoid(F.col("t") - F.col("e")).alias("m"), "a", "b", "before"))
+        drop(state, sums)
         moved = after.agg(F.max(F.abs(F.col("m") - F.col("before")))).first()[0]
-        state = after.drop("before")
+        state = after
         if moved is None or moved < tolerance:
             break
     else:
@@ -111,17 +162,19 @@ def agreement(edges: DataFrame) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return edges_of(spark.read.parquet(f"{d}/reviews.parquet"), "id", "evaluation_id", "reviewer", "verdict", "PASS", "FAIL")
+    return edges_of(spark.read.parquet(f"{d}/reviews.parquet"), "id", "evaluation_id", "reviewer", "verdict", "PASS", "FAIL", "score")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict of every evaluation with readable verdicts of at least three reviewers; an even belief is FAIL."""
-    items, _ = consensus(_edges(spark, sf_dir))
-    return items.where("annotators >= 3").select(F.col("item").alias("evaluation_id"), F.when(F.col("belief") > 0.5, "PASS").otherwise("FAIL").alias("verdict"))
+    edges = written(_edges(spark, sf_dir))
+    items, _ = consensus(edges)
+    enough = edges.where("readable").groupBy("item").agg(F.count("*").alias("n")).where("n >= 3").select("item")
+    return items.join(enough, "item").select(F.col("item").alias("evaluation_id"), F.when(F.col("belief") > 0.5, "PASS").otherwise("FAIL").alias("verdict"))
 
 
 def p4_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict, belief and agreement of every evaluation with a readable verdict."""
+    """Verdict, belief and agreement of every evaluation with a readable verdict or a score."""
     items, _ = consensus(_edges(spark, sf_dir))
     return items.select(F.col("item").alias("evaluation_id"), F.when(F.col("belief") > 0.5, "PASS").otherwise("FAIL").alias("verdict"), F.round("belief", 9).alias("belief"), F.round("agreement", 9).alias("agreement"), "annotators")
 
@@ -133,7 +186,7 @@ def p4_reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement of the reviewers over all evaluations."""
-    return agreement(_edges(spark, sf_dir))
+    return agreement(_edges(spark, sf_dir).where("readable"))
 
 
 ORACLE = {

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm import vec
-from tallyframe.llm.shared import written
+from tallyframe.llm.shared import drop, written
 
 #: A guard: the known instances only grow, so they stand still; so many rounds without that are an error.
 ROUNDS = 200
@@ -275,6 +275,7 @@ def bootstrap(found: DataFrame, rules: Rules, rounds: int = ROUNDS) -> DataFrame
     for _ in range(rounds):
         state = known.agg(F.count("*"), F.count_if("sure")).first()
         if state == before:
+            drop(edges, patterns)
             return known
         before = state
         counted = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("k"), F.count_if("sure").alias("s"))
@@ -289,7 +290,8 @@ def bootstrap(found: DataFrame, rules: Rules, rounds: int = ROUNDS) -> DataFrame
         votes = votes.groupBy("instance").agg(F.max_by(F.struct("kind", "weight", "sure", "good", "contexts"), F.struct("sure", "weight")).alias("v")).select("instance", "v.*")
         more = votes.where("weight >= 2 and (sure or 2 * good >= contexts)").select("instance", "kind", "sure")
         both = known.withColumn("first", F.when(F.col("sure"), 3).otherwise(1)).unionByName(more.withColumn("first", F.when(F.col("sure"), 2).otherwise(0)))
-        known = written(both.groupBy("instance").agg(F.max_by("kind", "first").alias("kind"), F.max(F.col("first") >= 2).alias("sure")))
+        last, known = known, written(both.groupBy("instance").agg(F.max_by("kind", "first").alias("kind"), F.max(F.col("first") >= 2).alias("sure")))
+        drop(last)
     raise RuntimeError(f"bootstrap: instances are still being found after {rounds} rounds")
 
 

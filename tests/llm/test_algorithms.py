@@ -124,8 +124,34 @@ def test_consensus_goes_on_to_the_fixpoint(spark):
 def test_edges_are_read_forgivingly(spark):
     rows = [("1", "e", " Ann ", "PASS"), ("1", "e", " Ann ", "PASS"), ("2", "e", "ann", "fail "), ("3", "e", "BOB", "Pass"), ("4", "e", "bob", None), ("5", None, "bob", "PASS"), ("6", "e", "", "PASS"), ("7", "e", "cy", "maybe"), ("8", "e", None, "PASS")]
     df = spark.createDataFrame(rows, "id string, item string, who string, verdict string").withColumn("y", F.lit(9)).withColumn("annotator", F.lit("clash"))
-    got = {(r["item"], r["annotator"]): r["y"] for r in consensus.edges_of(df, "id", "item", "who", "verdict", "PASS", "FAIL").collect()}
-    assert got == {("e", "ann"): 0.5, ("e", "bob"): 1.0}
+    got = {(r["item"], r["annotator"]): (r["y"], r["readable"]) for r in consensus.edges_of(df, "id", "item", "who", "verdict", "PASS", "FAIL").collect()}
+    assert got == {("e", "ann"): (0.5, True), ("e", "bob"): (1.0, True)}
+
+
+def test_a_score_stands_in_for_a_missing_label(spark):
+    rows = [(str(i), f"e{i}", "ann", "PASS" if i % 4 else "FAIL", 0.62) for i in range(40)] + [("a", "x", "ann", None, 62.0), ("b", "x", "bob", "maybe", 0.64), ("c", "y", "ann", None, None), ("d", "z", "ann", None, 0.11), ("e", "x", "cy", "FAIL", 0.62), ("f", "x", "cy", None, 0.62), ("g", "z", "bob", None, -3.0), ("h", "z", "bob", None, float("nan"))]
+    df = spark.createDataFrame(rows, "id string, item string, who string, verdict string, score double")
+    got = {(r["item"], r["annotator"]): (round(r["y"], 6), r["readable"]) for r in consensus.edges_of(df, "id", "item", "who", "verdict", "PASS", "FAIL", "score").where("item in ('x', 'y', 'z')").collect()}
+    assert got == {("x", "ann"): (round(30 / 41, 6), False), ("x", "bob"): (round(30 / 41, 6), False), ("x", "cy"): (0.0, True)}
+
+
+def test_several_classes_one_against_the_rest(spark, monkeypatch):
+    monkeypatch.setattr(consensus, "SALTS", 3)
+    rng, classes = random.Random(8), ["red", "green", "blue"]
+    truth = {str(i): rng.choice(classes) for i in range(200)}
+    skill = {f"good{k}": 0.9 for k in range(5)} | {f"poor{k}": 0.4 for k in range(4)}
+    rows = [(i, w, truth[i] if rng.random() < skill[w] else rng.choice(classes)) for i in truth for w in rng.sample(sorted(skill), 5)]
+    df = spark.createDataFrame([*rows, ("0", "good0", None), ("none", "good0", None), ("odd", "good0", "pink")], "item string, annotator string, label string")
+    items, people = consensus.consensus_classes(df, classes)
+    got = {r["item"]: (r["label"], r["belief"]) for r in items.collect()}
+    majority = sum(max(classes, key=lambda c: sum(x == c for j, _, x in rows if j == i)) == truth[i] for i in truth)
+    right = sum(got[i][0] == truth[i] for i in truth)
+    assert set(got) == set(truth) and right >= majority and right >= 0.93 * len(truth) and all(1 / 3 <= b <= 1 for _, b in got.values())
+    rel = {(r["annotator"], r["class"]): r["reliability"] for r in people.collect()}
+    assert len(rel) == 27 and min(rel[f"good{k}", c] for k in range(5) for c in classes) > max(rel[f"poor{k}", c] for k in range(4) for c in classes)
+    two = df.where("try_cast(item as int) < 40").withColumn("label", F.when(F.col("label") == "red", "red").when(F.col("label").isNotNull(), "rest"))
+    a, b = ({r["item"]: (r["label"], round(r["belief"], 4)) for r in consensus.consensus_classes(two, c)[0].collect()} for c in (["red", "rest"], ["rest", "red"]))
+    assert a == b  # the second of two classes is the mirror of the first
 
 
 def test_consensus_of_few_and_none(spark):
