@@ -28,6 +28,11 @@ THRESHOLD = 0.7
 DEPTH = 8
 #: Records of one group of the matrix, and records of a shard's block; larger shards go in pairs of blocks.
 GROUP, BLOCK = 8, 3000
+#: Members of a class that one task takes on one side of a pair.
+MEMBERS = 2000
+#: Blocks of a shard beyond which its records are told apart by a second shared element instead, so that a record is
+#: copied once per element of its prefix at most, however many records share the first.
+SPLIT = 8
 #: Counters over hashed elements: a fixed number, however many elements there are.
 COUNTERS = 1 << 20
 
@@ -78,7 +83,7 @@ def _need(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
 
 def _representatives(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, reps): members (id, rep) puts records of the same elements under the least id;
-    reps (rep, n, els) has each class's elements, the rarest first. Records without words are left out."""
+    reps (rep, n, els, k) has each class's elements, the rarest first. Records without words are left out."""
     sc = records.sparkSession.sparkContext
     tables = sc.broadcast(vec.packed_tables("class", "lower"))
 
@@ -108,7 +113,8 @@ def _representatives(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = sets.groupBy("n", "one", "two").agg(F.min("id").alias("rep"))
     members = sets.select("id", "n", "one", "two").join(classes, ["n", "one", "two"]).select("id", "rep")
     reps = sets.join(classes.select("rep"), sets["id"] == F.col("rep"), "left_semi").select(F.col("id").alias("rep"), "n", "els")
-    return written(members), written(reps)
+    # A number per class stands for its id in the shards.
+    return written(members), written(reps.withColumn("k", F.monotonically_increasing_id()))
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +128,33 @@ def _heads(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     return n - every + 1, n - small + 1
 
 
+def _meetings(part: pa.RecordBatch, wanted: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """Elements of a batch of records and their offsets, and under which element which record meets its matches: places,
+    rows, counters, and whether the record meets there as the smaller of a pair. Elements without such are left out."""
+    h, off = _flat(part.column("els"))
+    n = part.column("n").to_numpy().astype(np.int64)
+    first, few = _heads(n, threshold)
+    index = vec.ragged(off[:-1], first)
+    row = np.repeat(np.arange(len(n)), first)
+    slot = (h[index] >> U64(44)).astype(np.int64)
+    ok = wanted[slot]
+    index, row, slot = index[ok], row[ok], slot[ok]
+    size = np.minimum(first - 1 + DEPTH, n)
+    return h, off, size, index, row, slot, index - off[row] < few[row]
+
+
+def _seconds(h: np.ndarray, off: np.ndarray, size: np.ndarray, index: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of every element together with each later one of its record's prefix, and how many each has."""
+    k = off[row] + size[row] - index - 1
+    with np.errstate(over="ignore"):
+        return vec.scramble(np.repeat(h[index], k) * U64(vec.BASE) + h[vec.ragged(index + 1, k)]), k
+
+
 def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of records that share enough of their prefixes."""
+    """(a, b): pairs of records (their numbers) that share enough of their prefixes.
+
+    Records meet under a shared element. Where more than SPLIT blocks of them do, they meet under that element and a second
+    one of their prefixes: similar records share both, as they share DEPTH; one of a single element is similar to no other."""
     sc = reps.sparkSession.sparkContext
 
     def heads(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -131,42 +162,50 @@ def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
         every, small = _heads(batch.column("n").to_numpy().astype(np.int64), threshold)
         return [h[vec.ragged(off[:-1], every)], h[vec.ragged(off[:-1], small)]]
 
-    every, small = _counters(reps.select("n", "els"), heads, ["every", "small"])
-    counts = sc.broadcast((np.minimum(every, 2**31 - 1).astype(np.int32), small > 0))
-    kind = reps.schema["rep"].dataType.simpleString()
+    rows = reps.select("k", "n", "els")
+    every, small = _counters(rows.select("n", "els"), heads, ["every", "small"])
+    wanted, most = small > 0, SPLIT * BLOCK
+    pairs = np.zeros(COUNTERS, np.int64)
+    if (every[wanted] > most).any():
+        hot = sc.broadcast((every > most) & wanted)
+
+        def second(batch: pa.RecordBatch) -> list[np.ndarray]:
+            h, off, size, index, row, _, _ = _meetings(batch, hot.value, threshold)
+            return [_seconds(h, off, size, index, row)[0]]
+
+        pairs = _counters(rows.select("n", "els"), second, ["pairs"])[0]
+    narrow = lambda x: np.minimum(x, 2**31 - 1).astype(np.int32)
+    counts = sc.broadcast((narrow(every), wanted, narrow(pairs)))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, wanted = counts.value
+        total, wanted, pairs = counts.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                h, off = _flat(part.column("els"))
-                n = part.column("n").to_numpy().astype(np.int64)
-                first, few = _heads(n, threshold)
-                index = vec.ragged(off[:-1], first)
-                row = np.repeat(np.arange(len(n)), first)
-                slot = (h[index] >> U64(44)).astype(np.int64)
-                is_small = index - off[row] < few[row]
-                ok = wanted[slot]
-                index, row, slot, is_small = index[ok], row[ok], slot[ok], is_small[ok]
-                blocks = np.maximum(1, -(-total[slot].astype(np.int64) // BLOCK))
+                h, off, size, index, row, slot, is_small = _meetings(part, wanted, threshold)
+                hot = total[slot] > most
+                key, k = _seconds(h, off, size, index[hot], row[hot])
+                counted = np.concatenate([total[slot[~hot]], pairs[(key >> U64(44)).astype(np.int64)]]).astype(np.int64)
+                key = np.concatenate([h[index[~hot]], key])
+                is_small = np.concatenate([is_small[~hot], np.repeat(is_small[hot], k)])
+                row = np.concatenate([row[~hot], np.repeat(row[hot], k)])
+                blocks = np.maximum(1, -(-counted // BLOCK))
                 with np.errstate(over="ignore"):
                     own = (vec.scramble(np.add.reduceat(h, off[:-1]))[row] % blocks.astype(U64)).astype(np.int64)
                 k = vec.ragged(np.zeros(len(blocks), np.int64), blocks)
-                rep = np.repeat(np.arange(len(index)), blocks)
+                rep = np.repeat(np.arange(len(row)), blocks)
                 block = np.minimum(k, own[rep]) * blocks[rep] + np.maximum(k, own[rep])
-                size = np.minimum(first - 1 + DEPTH, n)
                 ends = np.append(0, np.cumsum(size))
-                prefix = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((h[vec.ragged(off[:-1], size)] >> U64(32)).astype(np.uint32).view(np.int32)))
+                prefix = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((h[vec.ragged(off[:-1], size)] >> U64(48)).astype(np.uint16).view(np.int16)))
                 take = pa.array(row[rep])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[index[rep]].view(np.int64)), pa.array(block), part.column("rep").take(take), part.column("n").take(take), pa.array(is_small[rep]), pa.array(own[rep]), prefix.take(take)],
+                    [pa.array(key[rep].view(np.int64)), pa.array(block), part.column("k").take(take), part.column("n").take(take), pa.array(is_small[rep]), pa.array(own[rep]), prefix.take(take)],
                     ["key", "block", "rep", "n", "small", "own", "prefix"],
                 )
 
-    rows = reps.mapInArrow(scatter, f"key bigint, block bigint, rep {kind}, n int, small boolean, own bigint, prefix array<int>")
-    shards = rows.repartition("key", "block").sortWithinPartitions("key", "block")
-    return shards.mapInArrow(lambda it: _shards(it, threshold), f"a {kind}, b {kind}").distinct()
+    met = rows.mapInArrow(scatter, "key bigint, block bigint, rep bigint, n int, small boolean, own bigint, prefix array<smallint>")
+    shards = met.repartition("key", "block").sortWithinPartitions("key", "block")
+    return shards.mapInArrow(lambda it: _shards(it, threshold), "a bigint, b bigint").distinct()
 
 
 def _shards(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -275,21 +314,26 @@ def similar_classes(df: DataFrame, id_col: str, text_cols: list[str], threshold:
     records = df.select(F.col(id_col).alias("id"), text.alias("text")).where("id is not null").dropDuplicates(["id"])
     members, reps = _representatives(records)
     pairs = written(_candidates(reps, threshold))
-    left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("els").alias("ea"))
-    right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("els").alias("eb"))
+    left = reps.select(F.col("k").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("els").alias("ea"))
+    right = reps.select(F.col("k").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("els").alias("eb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("ea", "eb")))
     similarity = F.col("o").cast("double") / (F.col("na") + F.col("nb") - F.col("o"))
-    close = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    close = both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
     return members, written(close.distinct())
 
 
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b): every two similar records, the smaller id first, exact copies among them."""
-    x = members.select(F.col("id").alias("p"), F.col("rep").alias("a"))
-    y = members.select(F.col("id").alias("q"), F.col("rep").alias("b"))
-    across = links.join(x, "a").join(y, "b").select("p", "q")
-    copies = x.join(y, x["a"] == y["b"]).where("p < q").select("p", "q")
-    return across.unionByName(copies).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    """(a, b): every two similar records, the smaller id first, exact copies among them.
+
+    A class of many members is split: each part on one side meets all members on the other in a task of its own."""
+    counts = members.groupBy("rep").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    x = members.join(counts, "rep").select(F.col("id").alias("p"), F.col("rep").alias("a"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    itself = members.groupBy("rep").agg(F.count("*").alias("m")).where("m > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("same"))
+    every = links.select("a", "b", F.lit(False).alias("same")).unionByName(itself)
+    split = every.join(counts.withColumnRenamed("rep", "a"), "a").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    y = split.join(members.select(F.col("id").alias("q"), F.col("rep").alias("b")), "b")
+    met = x.join(y, ["a", "part"]).where("not same or p < q")
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def groups(df: DataFrame, id_col: str, members: DataFrame, links: DataFrame) -> DataFrame:

@@ -196,9 +196,11 @@ def brute(rows, threshold=0.7):
     return out
 
 
-@pytest.mark.parametrize("seed,block,group", [(1, 3000, 8), (2, 5, 2), (3, 9, 4)])
-def test_pairs_are_those_of_brute_force(spark, monkeypatch, seed, block, group):
+@pytest.mark.parametrize("seed,block,group,split", [(1, 3000, 8, 8), (2, 5, 2, 8), (3, 9, 4, 1), (4, 2, 3, 1)])
+def test_pairs_are_those_of_brute_force(spark, monkeypatch, seed, block, group, split):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SPLIT", split)
+    monkeypatch.setattr(neardup, "MEMBERS", block)
     monkeypatch.setattr(neardup, "GROUP", group)
     rows = [(f"id{i:04d}", t) for i, t in enumerate(texts(seed, 60))]
     df = spark.createDataFrame([(i, t, None, 1, 2) for i, t in rows], "id string, prompt string, reference string, n int, rep int")
