@@ -91,15 +91,21 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x))))
 
 
-def _rates(state: DataFrame) -> tuple[DataFrame, float, float, float]:
-    """Sums per annotator of the messages from items, and the pooled rates and share of the class."""
-    sums = state.groupBy("annotator").agg(
-        F.count("*").alias("labels"), F.sum("m").alias("p1"), F.sum(F.col("m") * F.col("y")).alias("h1"), F.sum(1 - F.col("m")).alias("p0"), F.sum((1 - F.col("m")) * F.col("y")).alias("h0")
-    )
-    sums = written(sums)
-    t = sums.agg(F.sum("p1"), F.sum("h1"), F.sum("p0"), F.sum("h0")).first()
-    p1, h1, p0, h0 = (x or 0.0 for x in t)
-    return sums, (h1 + START[0]) / (p1 + 1), (h0 + START[1]) / (p0 + 1), (p1 + 1) / (p1 + p0 + 2)
+def _pooled() -> list[Column]:
+    """Of the messages from items: their sum and the sum of those with a label, for the class and for the rest."""
+    m, y = F.col("m"), F.col("y")
+    return [F.sum(m).alias("p1"), F.sum(m * y).alias("h1"), F.sum(1 - m).alias("p0"), F.sum((1 - m) * y).alias("h0")]
+
+
+def _sums(state: DataFrame) -> DataFrame:
+    """Sums per annotator of the messages from items."""
+    return state.groupBy("annotator").agg(F.count("*").alias("labels"), *_pooled())
+
+
+def _rates(row) -> tuple[float, float, float]:
+    """The pooled rates and the share of the class, from the sums over all edges."""
+    p1, h1, p0, h0 = (row[c] or 0.0 for c in ("p1", "h1", "p0", "h0"))
+    return (h1 + START[0]) / (p1 + 1), (h0 + START[1]) / (p0 + 1), (p1 + 1) / (p1 + p0 + 2)
 
 
 def consensus(edges: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
@@ -118,9 +124,9 @@ def consensus(edges: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERAN
     others = 2 * (F.col("s") - F.col("y")) - (F.col("n") - 1)
     state = written(edges.join(votes, "item").select("item", "annotator", "y", salted, _sigmoid(others * start).alias("m"), F.lit(0.5).alias("a"), F.lit(0.5).alias("b")))
     drop(edges)
-    moved = None
+    pooled, moved = state.agg(*_pooled()).first(), None
     for _ in range(rounds):
-        sums, a0, b0, share = _rates(state)
+        sums, (a0, b0, share) = written(_sums(state)), _rates(pooled)
         own = lambda h, p, m, base: F.greatest(F.lit(0.01), F.least(F.lit(0.99), (F.col(h) - m * F.col("y") + PRIOR * base) / (F.col(p) - m + PRIOR)))
         parts = sums.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         told = state.join(parts, ["annotator", "salt"]).select(
@@ -131,13 +137,14 @@ def consensus(edges: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERAN
         total = told.groupBy("item").agg((F.sum("e") + logit).alias("t"))
         after = written(told.join(total, "item").select("item", "annotator", "y", "salt", _sigmoid(F.col("t") - F.col("e")).alias("m"), "a", "b", "before"))
         drop(state, sums)
-        moved = after.agg(F.max(F.abs(F.col("m") - F.col("before")))).first()[0]
+        pooled = after.agg(F.max(F.abs(F.col("m") - F.col("before"))).alias("moved"), *_pooled()).first()
+        moved = pooled["moved"]
         state = after
         if moved is None or moved < tolerance:
             break
     else:
         raise RuntimeError(f"consensus: messages still move by {moved} after {rounds} rounds")
-    sums, a0, b0, share = _rates(state)
+    sums, (a0, b0, share) = _sums(state), _rates(pooled)
     final = lambda h, p, base: F.greatest(F.lit(0.01), F.least(F.lit(0.99), (F.col(h) + PRIOR * base) / (F.col(p) + PRIOR)))
     annotators = sums.select("annotator", "labels", final("h1", "p1", a0).alias("given_if_true"), final("h0", "p0", b0).alias("given_if_false"))
     annotators = annotators.withColumn("reliability", (F.col("given_if_true") + 1 - F.col("given_if_false")) / 2)
