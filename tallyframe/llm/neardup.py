@@ -1,16 +1,18 @@
-"""Near-duplicate records by the words they have in common, found with a token-group matrix.
+"""Near-duplicate records by the words they have in common, found where several rare ones come together.
 
 A record is the set of its (word, occurrence) elements, so that the share of common words with
-repetition is a Jaccard similarity of sets. Elements are ordered by rarity. Two records above the
-threshold share at least DEPTH elements of their prefixes, and the rarest shared one stands near
-both beginnings; under each such element the records meet in one shard. In a shard, similar records
-are put into small groups, each with the union of its members' prefixes: a query record opens only
-the groups whose union holds enough of its prefix, and its candidates there are verified in full.
+repetition is a Jaccard similarity of sets. Elements are ordered by rarity and fall into parts by
+hash. Two records above the threshold share so many elements of their prefixes that SHARE of them
+are of one part. Records meet in one task under the first of these; where many do, they are told
+apart by a second one and so on, so that the comparisons don't grow with the square of the records
+where the vocabulary stays the same. Those that meet are compared by size and by a sketch that
+bounds their difference; what is left is verified in full. Nothing is left out on the way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,21 +22,27 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import vec
 from tallyframe.llm.components import components
-from tallyframe.llm.shared import written
+from tallyframe.llm.shared import drop, written
 from tallyframe.llm.vec import U64
 
 THRESHOLD = 0.7
-#: Elements that prefixes must share; a longer prefix with more shared elements opens fewer groups.
-DEPTH = 8
-#: Records of one group of the matrix, and records of a shard's block; larger shards go in pairs of blocks.
-GROUP, BLOCK = 8, 3000
+#: Elements of one part that similar records have in common, parts of the elements, and elements that a record shares
+#: with its matches per part beyond which there are twice the parts.
+SHARE, GROUP, LONG = 4, 4, 32
+#: Records of a block; where more than one block has the same elements, blocks meet in pairs.
+BLOCK = 10_000
 #: Members of a class that one task takes on one side of a pair.
 MEMBERS = 2000
-#: Blocks of a shard beyond which its records are told apart by a second shared element instead, so that a record is
-#: copied once per element of its prefix at most, however many records share the first.
-SPLIT = 8
+#: Blocks beyond which records that meet under an element meet under a further one instead.
+SPLIT = 16
+#: Records that meet under so few elements as they are, rather than under one more.
+FEW = 16
+#: Entries of a unit, in which many elements' records meet; elements of a slice; keys that are made at once.
+UNIT, SLICE, KEYS = 100_000, 500_000, 2_000_000
 #: Counters over hashed elements: a fixed number, however many elements there are.
 COUNTERS = 1 << 20
+#: Bits by which most rows that a join can't need are kept out of it.
+MARKS = 1 << 23
 
 
 def _elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,40 +89,74 @@ def _need(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     return np.ceil(threshold * n - 1e-9).astype(np.int64), np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(np.int64)
 
 
+def _marks(numbers: DataFrame) -> np.ndarray:
+    """Bits of a fixed number by hash, set for every number of the table's only column."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bit(batch.column(0))).astype(np.int32))], ["at"])
+
+    at = numbers.mapInArrow(emit, "at int").distinct().toArrow().column("at").to_numpy()  # at most MARKS rows
+    out = np.zeros(MARKS, np.uint8)
+    out[at] = 1
+    return np.packbits(out)
+
+
+def _bit(numbers: pa.Array) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (vec.scramble(numbers.to_numpy().view(U64) * U64(vec.BASE)) % U64(MARKS)).astype(np.int64)
+
+
+def _marked(numbers: pa.Array, marks: np.ndarray) -> np.ndarray:
+    at = _bit(numbers)
+    return (marks[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+
+
 def _representatives(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, reps): members (id, rep) puts records of the same elements under the least id;
     reps (rep, n, els, k) has each class's elements, the rarest first. Records without words are left out."""
     sc = records.sparkSession.sparkContext
     tables = sc.broadcast(vec.packed_tables("class", "lower"))
 
-    def count(batch: pa.RecordBatch) -> list[np.ndarray]:
-        vec.unpack_tables(tables.value, "class", "lower")
-        return [np.concatenate([_elements(p.column("text"))[0] for p in vec.slices(batch, "text")] or [np.zeros(0, U64)])]
-
-    seen = sc.broadcast(np.minimum(_counters(records.select("text"), count, ["df"])[0], 2**31 - 1).astype(np.int32))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vec.unpack_tables(tables.value, "class", "lower")
         for batch in batches:
             for part in vec.slices(batch, "text"):
-                h, doc, n = _elements(part.column("text"))
-                order = np.lexsort((h, seen.value[(h >> U64(44)).astype(np.int64)], doc))
-                h = h[order]
+                h, _, n = _elements(part.column("text"))
                 ends = np.append(0, np.cumsum(n))
                 with np.errstate(over="ignore"):
                     one = np.add.reduceat(np.append(h, U64(0)), np.minimum(ends[:-1], len(h)))
                     two = np.add.reduceat(np.append(vec.scramble(h * U64(vec.BASE)), U64(0)), np.minimum(ends[:-1], len(h)))
                 els = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))
-                out = pa.RecordBatch.from_arrays([part.column("id"), pa.array(n.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), els], ["id", "n", "one", "two", "els"])
-                yield out.filter(pa.array(n > 0))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), els], ["id", "n", "one", "two", "els"])
 
     kind = records.schema["id"].dataType.simpleString()
-    sets = written(records.mapInArrow(run, f"id {kind}, n int, one bigint, two bigint, els array<bigint>"))
-    classes = sets.groupBy("n", "one", "two").agg(F.min("id").alias("rep"))
-    members = sets.select("id", "n", "one", "two").join(classes, ["n", "one", "two"]).select("id", "rep")
-    reps = sets.join(classes.select("rep"), sets["id"] == F.col("rep"), "left_semi").select(F.col("id").alias("rep"), "n", "els")
-    # A number per class stands for its id in the shards.
-    return written(members), written(reps.withColumn("k", F.monotonically_increasing_id()))
+    # A number per row stands for its id in the shards.
+    sets = written(records.mapInArrow(run, f"id {kind}, n int, one bigint, two bigint, els array<bigint>").withColumn("k", F.monotonically_increasing_id()))
+    seen = sc.broadcast(np.minimum(_counters(sets.select("els"), lambda batch: [_flat(batch.column("els"))[0]], ["df"])[0], 2**31 - 1).astype(np.int32))
+    # Of a row delivered twice the first one counts.
+    firsts = sets.groupBy("id").agg(F.min(F.struct("k", "n", "one", "two")).alias("x")).select("id", "x.*").where("n > 0")
+    classes = written(firsts.groupBy("n", "one", "two").agg(F.min(F.struct("id", "k")).alias("x")).select("n", "one", "two", F.col("x.id").alias("rep"), "x.k"))
+    members = firsts.select("id", "n", "one", "two").join(classes.drop("k"), ["n", "one", "two"]).select("id", "rep")
+    others = written(sets.select("k").join(classes.select("k"), "k", "left_anti"))
+    marks = sc.broadcast(_marks(others))
+
+    def ordered(marked: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = batch.filter(pa.array(_marked(batch.column("k"), marks.value) == marked))
+                h, off = _flat(batch.column("els"))
+                h = h[np.lexsort((h, seen.value[_slot(h)], np.repeat(np.arange(batch.num_rows), np.diff(off))))]
+                els = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), els, batch.column("k")], ["rep", "n", "els", "k"])
+
+        return sets.select(F.col("id").alias("rep"), "n", "els", "k").mapInArrow(run, f"rep {kind}, n int, els array<bigint>, k bigint")
+
+    # Only rows that may be among the others are compared with them.
+    reps = written(ordered(False).unionByName(ordered(True).join(others, "k", "left_anti")))
+    members = written(members)
+    drop(sets, classes, others)
+    return members, reps
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,183 +164,283 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[off[0] : off[-1]].view(U64), off - off[0]
 
 
-def _heads(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Elements under which a record meets its matches: as any record, and as the smaller of a pair."""
-    every, small = _need(n, threshold)
-    return n - every + 1, n - small + 1
+def _classes_of_size(parts: int, longest: int, threshold: float) -> list[tuple[int, int, int, int]]:
+    """(elements, parts, least, most): how many elements of one of how many parts a record has in common with any match
+    that is no smaller, for the records that must share from `least` to `most` elements with such a match."""
+    out = [(c, 1, c, c) for c in range(1, SHARE)]
+    first = parts * (SHARE - 1) + 1
+    if first > SHARE:
+        out.append((SHARE, 1, SHARE, first - 1))
+    while True:
+        most = LONG * parts
+        out.append((SHARE, parts, first, most))
+        if most >= _need(np.array([longest]), threshold)[1][0]:
+            return out
+        first, parts = most + 1, parts * 2
 
 
-def _meetings(part: pa.RecordBatch, wanted: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
-    """Elements of a batch of records and their offsets, and under which element which record meets its matches: places,
-    rows, counters, and whether the record meets there as the smaller of a pair. Elements without such are left out."""
-    h, off = _flat(part.column("els"))
-    n = part.column("n").to_numpy().astype(np.int64)
-    first, few = _heads(n, threshold)
-    index = vec.ragged(off[:-1], first)
-    row = np.repeat(np.arange(len(n)), first)
-    slot = (h[index] >> U64(44)).astype(np.int64)
-    ok = wanted[slot]
-    index, row, slot = index[ok], row[ok], slot[ok]
-    size = np.minimum(first - 1 + DEPTH, n)
-    return h, off, size, index, row, slot, index - off[row] < few[row]
-
-
-def _seconds(h: np.ndarray, off: np.ndarray, size: np.ndarray, index: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of every element together with each later one of its record's prefix, and how many each has."""
-    k = off[row] + size[row] - index - 1
+def _mixed(key: np.ndarray, h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return vec.scramble(np.repeat(h[index], k) * U64(vec.BASE) + h[vec.ragged(index + 1, k)]), k
+        return vec.scramble(key * U64(vec.BASE) + h)
 
 
-def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of records (their numbers) that share enough of their prefixes.
+class _Entries(NamedTuple):
+    """Places where a record meets others: `key` stands for the elements taken so far, `more` says how many are still to
+    be taken from the `count` elements at `at`; as the smaller of a pair (`small`) from the first `few` of them only."""
 
-    Records meet under a shared element. Where more than SPLIT blocks of them do, they meet under that element and a second
-    one of their prefixes: similar records share both, as they share DEPTH; one of a single element is similar to no other."""
-    sc = reps.sparkSession.sparkContext
+    key: np.ndarray
+    row: np.ndarray
+    at: np.ndarray
+    count: np.ndarray
+    few: np.ndarray
+    small: np.ndarray
+    more: np.ndarray
 
-    def heads(batch: pa.RecordBatch) -> list[np.ndarray]:
-        h, off = _flat(batch.column("els"))
-        every, small = _heads(batch.column("n").to_numpy().astype(np.int64), threshold)
-        return [h[vec.ragged(off[:-1], every)], h[vec.ragged(off[:-1], small)]]
+    def take(self, which: np.ndarray) -> _Entries:
+        return _Entries(*[x[which] for x in self])
 
-    rows = reps.select("k", "n", "els")
-    every, small = _counters(rows.select("n", "els"), heads, ["every", "small"])
-    wanted, most = small > 0, SPLIT * BLOCK
-    pairs = np.zeros(COUNTERS, np.int64)
-    if (every[wanted] > most).any():
-        hot = sc.broadcast((every > most) & wanted)
 
-        def second(batch: pa.RecordBatch) -> list[np.ndarray]:
-            h, off, size, index, row, _, _ = _meetings(batch, hot.value, threshold)
-            return [_seconds(h, off, size, index, row)[0]]
+def _joined(many: list[_Entries]) -> _Entries:
+    return _Entries(*[np.concatenate(x) for x in zip(*many)])
+
 
-        pairs = _counters(rows.select("n", "els"), second, ["pairs"])[0]
+def _starts(h: np.ndarray, off: np.ndarray, n: np.ndarray, sizes: list[tuple[int, int, int, int]], threshold: float) -> tuple[np.ndarray, _Entries]:
+    """Elements of the prefixes part by part, and an entry for each that can be the first one taken of its part."""
+    every, least = _need(n, threshold)
+    lowest = _need(every, threshold)[1]
+    flat, out, base = [], [], 0
+    for number, (share, parts, low, high) in enumerate(sizes):
+        as_small = (least >= low) & (least <= high)
+        as_large = (least >= low) & (lowest <= high)
+        if not as_large.any():
+            continue
+        common = parts * (share - 1) + 1
+        few = np.where(as_small, np.minimum(n - least + common, n), 0)
+        limit = np.maximum(few, np.where(as_large, np.minimum(n - every + common, n), 0))
+        row = np.repeat(np.arange(len(n)), limit)
+        index = vec.ragged(off[:-1], limit)
+        el = h[index]
+        place = row * parts + (el >> U64(20) & U64(0xFFFFFF)).astype(np.int64) % parts
+        if parts > 1:
+            order = np.argsort(place, kind="stable")
+            row, index, el, place = row[order], index[order], el[order], place[order]
+        small = index - off[row] < few[row]
+        last = np.flatnonzero(np.append(place[1:] != place[:-1], True)) + 1
+        end = np.repeat(last, np.diff(np.append(0, last)))
+        so_far = np.append(0, np.cumsum(small))
+        at = np.arange(1, len(el) + 1)
+        count = end - at
+        left = np.where(small, so_far[end] - so_far[at], 0)
+        ok = count >= share - 1
+        key = _mixed(el[ok], np.full(int(ok.sum()), number, U64))
+        out.append(_Entries(key, row[ok], at[ok] + base, count[ok], left[ok], small[ok] & (left[ok] >= share - 1), np.full(len(key), share - 1, np.int64)))
+        flat.append(el)
+        base += len(el)
+    if not flat:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, U64), _Entries(none.view(U64), none, none, none, none, none.astype(bool), none)
+    return np.concatenate(flat), _joined(out)
+
+
+def _next(flat: np.ndarray, t: _Entries) -> _Entries:
+    """The same meetings by one element more."""
+    take = np.maximum(t.count - t.more + 1, 0)
+    at = vec.ragged(t.at, take)
+    rep = np.repeat(np.arange(len(t.key)), take)
+    few, more = t.few[rep] - (at - t.at[rep]).astype(t.few.dtype) - 1, t.more[rep] - 1
+    return _Entries(_mixed(t.key[rep], flat[at].astype(U64)), t.row[rep], (at + 1).astype(t.at.dtype), (t.at + t.count)[rep] - at.astype(t.at.dtype) - 1, np.maximum(few, 0), t.small[rep] & (few >= more), more)
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key >> U64(44)).astype(np.int64)
+
+
+def _split(flat: np.ndarray, t: _Entries, counts: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[_Entries, np.ndarray, _Entries]:
+    """Entries to meet by, how many each meets at most, and those of the level that `counts` doesn't reach.
+    Entries that meet none as the smaller of a pair are left out."""
+    done, met = [t.take(slice(0, 0))], [np.zeros(0, np.int64)]
+    for every, small in counts:
+        slot = _slot(t.key)
+        ok = small[slot] > 0
+        t, slot = t.take(ok), slot[ok]
+        hot = (every[slot] > most) & (t.more > 0)
+        done.append(t.take(~hot))
+        met.append(every[slot[~hot]].astype(np.int64))
+        t = _next(flat, t.take(hot))
+    return _joined(done), np.concatenate(met), t
+
+
+def _sketch(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """256 bits per record, the parities of its elements by hash: two records differ in at most as many bits as elements."""
+    bit, row = (h >> U64(13) & U64(255)).astype(np.int64), np.repeat(np.arange(len(off) - 1), np.diff(off))
+    odd = (np.bincount(row * 256 + bit, minlength=(len(off) - 1) * 256) & 1).astype(np.uint8)
+    return np.packbits(odd).view(U64).reshape(-1, 4)
+
+
+def _blobs(part: pa.RecordBatch, sizes: list[tuple[int, int, int, int]], threshold: float, counts: list[tuple[np.ndarray, np.ndarray]], most: int, block: int, units: int) -> pa.RecordBatch:
+    """The entries of a slice of records, packed by the unit that takes them."""
+    h, off = _flat(part.column("els"))
+    n = part.column("n").to_numpy().astype(np.int64)
+    flat, t = _starts(h, off, n, sizes, threshold)
+    t, met, _ = _split(flat, t, counts, most)
+    blocks = np.where(t.more > 0, 1, np.maximum(1, -(-met // block)))
+    own = (vec.scramble(np.add.reduceat(h, off[:-1]))[t.row] % blocks.astype(U64)).astype(np.int64)
+    rep = np.repeat(np.arange(len(t.key)), blocks)
+    other = vec.ragged(np.zeros(len(blocks), np.int64), blocks)
+    t, own, blocks = t.take(rep), own[rep], blocks[rep]
+    first, second = np.minimum(own, other), np.maximum(own, other)
+    # In a pair of two blocks, 1 and 2 tell them apart.
+    side = np.where(first == second, 0, np.where(own == first, 1, 2))
+    key = _mixed(t.key, (first * blocks + second).astype(U64))
+    unit = (key % U64(units)).astype(np.int64)
+    order = np.argsort(unit, kind="stable")
+    key, side, t = key[order], side[order], t.take(order)
+    count = np.where(t.more > 0, t.count, 0)
+    left = (flat[vec.ragged(t.at, count)] >> U64(48)).astype(np.uint16)  # of elements still to be taken, 16 bits are enough
+    columns = ((key >> U64(32)).astype(np.uint32), part.column("k").to_numpy()[t.row], n[t.row].astype(np.int32), _sketch(h, off)[t.row], (t.more * 8 + side * 2 + t.small).astype(np.uint8), count.astype(np.int32), np.minimum(t.few, count).astype(np.int32))
+    cuts = np.append(np.searchsorted(unit[order], np.arange(units)), len(key))
+    ends = np.append(0, np.cumsum(count))
+    at = np.flatnonzero(np.diff(cuts))
+    blobs = [b"".join([np.int64(b - a).tobytes(), *[x[a:b].tobytes() for x in columns], left[ends[a] : ends[b]].tobytes()]) for a, b in zip(cuts[at], cuts[at + 1])]
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(blobs, pa.binary())], ["unit", "entries"])
+
+
+def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of records (their numbers) that meet and may be similar by their sizes and sketches.
+
+    Records meet under the first of SHARE elements of a part, and in that task under all of them. Where more than SPLIT
+    blocks of records meet under an element, they meet under a second one too, and a third; where more than a block have
+    all of them in common, blocks meet in pairs."""
+    sc = reps.sparkSession.sparkContext
+    rows = reps.select("k", "n", "els")
+    longest = rows.agg(F.max("n")).first()[0] or 1
+    sizes, most, block = _classes_of_size(GROUP, longest, threshold), SPLIT * BLOCK, BLOCK
+    counts: list[tuple[np.ndarray, np.ndarray]] = []
     narrow = lambda x: np.minimum(x, 2**31 - 1).astype(np.int32)
-    counts = sc.broadcast((narrow(every), wanted, narrow(pairs)))
+    total = 0
+    while len(counts) < SHARE:
+        known = sc.broadcast(counts)
+
+        def heads(batch: pa.RecordBatch) -> list[np.ndarray]:
+            out = []
+            for part in _parts(batch):
+                flat, t = _starts(*_flat(part.column("els")), part.column("n").to_numpy().astype(np.int64), sizes, threshold)
+                t = _split(flat, t, known.value, most)[2]
+                out.append((t.key, t.key[t.small]))
+            return [np.concatenate(x) for x in zip(*out)] or [np.zeros(0, U64)] * 2
+
+        every, small = _counters(rows.select("n", "els"), heads, ["every", "small"])
+        counts.append((narrow(every), narrow(small)))
+        total += int(every[small > 0].sum())
+        if not (every[small > 0] > most).any():
+            break
+    known, units = sc.broadcast(counts), max(1, total // UNIT)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, wanted, pairs = counts.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                h, off, size, index, row, slot, is_small = _meetings(part, wanted, threshold)
-                hot = total[slot] > most
-                key, k = _seconds(h, off, size, index[hot], row[hot])
-                counted = np.concatenate([total[slot[~hot]], pairs[(key >> U64(44)).astype(np.int64)]]).astype(np.int64)
-                key = np.concatenate([h[index[~hot]], key])
-                is_small = np.concatenate([is_small[~hot], np.repeat(is_small[hot], k)])
-                row = np.concatenate([row[~hot], np.repeat(row[hot], k)])
-                blocks = np.maximum(1, -(-counted // BLOCK))
-                with np.errstate(over="ignore"):
-                    own = (vec.scramble(np.add.reduceat(h, off[:-1]))[row] % blocks.astype(U64)).astype(np.int64)
-                k = vec.ragged(np.zeros(len(blocks), np.int64), blocks)
-                rep = np.repeat(np.arange(len(row)), blocks)
-                block = np.minimum(k, own[rep]) * blocks[rep] + np.maximum(k, own[rep])
-                ends = np.append(0, np.cumsum(size))
-                prefix = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((h[vec.ragged(off[:-1], size)] >> U64(48)).astype(np.uint16).view(np.int16)))
-                take = pa.array(row[rep])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[rep].view(np.int64)), pa.array(block), part.column("k").take(take), part.column("n").take(take), pa.array(is_small[rep]), pa.array(own[rep]), prefix.take(take)],
-                    ["key", "block", "rep", "n", "small", "own", "prefix"],
-                )
-
-    met = rows.mapInArrow(scatter, "key bigint, block bigint, rep bigint, n int, small boolean, own bigint, prefix array<smallint>")
-    shards = met.repartition("key", "block").sortWithinPartitions("key", "block")
+            for part in _parts(batch):
+                yield _blobs(part, sizes, threshold, known.value, most, block, units)
+
+    met = rows.mapInArrow(scatter, "unit int, entries binary")
+    shards = met.repartition("unit").sortWithinPartitions("unit")
     return shards.mapInArrow(lambda it: _shards(it, threshold), "a bigint, b bigint").distinct()
 
 
-def _shards(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Candidates of each shard (rows of one key and block, which lie together)."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of records, of at most so many elements or one record each."""
+    ends, at = np.cumsum(batch.column("n").to_numpy(), dtype=np.int64), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
-    def done() -> pa.RecordBatch:
-        return _open_groups(pa.Table.from_batches(held).combine_chunks().to_batches()[0], threshold)
 
+_KINDS = ((np.uint32, 1), (np.int64, 1), (np.int32, 1), (U64, 4), (np.uint8, 1), (np.int32, 1), (np.int32, 1))
+
+
+def _read(blob: bytes) -> list[np.ndarray]:
+    m, at, out = int(np.frombuffer(blob, np.int64, 1)[0]), 8, []
+    for kind, width in _KINDS:
+        x = np.frombuffer(blob, kind, m * width, at)
+        out.append(x.reshape(m, width) if width > 1 else x)
+        at += x.nbytes
+    return [*out, np.frombuffer(blob, np.uint16, offset=at)]
+
+
+def _shards(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Candidates of each unit, whose rows lie together."""
+    held: list[list[np.ndarray]] = []
+    last = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, block = batch.column("key").to_numpy(), batch.column("block").to_numpy()
-        cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
-        for a, b in zip(cuts, np.append(cuts[1:], batch.num_rows)):
-            here = (key[a], block[a])
-            if here != last and held:
-                yield done()
+        for unit, blob in zip(batch.column("unit").to_pylist(), batch.column("entries")):
+            if unit != last and held:
+                yield from _met([np.concatenate(x) for x in zip(*held)], threshold)
                 held = []
-            last = here
-            held.append(batch.slice(a, b - a))
+            last = unit
+            held.append(_read(blob.as_py()))
     if held:
-        yield done()
-
-
-def _open_groups(t: pa.RecordBatch, threshold: float) -> pa.RecordBatch:
-    none = t.slice(0, 0)
-    empty = pa.RecordBatch.from_arrays([none.column("rep"), none.column("rep")], ["a", "b"])
-    small = t.column("small").to_numpy(zero_copy_only=False)
-    n = t.column("n").to_numpy().astype(np.int64)
-    if t.num_rows < 2 or not small.any():
-        return empty
-    off = t.column("prefix").offsets.to_numpy().astype(np.int64)
-    values = t.column("prefix").values.to_numpy()[off[0] : off[-1]]
-    off = off - off[0]
-    size = np.diff(off)
-    # Groups of similar records: neighbours in the order of their sizes and rarest elements.
-    lead = np.stack([values[np.minimum(off[:-1] + i, off[1:] - 1)] for i in range(3)])
-    order = np.lexsort((lead[2], lead[1], lead[0]))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    group = place // GROUP
-    element = np.unique(values, return_inverse=True)[1]
-    row = np.repeat(np.arange(len(n)), size)
-    width = int(element.max()) + 1
-    # The matrix: which elements each group's union holds, as sorted (element, group) codes.
-    groups = int(group.max()) + 1
-    matrix = np.unique(element * groups + group[row])
-    first = np.searchsorted(matrix, np.arange(width) * groups)
-    last = np.searchsorted(matrix, (np.arange(width) + 1) * groups)
-    every, least = _need(n, threshold)
-    limit = np.minimum(n - least + DEPTH, size)
-    need = np.minimum(DEPTH, least)
-    least_n, most_n = np.full(groups, 2**60), np.zeros(groups, np.int64)
-    np.minimum.at(least_n, group, n)
-    np.maximum.at(most_n, group, n)
-    codes = np.sort(row * width + element)
-    own = t.column("own").to_numpy()
-    two_blocks = bool((own != own[0]).any())  # pairs within one block belong to the shard of that block alone
-    reach = np.append(0, np.cumsum((last - first)[element]))
-    work = reach[off[:-1] + limit] - reach[off[:-1]]
-    found_a, found_b = [], []
-    q_all = np.flatnonzero(small)
-    share = np.cumsum(work[q_all]) // 2_000_000 + np.arange(len(q_all)) // 500
-    for q in np.split(q_all, np.flatnonzero(np.diff(share)) + 1):
-        index = vec.ragged(off[:-1][q], limit[q])
-        who = np.repeat(q, limit[q])
-        e = element[index]
-        k = last[e] - first[e]
-        opened, hits = np.unique(np.repeat(who, k) * groups + matrix[vec.ragged(first[e], k)] % groups, return_counts=True)
-        who, g = opened // groups, opened % groups
-        ok = (hits >= need[who]) & (most_n[g] >= n[who]) & (least_n[g] * threshold <= n[who])
-        who, g = who[ok], g[ok]
-        # Members of the opened groups, then the exact number of shared prefix elements.
-        begin = g * GROUP
-        k = np.minimum(begin + GROUP, len(order)) - begin
-        a, b = np.repeat(who, k), order[vec.ragged(begin, k)]
-        ok = (a != b) & ((n[a] < n[b]) | ((n[a] == n[b]) & (~small[b] | (a < b)))) & (n[a] >= threshold * n[b] - 1e-9)
-        if two_blocks:
-            ok &= own[a] != own[b]
-        a, b = a[ok], b[ok]
-        for at in range(0, len(a), 20_000):
-            x, y = a[at : at + 20_000], b[at : at + 20_000]
-            pair = np.repeat(np.arange(len(x)), limit[x])
-            want = np.repeat(y, limit[x]) * width + element[vec.ragged(off[:-1][x], limit[x])]
-            there = codes[np.minimum(np.searchsorted(codes, want), len(codes) - 1)] == want
-            ok = np.bincount(pair[there], minlength=len(x)) >= need[x]
-            found_a.append(x[ok])
-            found_b.append(y[ok])
-    rep = t.column("rep")
-    a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b))
-    return pa.RecordBatch.from_arrays([rep.take(pa.array(a)), rep.take(pa.array(b))], ["a", "b"])
+        yield from _met([np.concatenate(x) for x in zip(*held)], threshold)
+
+
+def _met(columns: list[np.ndarray], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Candidates of one unit: records with the same elements, one of them as the smaller of a pair."""
+    key, rep, n, sketch, flags, count, few, left = columns
+    side, n = flags >> 1 & 3, n.astype(np.int64)
+    numbers, own = np.unique(rep, return_inverse=True)
+    at = np.cumsum(count, dtype=np.int64) - count
+    bounds = ((at + count).astype(np.int32), np.where(flags & 1, at + few, -1).astype(np.int32), (flags >> 3).astype(np.int32))
+    found, held = [np.zeros(0, np.int64)], 0
+    for a, b in _together(left, bounds, 0, key.astype(U64), np.arange(len(key), dtype=np.int32), at.astype(np.int32)):
+        differ = np.bitwise_count(sketch.take(a, 0) ^ sketch.take(b, 0)).view(np.uint32)[:, 0] * np.uint32(0x01010101) >> np.uint32(24)
+        na, nb = n[a], n[b]
+        ok = np.flatnonzero(differ <= (1 - 2 * threshold / (1 + threshold)) * (na + nb) + 1e-6)  # elements in which they may differ
+        a, b, na, nb = a[ok], b[ok], na[ok], nb[ok]
+        ok = (rep[a] != rep[b]) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & ((side[a] != side[b]) | (side[a] == 0))
+        a, b = own[a[ok]], own[b[ok]]
+        found.append(np.unique(np.minimum(a, b) * len(numbers) + np.maximum(a, b)))
+        held += len(found[-1])
+        if held > KEYS:
+            found, held = [np.unique(np.concatenate(found))], 0
+    a, b = np.divmod(np.unique(np.concatenate(found)), max(1, len(numbers)))
+    yield pa.RecordBatch.from_arrays([pa.array(numbers[a]), pa.array(numbers[b])], ["a", "b"])
+
+
+def _together(left: np.ndarray, bounds: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int, key: np.ndarray, row: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Entries (their rows) with the same key, one of them small. Where many have it, and elements may be added, by those.
+
+    `bounds` has, per entry, the end of its elements in `left`, the end as the smaller of a pair, and how many elements
+    were to be taken; `depth` of them have been, and the next ones begin at `at`."""
+    end, few, more = bounds
+    need = more[row] - depth
+    bits = U64(max(1, int(len(key)).bit_length()))
+    # Sorted by key, then the small ones first.
+    code = np.sort((vec.scramble(key) >> (bits + U64(1)) << U64(1) | (few[row] < at + need).astype(U64)) << bits | np.arange(len(key), dtype=U64))
+    who = (code & ((U64(1) << bits) - U64(1))).astype(np.int32)
+    large = (code >> bits & U64(1)).astype(np.int8)
+    code >>= bits + U64(1)
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(code)))
+    small = size - np.add.reduceat(large, first, dtype=np.int64) if len(first) else size
+    deep = (size > 1) & (small > FEW) & (need[who[first]] > 0)
+    pairs = (size > 1) & (small > 0) & ~deep
+    x = vec.ragged(first[pairs], small[pairs])
+    k = np.repeat((first + size)[pairs], small[pairs]) - x - 1
+    share = np.cumsum(k) // 200_000
+    rows = row[who]
+    for cut in np.split(np.arange(len(x)), np.flatnonzero(np.diff(share)) + 1) if len(x) else []:
+        yield rows[np.repeat(x[cut], k[cut])], rows[vec.ragged(x[cut] + 1, k[cut])]
+    first, size = first[deep], size[deep]
+    if not len(first):
+        return
+    index = who[vec.ragged(first, size)]
+    take = end[row[index]] - at[index] - need[index] + 1
+    ends = np.cumsum(size)
+    work = np.cumsum(np.add.reduceat(take, ends - size, dtype=np.int64))
+    for cut in np.split(np.arange(len(first)), np.flatnonzero(np.diff(work // KEYS)) + 1):
+        here = slice(ends[cut[0]] - size[cut[0]], ends[cut[-1]])
+        k = take[here]
+        place = vec.ragged(at[index[here]], k)
+        yield from _together(left, bounds, depth + 1, _mixed(np.repeat(key[index[here]], k), left[place].astype(U64)), np.repeat(row[index[here]], k), (place + 1).astype(np.int32))
 
 
 def similar_classes(df: DataFrame, id_col: str, text_cols: list[str], threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -311,9 +453,16 @@ def similar_classes(df: DataFrame, id_col: str, text_cols: list[str], threshold:
     similar to none and is in neither table.
     """
     text = F.concat_ws("\n", *[F.col(c).cast("string") for c in text_cols])
-    records = df.select(F.col(id_col).alias("id"), text.alias("text")).where("id is not null").dropDuplicates(["id"])
+    records = df.select(F.col(id_col).alias("id"), text.alias("text")).where("id is not null")
     members, reps = _representatives(records)
     pairs = written(_candidates(reps, threshold))
+    marks = reps.sparkSession.sparkContext.broadcast(_marks(pairs.select(F.explode(F.array("a", "b")).alias("k"))))
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_marked(batch.column("k"), marks.value)))
+
+    reps = reps.mapInArrow(paired, reps.schema)
     left = reps.select(F.col("k").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("els").alias("ea"))
     right = reps.select(F.col("k").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("els").alias("eb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("ea", "eb")))

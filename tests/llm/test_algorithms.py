@@ -212,6 +212,51 @@ def test_pairs_are_those_of_brute_force(spark, monkeypatch, seed, block, group,
     assert per == {i: sum(i in p for p in want) for i, _ in rows}
 
 
+def meetings(monkeypatch, records, few, block, most):
+    """Pairs of records that meet, and how many times two are compared, without Spark."""
+    compared, bits = [0], np.bitwise_count
+
+    def count(x):
+        compared[0] += len(x)
+        return bits(x)
+
+    with monkeypatch.context() as m:
+        m.setattr(neardup, "FEW", few)
+        m.setattr(np, "bitwise_count", count)  # once for every comparison
+        els, n = pa.array([sorted(r) for r in records], pa.list_(pa.int64())), [len(r) for r in records]
+        part = pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int64()), pa.array(n, pa.int32()), els], ["k", "n", "els"])
+        sizes = neardup._classes_of_size(neardup.GROUP, max(n), 0.7)
+        counts = [(np.full(neardup.COUNTERS, len(n), np.int32), np.ones(neardup.COUNTERS, np.int32))] * neardup.SHARE
+        got = set()
+        blobs = neardup._blobs(part, sizes, 0.7, counts, most, block, 3)
+        for batch in neardup._shards(iter([blobs]), 0.7):
+            got |= set(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()))
+    return got, compared[0]
+
+
+@pytest.mark.parametrize("few,block,most", [(12, 10_000, 10**6), (0, 10_000, 10**6), (0, 30, 10), (3, 10_000, 10)])
+def test_similar_records_meet_at_every_depth_and_size(monkeypatch, few, block, most):
+    rng = np.random.default_rng(few + block)
+    records, words = [], vec.scramble(np.arange(1, 900, dtype=np.uint64)).view(np.int64)
+    for size in [1, 2, 3, 4, 6, 9, 14, 19, 24, 40, 90, 170, 400] * 6:
+        base = rng.choice(words, size, replace=False)
+        for lost in (0, 0.1, 0.17, 0.3):
+            records.append(set(base[rng.random(size) >= lost]) | set(rng.choice(words, int(size * rng.choice([0, 0.05, 0.15])))) or {words[0]})
+    got, _ = meetings(monkeypatch, records, few, block, most)
+    want = {(a, b) for b in range(len(records)) for a in range(b) if records[a] != records[b] and len(records[a] & records[b]) >= 0.7 * len(records[a] | records[b]) - 1e-9}
+    assert len(want) > 100 and want <= {tuple(sorted(x)) for x in got}
+
+
+def test_comparisons_grow_with_the_records_where_the_vocabulary_does_not(monkeypatch):
+    def compared(number):
+        rng = np.random.default_rng(number)
+        words = vec.scramble(np.arange(1, 2000, dtype=np.uint64)).view(np.int64)
+        return meetings(monkeypatch, [set(rng.choice(words, 100, replace=False)) for _ in range(number)], 12, 10_000, 10**6)[1]
+
+    few, many = compared(3000), compared(12_000)
+    assert many < 8 * few  # 16 times as many if all that share an element were compared
+
+
 def test_hot_copies_nulls_and_repeated_rows(spark):
     rows = [(f"{i:03d}", "the same text " + ("x" if i % 2 else "y") + " again and again and again", None) for i in range(40)]
     rows += [("900", None, None), ("901", "", "..."), ("902", "Ünïque wörds", "hier"), ("902", "Ünïque wörds", "hier"), ("903", "hier ünïque", "WÖRDS")]
